@@ -1,0 +1 @@
+"""DuckDB texts that every registered query is checked against."""
