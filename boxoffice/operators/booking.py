@@ -113,6 +113,7 @@ def decide_requests(
     demand = lines.filter(F.col("quantity") > 0).groupBy(*group).agg(
         F.sum("quantity").alias("quantity")
     )
+    demand = materialize(demand, "demand")
     stock = event_details.select(
         F.col("id").alias("event_detail_id"), F.col("tickets_remaining").alias("capacity")
     )
@@ -125,32 +126,26 @@ def decide_requests(
         .filter(F.col("wanted") > F.col("capacity"))
         .select("event_detail_id", "capacity")
     )
-    open_lines = demand.join(contested, "event_detail_id").withColumn("accepted", F.lit(False))
-    state = materialize(open_lines, "allocation")
+    state = demand.join(contested, "event_detail_id").withColumn("accepted", F.lit(False))
     state = slice_hot_keys(state, ["event_detail_id"], order, split_rows)
-    rejected = state.select("request_id").limit(0)
+    columns = state.columns
+    rejected = demand.select("request_id").limit(0)
 
     while True:
-        rows, undecided = state.agg(
-            F.count("*"), F.count(F.when(~F.col("accepted"), True))
-        ).first()
-        if undecided == 0:
-            return rejected
-        if rows <= tail_rows:
-            return rejected.unionByName(_settle_tail(state, order))
         judged = materialize(_judge(state, order), "allocation")
         rejected = rejected.unionByName(
             judged.filter(F.col("verdict") == "out").select("request_id").distinct()
         )
-        kept = judged.filter(F.col("verdict") != "out")
-        waiting = (
-            kept.filter(F.col("verdict") == "open").select("event_detail_id").distinct()
-        )
-        state = (
-            kept.withColumn("accepted", F.col("verdict") == "in")
-            .join(waiting, "event_detail_id", "left_semi")
-            .select(*state.columns)
+        kept = judged.filter(F.col("verdict") != "out").withColumn(
+            "accepted", F.col("verdict") == "in"
         )
+        rows, undecided = kept.agg(F.count("*"), F.count_if(~F.col("accepted"))).first()
+        if undecided == 0:
+            return rejected
+        if rows <= tail_rows:
+            return rejected.unionByName(_settle_tail(kept.select(*columns), order))
+        waiting = kept.filter(~F.col("accepted")).select("event_detail_id").distinct()
+        state = kept.join(waiting, "event_detail_id", "left_semi").select(*columns)
 
 
 def _judge(state: DataFrame, order: list[str]) -> DataFrame:
@@ -216,12 +211,13 @@ def allocate_requests(
     quotes, the new ``reservations`` (one per ticket) and ``payments``, and the new version of
     ``event_details``.
     """
+    quotes = materialize(quotes, "quotes")
     valid = quotes.filter(F.col("outcome") == "ok")
     asked = lines.select("request_id", "event_detail_id", "quantity").join(
         valid.select(*dict.fromkeys(["request_id", *order])), "request_id"
     )
     rejected = decide_requests(asked, event_details, order, tail_rows, split_rows)
-    sold_out = rejected.distinct().withColumn("sold_out", F.lit(True))
+    sold_out = rejected.withColumn("sold_out", F.lit(True))
     decisions = (
         quotes.join(sold_out, "request_id", "left")
         .withColumn("outcome", F.when(F.col("sold_out"), "sold_out").otherwise(F.col("outcome")))

@@ -289,10 +289,10 @@ def event_detail_rejects(d: Derived) -> DataFrame:
 
 @query
 def request_intake(d: Derived) -> DataFrame:
-    bodies = intake.reservation_requests(d.reservation_bodies, "bigint")
-    headers = bodies.rows.select("request_id", "email", "currency", "payment_method_id")
-    lines = bodies.lines.withColumnRenamed("email", "line_email")
-    return lines.join(headers, "request_id")
+    lines = intake.reservation_requests(d.reservation_bodies, "bigint").lines
+    return lines.withColumnsRenamed({"email": "line_email", "request_email": "email"}).drop(
+        "user_id", "user_email"
+    )
 
 
 @query

@@ -1,4 +1,8 @@
-"""JSON request bodies to typed rows. A body that fails its required fields becomes a reject."""
+"""JSON request bodies to typed rows. A body that fails its required fields becomes a reject.
+
+Rows are kept or rejected by a generator and not by a filter: a filter on parsed fields would be
+pushed below the parse, and every body would be parsed once more for it.
+"""
 
 from __future__ import annotations
 
@@ -27,54 +31,62 @@ def parse_bodies(bodies: DataFrame, schema: str) -> DataFrame:
     return bodies.withColumn("r", F.from_json("body", f"{schema}, {CORRUPT} STRING", options))
 
 
-def _given(field: str) -> Column:
-    return F.coalesce(F.col(f"r.{field}") != "", F.lit(False))
+def _given(*fields: str) -> Column:
+    """The body is whole and none of the text fields is missing or empty."""
+    fine = F.col("r").isNotNull() & F.col(f"r.{CORRUPT}").isNull()
+    for field in fields:
+        fine = fine & (F.col(f"r.{field}") != "")
+    return F.coalesce(fine, F.lit(False))
+
 
+def _keep(parsed: DataFrame, good: Column, *columns: Column | str) -> DataFrame:
+    """The given columns of the good rows."""
+    return parsed.select(F.inline(F.when(good, F.array(F.struct(*columns)))))
 
-def _split(parsed: DataFrame, good: Column, key: str) -> tuple[DataFrame, DataFrame]:
-    whole = F.col("r").isNotNull() & F.col(f"r.{CORRUPT}").isNull() & good
-    fine = F.coalesce(whole, F.lit(False))
-    rejects = parsed.filter(~fine).select(key, F.lit(fx.MSG_BAD_JSON).alias("message"))
-    return parsed.filter(fine), rejects
+
+def _rejects(parsed: DataFrame, good: Column, key: str) -> DataFrame:
+    return _keep(parsed, ~good, key, F.lit(fx.MSG_BAD_JSON).alias("message"))
 
 
 def registrations(bodies: DataFrame) -> Intake:
     """``bodies(seq, body)``: sign-ups with all four fields given."""
+    fields = ("firstname", "lastname", "email", "password")
     parsed = parse_bodies(bodies, schemas.REGISTRATION)
-    good = _given("firstname") & _given("lastname") & _given("email") & _given("password")
-    fine, rejects = _split(parsed, good, "seq")
-    return Intake(fine.select("seq", "r.firstname", "r.lastname", "r.email", "r.password"), None, rejects)
+    good = _given(*fields)
+    rows = _keep(parsed, good, "seq", *[F.col(f"r.{f}").alias(f) for f in fields])
+    return Intake(rows, None, _rejects(parsed, good, "seq"))
 
 
 def reservation_requests(bodies: DataFrame, key_type: str = "string") -> Intake:
     """``bodies(request_id, requested_at, user_id, user_email, body)``: header plus lines.
+    The lines repeat the header's columns, so that they need no join with it.
 
     A blank header e-mail falls back to the requester's, a blank currency to the default.
     Fields of a line are not required: a missing quantity is 0.
     """
     parsed = parse_bodies(bodies, schemas.RESERVATION_REQUEST.format(key=key_type))
     good = _given("payment_method_id") & F.col("r.event_detail_reservations").isNotNull()
-    fine, rejects = _split(parsed, good, "request_id")
-    headers = fine.select(
+    header = [
         "request_id",
         "requested_at",
         "user_id",
         "user_email",
-        c.first_not_blank("r.email", "user_email").alias("email"),
+        c.first_not_blank("r.email", "user_email").alias("request_email"),
         c.first_not_blank("r.currency", F.lit(fx.DEFAULT_CURRENCY)).alias("currency"),
-        "r.payment_method_id",
+        F.col("r.payment_method_id").alias("payment_method_id"),
+    ]
+    rows = _keep(parsed, good, *header).withColumnRenamed("request_email", "email")
+    lines = parsed.select(
+        *header, F.posexplode(F.when(good, F.col("r.event_detail_reservations"))).alias("pos", "l")
     )
-    lines = fine.select(
-        "request_id", "requested_at", F.posexplode("r.event_detail_reservations").alias("pos", "l")
-    ).select(
-        "request_id",
-        "requested_at",
-        "pos",
+    names = [n for n in lines.columns if n != "l"]
+    lines = lines.select(
+        *names,
         "l.event_detail_id",
         F.coalesce("l.quantity", F.lit(0)).alias("quantity"),
         "l.email",
     )
-    return Intake(headers, lines, rejects)
+    return Intake(rows, lines, _rejects(parsed, good, "request_id"))
 
 
 def event_requests(bodies: DataFrame) -> Intake:
@@ -84,16 +96,17 @@ def event_requests(bodies: DataFrame) -> Intake:
     It is built inside the row, from the request's own list.
     """
     parsed = parse_bodies(bodies, schemas.EVENT_REQUEST)
-    good = _given("title") & _given("description") & F.col("r.tickets").isNotNull()
-    fine, rejects = _split(parsed, good, "request_id")
-    fine = fine.withColumn("event_id", c.derived_id(F.lit("event"), "request_id"))
+    good = _given("title", "description") & F.col("r.tickets").isNotNull()
+    event_id = c.derived_id(F.lit("event"), "request_id")
     bad = F.filter("r.tickets", lambda t: c.parse_show_date(t["show_date"]).isNull())
     messages = F.transform(bad, lambda t: show_date_error(t["show_date"]))
-    headers = fine.select(
-        F.col("event_id").alias("id"),
+    rows = _keep(
+        parsed,
+        good,
+        event_id.alias("id"),
         "request_id",
-        "r.title",
-        "r.description",
+        F.col("r.title").alias("title"),
+        F.col("r.description").alias("description"),
         c.null_if_blank_text("r.organizer").alias("organizer"),
         "user_id",
         F.when(
@@ -101,8 +114,10 @@ def event_requests(bodies: DataFrame) -> Intake:
             F.concat(F.lit(fx.MSG_INTAKE_ERRORS), F.array_join(messages, "\n")),
         ).alias("error"),
     )
-    lines = fine.select(
-        "request_id", "event_id", F.posexplode("r.tickets").alias("pos", "t")
+    lines = parsed.select(
+        "request_id",
+        event_id.alias("event_id"),
+        F.posexplode(F.when(good, F.col("r.tickets"))).alias("pos", "t"),
     ).select(
         "request_id",
         "event_id",
@@ -112,7 +127,28 @@ def event_requests(bodies: DataFrame) -> Intake:
         F.coalesce("t.price", F.lit(0)).cast(fx.MONEY).alias("price"),
         F.coalesce("t.number_of_tickets", F.lit(0)).alias("number_of_tickets"),
     )
-    return Intake(headers, lines, rejects)
+    return Intake(rows, lines, _rejects(parsed, good, "request_id"))
+
+
+def ticket_requests(bodies: DataFrame) -> Intake:
+    """``bodies(request_id, event_id, body)``: one ticket type for an event that exists. Here
+    show date, description and number of tickets are required."""
+    parsed = parse_bodies(bodies, schemas.TICKET_REQUEST)
+    good = _given("show_date", "description") & (
+        F.coalesce("r.number_of_tickets", F.lit(0)) != 0
+    )
+    rows = _keep(
+        parsed,
+        good,
+        "event_id",
+        F.lit(0).alias("pos"),
+        F.col("r.show_date").alias("show_date"),
+        F.col("r.description").alias("ticket_description"),
+        F.coalesce("r.price", F.lit(0)).cast(fx.MONEY).alias("price"),
+        F.col("r.number_of_tickets").alias("number_of_tickets"),
+        "request_id",
+    )
+    return Intake(rows, None, _rejects(parsed, good, "request_id"))
 
 
 def show_date_error(show_date: Column) -> Column:

@@ -45,6 +45,9 @@ TABLES = {
 
 # Request bodies, as they arrive in JSON.
 REGISTRATION = "firstname STRING, lastname STRING, email STRING, password STRING"
+TICKET_REQUEST = (
+    "show_date STRING, description STRING, price DECIMAL(10,2), number_of_tickets INT"
+)
 EVENT_REQUEST = (
     "title STRING, description STRING, organizer STRING, tickets ARRAY<STRUCT<"
     "show_date: STRING, description: STRING, price: DECIMAL(10,2), number_of_tickets: INT>>"
