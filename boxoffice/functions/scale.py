@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 SPLIT_ROWS = 2_000_000
 PAGE_ROWS = 1_000
@@ -24,11 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a table once and read it back: no lineage, and sizes the planner can trust."""
+def materialize(df: DataFrame, label: str, counts: Observation | None = None, *metrics) -> DataFrame:
+    """Write a table once and read it back: no lineage, and sizes the planner can trust.
+    ``metrics`` are aggregates gathered into ``counts`` by the same write."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.observe(counts, *metrics) if counts else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,11 +41,14 @@ def slice_hot_keys(
 
     The ranges are written before use, so that both passes of ``running`` see the same cut.
     """
-    hot = df.groupBy(*keys).count().filter(F.col("count") > split_rows)
-    if hot.isEmpty():
+    total, largest = df.groupBy(*keys).count().agg(F.sum("count"), F.max("count")).first()
+    if (largest or 0) <= split_rows:
         return df
-    ranged = df.repartitionByRange(*keys, *order).withColumn(SLICE, F.spark_partition_id())
-    return materialize(ranged, "slices")
+    # The number is given, so that adaptive execution does not merge the ranges again.
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(default, 1 + total // split_rows)
+    ranged = df.repartitionByRange(ranges, *keys, *order)
+    return materialize(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
 
 
 def running(

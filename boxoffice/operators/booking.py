@@ -5,13 +5,13 @@ from __future__ import annotations
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from boxoffice.functions import columns as c, fixed as fx
 from boxoffice.functions.scale import SLICE, SPLIT_ROWS, materialize, running, slice_hot_keys
 from boxoffice.operators.dml import take_tickets
 
-TAIL_ROWS = 5_000
+TAIL_ROWS = 10_000
 
 
 def quote_requests(
@@ -132,20 +132,36 @@ def decide_requests(
     rejected = demand.select("request_id").limit(0)
 
     while True:
-        judged = materialize(_judge(state, order), "allocation")
+        counts = Observation()
+        is_open = F.col("verdict") == "open"
+        judged = materialize(
+            _judge(state, order),
+            "allocation",
+            counts,
+            F.count_if(is_open).alias("undecided"),
+            F.count_if(F.col("verdict") != "out").alias("rows"),
+        )
         rejected = rejected.unionByName(
             judged.filter(F.col("verdict") == "out").select("request_id").distinct()
         )
-        kept = judged.filter(F.col("verdict") != "out").withColumn(
-            "accepted", F.col("verdict") == "in"
-        )
-        rows, undecided = kept.agg(F.count("*"), F.count_if(~F.col("accepted"))).first()
-        if undecided == 0:
+        if counts.get["undecided"] == 0:
             return rejected
-        if rows <= tail_rows:
-            return rejected.unionByName(_settle_tail(kept.select(*columns), order))
-        waiting = kept.filter(~F.col("accepted")).select("event_detail_id").distinct()
-        state = kept.join(waiting, "event_detail_id", "left_semi").select(*columns)
+        # Only what comes before a type's last undecided request can still matter to it.
+        place = F.struct(*order)
+        waiting = (
+            judged.filter(is_open)
+            .groupBy("event_detail_id")
+            .agg(F.max(place).alias("last_open"))
+        )
+        state = (
+            judged.filter(F.col("verdict") != "out")
+            .withColumn("accepted", F.col("verdict") == "in")
+            .join(waiting, "event_detail_id")
+            .filter(place <= F.col("last_open"))
+            .select(*columns)
+        )
+        if counts.get["rows"] <= tail_rows:
+            return rejected.unionByName(_settle_tail(state, order))
 
 
 def _judge(state: DataFrame, order: list[str]) -> DataFrame:
