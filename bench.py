@@ -1,4 +1,5 @@
-"""Time the registered queries: BENCH_SF_DIR (data), BENCH_CPUS (cores), BENCH_QUERIES (names).
+"""Time the headline queries. BENCH_SF_DIR: the data, BENCH_CPUS: the cores, BENCH_QUERIES: other
+names, with commas, or "all" for every registered query.
 
 Each query is planned and run once in full, its rows going to the no-op sink. One warm-up query
 runs first, untimed. Prints one JSON line.
@@ -14,12 +15,49 @@ from boxoffice.plans.queries import QUERIES
 from boxoffice.session import local_session
 
 
+HEADLINE = (
+    "search_events",
+    "search_events_dates",
+    "user_events",
+    "user_payments",
+    "payment_by_intent",
+    "reservations_by_payment",
+    "details_with_title",
+    "payment_reservation_details",
+    "events_with_tickets",
+    "event_refund_totals",
+    "detail_refund_totals",
+    "tickets_per_payment",
+    "confirmed_attendees",
+    "registration_quality",
+    "event_detail_intake",
+    "request_intake",
+    "payment_log_append",
+    "reserve_single",
+    "restore_and_delete_details",
+    "refund_and_restore_reservations",
+    "update_event",
+    "update_payment",
+    "delete_event_cascade",
+    "quote_requests",
+    "allocate_requests",
+    "post_charge_status",
+    "payment_retry",
+    "customer_refund",
+    "event_cancel_plan",
+    "detail_cancel_plan",
+    "webhook_fold_payments",
+    "webhook_logs",
+    "notify_confirmed",
+    "notify_event_updated",
+)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    names = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get(
-        "BENCH_QUERIES"
-    ) else list(QUERIES)
+    picked = os.environ.get("BENCH_QUERIES", "")
+    names = list(QUERIES) if picked == "all" else picked.split(",") if picked else list(HEADLINE)
     spark = local_session(cpus, "bench")
 
     def run(name: str) -> float:

@@ -33,15 +33,30 @@ def materialize(df: DataFrame, label: str, counts: Observation | None = None, *m
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out an input that arrives in fewer splits than there are cores, before heavy work on
+    each row. A large input is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def slice_hot_keys(
-    df: DataFrame, keys: list[str], order: list[str], split_rows: int = SPLIT_ROWS
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    split_rows: int = SPLIT_ROWS,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Prepare ``df`` for ``running``: if a key has more rows than one task should sort,
     cut the rows into ranges of (key, order) and note the range in ``_slice``.
 
-    The ranges are written before use, so that both passes of ``running`` see the same cut.
+    ``probe`` is a cheaper table whose rows per key are about those of ``df``; its columns are
+    all keys. The ranges are written before use, so that both passes of ``running`` see the same
+    cut.
     """
-    total, largest = df.groupBy(*keys).count().agg(F.sum("count"), F.max("count")).first()
+    probe = df.select(*keys) if probe is None else probe
+    counts = probe.groupBy(*probe.columns).count()
+    total, largest = counts.agg(F.sum("count"), F.max("count")).first()
     if (largest or 0) <= split_rows:
         return df
     # The number is given, so that adaptive execution does not merge the ranges again.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from boxoffice.functions import columns as c, fixed as fx
 from boxoffice.functions.scale import SLICE, SPLIT_ROWS, materialize, running, slice_hot_keys
@@ -127,15 +127,19 @@ def decide_requests(
         .select("event_detail_id", "capacity")
     )
     state = demand.join(contested, "event_detail_id").withColumn("accepted", F.lit(False))
-    state = slice_hot_keys(state, ["event_detail_id"], order, split_rows)
+    state = slice_hot_keys(
+        state, ["event_detail_id"], order, split_rows, demand.select("event_detail_id")
+    )
     columns = state.columns
     rejected = demand.select("request_id").limit(0)
+    longest = demand.groupBy("request_id").count().agg(F.max("count")).first()[0] or 0
+    judge = _judge if longest <= split_rows else _judge_long_requests
 
     while True:
         counts = Observation()
         is_open = F.col("verdict") == "open"
         judged = materialize(
-            _judge(state, order),
+            judge(state, order),
             "allocation",
             counts,
             F.count_if(is_open).alias("undecided"),
@@ -147,24 +151,24 @@ def decide_requests(
         if counts.get["undecided"] == 0:
             return rejected
         # Only what comes before a type's last undecided request can still matter to it.
-        place = F.struct(*order)
         waiting = (
             judged.filter(is_open)
             .groupBy("event_detail_id")
-            .agg(F.max(place).alias("last_open"))
+            .agg(F.max(order[0]).alias("last_open"))
         )
         state = (
             judged.filter(F.col("verdict") != "out")
             .withColumn("accepted", F.col("verdict") == "in")
             .join(waiting, "event_detail_id")
-            .filter(place <= F.col("last_open"))
+            .filter(F.col(order[0]) <= F.col("last_open"))
             .select(*columns)
         )
         if counts.get["rows"] <= tail_rows:
             return rejected.unionByName(_settle_tail(state, order))
 
 
-def _judge(state: DataFrame, order: list[str]) -> DataFrame:
+def _fits(state: DataFrame, order: list[str]) -> DataFrame:
+    """Whether each line fits if every open request before it is counted, and if none is."""
     seen = running(
         state,
         ["event_detail_id"],
@@ -174,19 +178,37 @@ def _judge(state: DataFrame, order: list[str]) -> DataFrame:
             "claimed": F.col("quantity"),
         },
     )
-    fits_worst = F.col("claimed") + F.col("quantity") <= F.col("capacity")
-    fits_best = F.col("taken") + F.col("quantity") <= F.col("capacity")
-    verdicts = seen.groupBy("request_id").agg(
-        F.bool_or("accepted").alias("was_in"),
-        F.bool_and(fits_worst).alias("surely"),
-        F.bool_and(fits_best).alias("possibly"),
+    return seen.select(
+        *state.columns,
+        (F.col("claimed") + F.col("quantity") <= F.col("capacity")).alias("surely"),
+        (F.col("taken") + F.col("quantity") <= F.col("capacity")).alias("possibly"),
     )
-    verdict = (
-        F.when(F.col("was_in") | F.col("surely"), "in")
-        .when(~F.col("possibly"), "out")
-        .otherwise("open")
+
+
+def _verdict() -> Column:
+    sure = F.col("accepted") | F.col("all_surely")
+    return F.when(sure, "in").when(~F.col("all_possibly"), "out").otherwise("open")
+
+
+def _judge(state: DataFrame, order: list[str]) -> DataFrame:
+    """Add each request's ``verdict`` to its lines."""
+    request = Window.partitionBy("request_id")
+    return (
+        _fits(state, order)
+        .withColumn("all_surely", F.bool_and("surely").over(request))
+        .withColumn("all_possibly", F.bool_and("possibly").over(request))
+        .select(*state.columns, _verdict().alias("verdict"))
+    )
+
+
+def _judge_long_requests(state: DataFrame, order: list[str]) -> DataFrame:
+    """The same where a single request has more lines than one task should hold."""
+    verdicts = (
+        _fits(state, order)
+        .groupBy("request_id")
+        .agg(F.bool_and("surely").alias("all_surely"), F.bool_and("possibly").alias("all_possibly"))
     )
-    return state.join(verdicts, "request_id").select(*state.columns, verdict.alias("verdict"))
+    return state.join(verdicts, "request_id").select(*state.columns, _verdict().alias("verdict"))
 
 
 def _settle_tail(state: DataFrame, order: list[str]) -> DataFrame:

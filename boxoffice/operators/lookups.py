@@ -92,7 +92,7 @@ def payment_by_intent(keys: DataFrame, payments: DataFrame) -> DataFrame:
     stands for them. The choice is made before the join, so the join never multiplies rows."""
     rest = [n for n in payments.columns if n != "payment_intent_id"]
     first = (
-        payments.filter(F.col("payment_intent_id").isNotNull())
+        members(payments, keys, "payment_intent_id")
         .groupBy("payment_intent_id")
         .agg(F.min_by(F.struct(*rest), F.struct("created_at", "id")).alias("p"))
         .select("payment_intent_id", "p.*")

@@ -64,7 +64,7 @@ def customer_refunds(
     and ``error_count`` says how many there are; a payment's failing reservations all have the
     same message, so the two hold the full error text whatever its length.
     """
-    rows = payment_reservation_details(requests, payments, reservations, event_details, events)
+    rows = payment_reservation_details(requests, payments, reservations, event_details)
     no_intent = F.coalesce(F.col("payment_intent_id"), F.lit("")) == ""
     incomplete = (
         F.col("reservation_id").isNull() | F.col("show_date").isNull() | F.col("price").isNull()
@@ -77,8 +77,8 @@ def customer_refunds(
     per_payment = judged.groupBy("payment_id", "user_id").agg(
         F.first("payment_intent_id").alias("payment_intent_id"),
         F.first("amount").alias("amount"),
-        F.count(F.when(F.col("bad"), True)).cast("int").alias("error_count"),
-        F.count(F.when(F.col("eligible"), True)).cast("int").alias("eligible_count"),
+        F.count_if("bad").cast("int").alias("error_count"),
+        F.count_if("eligible").cast("int").alias("eligible_count"),
         F.sum(F.when(F.col("eligible"), F.col("price"))).cast(fx.MONEY_SUM).alias("sum_price"),
     )
     refund = F.coalesce(F.col("sum_price"), F.lit(0))
@@ -134,12 +134,12 @@ def customer_refunds(
             .alias("message"),
         )
     )
-    clean = summary.filter(~F.col("outcome").isin("not_found", "error", "not_eligible")).select(
-        "payment_id", "user_id"
-    )
+    failing = judged.filter("bad").select("payment_id", "user_id")
+    titles = events.select(F.col("id").alias("event_id"), "title")
     lines = (
         judged.filter("eligible")
-        .join(clean, ["payment_id", "user_id"], "left_semi")
+        .join(failing, ["payment_id", "user_id"], "left_anti")
+        .join(titles, "event_id", "left")
         .select(
             "payment_id",
             "user_id",

@@ -36,12 +36,14 @@ def resolve_events(
     known = payments.select(
         F.col("id").alias("payment_id"),
         F.col("user_id").alias("payer"),
+        "created_at",
         F.lit(True).alias("has_payment"),
     )
     people = users.select(F.col("id").alias("payer"), F.lit(True).alias("has_user"))
+    is_intent = F.col("type").isin(*INTENT_TYPES)
+    intents = typed.filter(F.col("reason").isNull() & is_intent)
     named = (
-        typed.filter(F.col("reason").isNull() & F.col("type").isin(*INTENT_TYPES))
-        .withColumn("payment_id", c.parse_id(F.col("payment_ref"), kind))
+        intents.withColumn("payment_id", c.parse_id(F.col("payment_ref"), kind))
         .join(known, "payment_id", "left")
         .join(people, "payer", "left")
         .withColumn(
@@ -50,131 +52,133 @@ def resolve_events(
             .when(F.col("has_payment").isNull(), "unknown_payment")
             .when(F.col("has_user").isNull(), "unknown_user"),
         )
-        .drop("payer", "has_payment", "has_user")
     )
-    refunds = typed.filter(F.col("reason").isNull() & ~F.col("type").isin(*INTENT_TYPES))
-    good = named.filter(F.col("reason").isNull())
-    first, last = typed.agg(F.min("seq"), F.max("seq")).first()
-    found = _payment_by_intent_as_of(
-        refunds, good, payments, (first or 0, (last or 0) + 1), split_rows
+    held = named.filter(F.col("reason").isNull()).select(
+        "payment_id", "intent_id", "created_at", "seq"
     )
-    refunds = found.withColumn(
-        "reason", F.when(F.col("payment_id").isNull(), "unknown_intent")
-    )
-    broken = typed.filter(F.col("reason").isNotNull()).withColumn(
-        "payment_id", F.lit(None).cast(kind)
+    spans = _spans(held, payments, typed, intents.select("payment_ref"), split_rows)
+    refunds = typed.filter(F.col("reason").isNull() & ~is_intent)
+    found = _holders_as_of(refunds, *spans)
+    columns = [*typed.columns, "payment_id"]
+    return (
+        named.select(*columns)
+        .unionByName(
+            found.withColumn(
+                "reason", F.when(F.col("payment_id").isNull(), "unknown_intent")
+            ).select(*columns)
+        )
+        .unionByName(
+            typed.filter(F.col("reason").isNotNull()).withColumn(
+                "payment_id", F.lit(None).cast(kind)
+            )
+        )
     )
-    return named.unionByName(refunds).unionByName(broken)
 
 
-def _payment_by_intent_as_of(
-    refunds: DataFrame,
-    intents: DataFrame,
-    payments: DataFrame,
-    arrivals: tuple[int, int],
-    split_rows: int,
-) -> DataFrame:
-    """The oldest payment that holds the intent id at each refund event's arrival.
+def payments_in_play(typed: DataFrame, payments: DataFrame) -> DataFrame:
+    """The payments that the events name, or that hold an intent id they carry."""
+    kind = payments.schema["id"].dataType.simpleString()
+    live = typed.filter(F.col("reason").isNull())
+    named = live.select(c.parse_id(F.col("payment_ref"), kind).alias("id"))
+    ids = named.filter("id is not null").distinct().withColumn("by_id", F.lit(True))
+    intents = live.filter(~F.col("type").isin(*INTENT_TYPES)).select(
+        F.col("intent_id").alias("payment_intent_id")
+    )
+    holding = intents.distinct().withColumn("by_intent", F.lit(True))
+    return (
+        payments.join(ids, "id", "left")
+        .join(holding, "payment_intent_id", "left")
+        .filter("by_id or by_intent")
+        .select(*payments.columns)
+    )
 
-    A payment that no event of the batch names holds its stored id throughout: one row per id
-    stands for all of those. The others hold an id for a span of arrival numbers. An id with one
-    span needs a plain join. An id with several is met through blocks: a span is cut into blocks
-    of 2^k numbers, each block keeps its oldest payment, and an event looks up the block that
-    holds it at every size. So rows never multiply with the number of payments per id.
-    """
-    begin, end = arrivals
-    bits = (end - begin).bit_length()
-    touched = intents.select("payment_id").distinct()
+
+def _spans(
+    held: DataFrame, payments: DataFrame, typed: DataFrame, probe: DataFrame, split_rows: int
+) -> tuple[DataFrame, int, int]:
+    """Which payment held which intent id when: rows (intent_id, p, lo, hi), where ``p`` sorts by
+    age and [lo, hi) counts arrivals from the first of the batch; then that first arrival, and
+    the length of the batch."""
+    begin, last = typed.agg(F.min("seq"), F.max("seq")).first()
+    begin, end = begin or 0, (last or 0) + 1
     stored = payments.select(
         F.col("id").alias("payment_id"),
         F.col("payment_intent_id").alias("intent_id"),
         "created_at",
-    )
-    oldest = F.struct("created_at", "payment_id")
-    still = (
-        stored.filter(F.col("intent_id").isNotNull())
-        .join(touched, "payment_id", "left_anti")
-        .groupBy("intent_id")
-        .agg(F.min(oldest).alias("still"))
-    )
-
-    moves = intents.select("payment_id", "intent_id", "seq").unionByName(
-        stored.join(touched, "payment_id", "left_semi").select(
-            "payment_id", "intent_id", F.lit(-1).cast("long").alias("seq")
-        )
+        F.lit(begin - 1).cast("long").alias("seq"),
     )
     # An absent id is the empty text here, so that it ends the span of the id before it.
-    moves = moves.withColumn("intent_id", F.coalesce("intent_id", F.lit("")))
-    moves = slice_hot_keys(moves, ["payment_id"], ["seq"], split_rows)
+    moves = stored.unionByName(held).withColumn(
+        "intent_id", F.coalesce("intent_id", F.lit(""))
+    )
+    moves = slice_hot_keys(moves, ["payment_id"], ["seq"], split_rows, probe)
     changes = running(
         moves, ["payment_id"], ["seq"], lasts={"held": F.col("intent_id")}
     ).filter(F.col("held").isNull() | (F.col("held") != F.col("intent_id")))
     spans = (
-        running(
-            changes.drop("held"), ["payment_id"], ["seq"], nexts={"until": F.col("seq")}
-        )
+        running(changes.drop("held"), ["payment_id"], ["seq"], nexts={"until": F.col("seq")})
         .filter(F.col("intent_id") != "")
-        .join(stored.select("payment_id", "created_at"), "payment_id")
         .select(
             "intent_id",
-            oldest.alias("p"),
-            # A span is [lo, hi), counted from the first arrival of the batch.
+            F.struct("created_at", "payment_id").alias("p"),
             (F.col("seq") + 1 - begin).alias("lo"),
             (F.coalesce("until", F.lit(end)) - begin).alias("hi"),
         )
     )
-    counts = spans.groupBy("intent_id").agg(
-        F.count("*").alias("spans"),
-        F.first("p").alias("p"),
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
-    )
-    single = counts.filter(F.col("spans") == 1).drop("spans")
-    crowded = counts.filter(F.col("spans") > 1).select("intent_id")
+    return spans, begin, end - begin
+
 
+def _holders_as_of(refunds: DataFrame, spans: DataFrame, begin: int, length: int) -> DataFrame:
+    """Add ``payment_id``: the oldest payment that held the intent id when the event arrived.
+
+    All payments that hold an id throughout the batch are stood for by their oldest. An id with
+    one shorter span more needs a plain join. An id with several is met through blocks: a span is
+    cut into blocks of 2^k arrivals, each block keeps its oldest payment, and an event looks up
+    the block around it at every size. So rows never multiply with the payments of an id.
+    """
+    whole = (F.col("lo") == 0) & (F.col("hi") == length)
+    holders = spans.groupBy("intent_id").agg(
+        F.min(F.when(whole, F.col("p"))).alias("throughout"),
+        F.count_if(~whole).alias("others"),
+        F.min(F.when(~whole, F.col("p"))).alias("other"),
+        F.min(F.when(~whole, F.col("lo"))).alias("lo"),
+        F.max(F.when(~whole, F.col("hi"))).alias("hi"),
+    )
     arrival = F.col("seq") - begin
     inside = (arrival >= F.col("lo")) & (arrival < F.col("hi"))
-    simple = (
-        refunds.join(still, "intent_id", "left")
-        .join(single, "intent_id", "left")
-        .withColumn("one", F.when(inside, F.col("p")))
-        .drop("p", "lo", "hi")
+    plain = refunds.join(holders, "intent_id", "left").withColumn(
+        "other", F.when((F.col("others") == 1) & inside, F.col("other"))
     )
 
+    crowded = holders.filter(F.col("others") > 1).select("intent_id")
+    sizes = F.sequence(F.lit(0), F.lit(length.bit_length()))
+    odd_ends = F.array(
+        F.when(F.col("first") % 2 == 1, F.col("first")),
+        F.when(F.col("last") % 2 == 1, F.col("last") - 1),
+    )
     blocks = (
-        spans.join(crowded, "intent_id", "left_semi")
-        .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(bits))))
+        spans.filter(~whole)
+        .join(crowded, "intent_id", "left_semi")
+        .withColumn("k", F.explode(sizes))
         .withColumn("first", F.expr("shiftright(lo - 1, k) + 1"))
         .withColumn("last", F.expr("shiftright(hi, k)"))
         .filter(F.col("first") < F.col("last"))
-        .withColumn(
-            "block",
-            F.explode(
-                F.array_compact(
-                    F.array(
-                        F.when(F.col("first") % 2 == 1, F.col("first")),
-                        F.when(F.col("last") % 2 == 1, F.col("last") - 1),
-                    )
-                )
-            ),
-        )
+        .withColumn("block", F.explode(F.array_compact(odd_ends)))
         .groupBy("intent_id", "k", "block")
         .agg(F.min("p").alias("p"))
     )
-    sizes = blocks.groupBy("intent_id").agg(F.collect_set("k").alias("ks"))
-    several = (
+    used = blocks.groupBy("intent_id").agg(F.collect_set("k").alias("ks"))
+    met = (
         refunds.select("seq", "intent_id")
-        .join(sizes, "intent_id")
+        .join(used, "intent_id")
         .withColumn("k", F.explode("ks"))
         .withColumn("block", F.expr(f"shiftright(seq - {begin}L, k)"))
         .join(blocks, ["intent_id", "k", "block"])
         .groupBy("seq")
-        .agg(F.min("p").alias("many"))
+        .agg(F.min("p").alias("met"))
     )
-    return (
-        simple.join(several, "seq", "left")
-        .withColumn("payment_id", F.least("still", "one", "many")["payment_id"])
-        .drop("still", "one", "many")
+    return plain.join(met, "seq", "left").withColumn(
+        "payment_id", F.least("throughout", "other", "met")["payment_id"]
     )
 
 
@@ -185,11 +189,13 @@ def fold_webhooks(
     as_of,
     dedupe: bool = False,
     split_rows: int = SPLIT_ROWS,
+    few: bool = False,
 ) -> WebhookResult:
     """Apply parsed webhooks (``seq`` is the arrival number, unique) to the payments table.
 
     A repeated event is applied and logged again, as it arrives; ``dedupe`` drops rows that
-    repeat an earlier one in everything but ``seq``.
+    repeat an earlier one in everything but ``seq``. ``few`` says that the events are few next
+    to the payments: only the payments they can touch are then shuffled.
     """
     if dedupe:
         same = [n for n in typed.columns if n != "seq"]
@@ -197,6 +203,8 @@ def fold_webhooks(
         typed = first.select(*typed.columns)
     # Both are read by many branches: bodies are parsed once and payments looked up once.
     typed = materialize(typed, "webhooks")
+    if few:
+        payments = materialize(payments_in_play(typed, payments), "in-play")
     events = materialize(resolve_events(typed, payments, users, split_rows), "resolved")
     live = events.filter(F.col("reason").isNull())
 

@@ -10,6 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from boxoffice.functions.scale import spread
 from boxoffice.sources import schemas
 
 AS_OF = "1998-06-15 12:00:00"
@@ -43,8 +44,7 @@ class Derived:
             {
                 "reservation_id": F.expr(
                     "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
-                    "cast(round(l_extendedprice * 100) as bigint), "
-                    "date_format(l_shipdate, 'yyyyMMdd'))"
+                    "floor(l_extendedprice * 100 + 0.5), datediff(l_shipdate, date'1970-01-01'))"
                 ),
                 "event_detail_id": F.expr(
                     "l_partkey * 3 + case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end"
@@ -200,7 +200,7 @@ class Derived:
     @cached_property
     def registration_bodies(self) -> DataFrame:
         """Two sign-ups per customer; some repeat an address, some are broken."""
-        rows = self.customer.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("n"))
+        rows = spread(self.customer).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("n"))
         return rows.selectExpr(
             "c_custkey * 2 + n as seq",
             "case when c_custkey % 29 = 3 then '{\"firstname\": ' else to_json(named_struct("
@@ -218,7 +218,7 @@ class Derived:
 
     @cached_property
     def event_bodies(self) -> DataFrame:
-        return self.part.selectExpr(
+        return spread(self.part).selectExpr(
             "p_partkey as request_id",
             "p_partkey div 2 as user_id",
             "case when p_partkey % 37 = 5 then '{\"title\": [' else to_json(named_struct("
@@ -237,7 +237,7 @@ class Derived:
 
     @cached_property
     def reservation_bodies(self) -> DataFrame:
-        return self.lineitem.selectExpr(
+        return spread(self.lineitem).selectExpr(
             "reservation_id as request_id",
             "l_shipdate as requested_at",
             "l_suppkey as user_id",
@@ -259,7 +259,7 @@ class Derived:
     @cached_property
     def webhooks(self) -> DataFrame:
         """Raw gateway events. ``seq`` is the arrival number."""
-        rows = self.stream_events.selectExpr(
+        rows = spread(self.stream_events).selectExpr(
             "event_id as seq",
             "case when event_id % 53 = 7 then 'customer.created' else case event_type "
             "when 'purchase' then 'payment_intent.succeeded' "

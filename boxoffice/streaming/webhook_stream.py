@@ -22,9 +22,15 @@ OUTPUTS = ("payments", "logs", "quarantine")
 
 @dataclass(frozen=True)
 class WebhookStore:
-    """Where the stream keeps its results: one folder per output, one ``batch=N`` below it."""
+    """Where the stream keeps its results: one folder per output, one ``batch=N`` below it.
+
+    ``first_batch`` is the first batch that the base table does not hold yet. Writing
+    ``current_payments`` out as a new base now and then, and raising it, keeps a batch from
+    reading ever more old changes.
+    """
 
     root: str
+    first_batch: int = 0
 
     def path(self, name: str, batch_id: int | None = None) -> str:
         base = f"{self.root.rstrip('/')}/{name}"
@@ -41,9 +47,9 @@ def current_payments(
     row in the base table. ``batch`` is a partition column, so later folders are not read."""
     spark = base.sparkSession
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    if before_batch == 0:
+    if before_batch is not None and before_batch <= store.first_batch:
         return base
-    changes = store.read(spark, "payments", schema)
+    changes = store.read(spark, "payments", schema).filter(F.col("batch") >= store.first_batch)
     if before_batch is not None:
         changes = changes.filter(F.col("batch") < before_batch)
     row = F.struct(*base.columns)
@@ -72,7 +78,9 @@ def apply_webhook_stream(
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         now = as_of or datetime.now()
         payments = current_payments(base_payments, store, batch_id)
-        result = fold_webhooks(parse_webhooks(batch), payments, users, now, split_rows=split_rows)
+        result = fold_webhooks(
+            parse_webhooks(batch), payments, users, now, split_rows=split_rows, few=True
+        )
         for name in OUTPUTS:
             rows = getattr(result, name)
             rows.write.mode("overwrite").parquet(store.path(name, batch_id))

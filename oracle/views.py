@@ -3,8 +3,8 @@
 VIEWS = r"""
 bk_lines AS (
   SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
-      CAST(round(l_extendedprice * 100) AS BIGINT), strftime(l_shipdate, '%Y%m%d'))
-      AS reservation_id,
+      CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT),
+      date_diff('day', TIMESTAMP '1970-01-01', l_shipdate)) AS reservation_id,
     l_partkey * 3 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END
       AS event_detail_id
   FROM lineitem),

@@ -238,6 +238,11 @@ def test_stream_equals_one_batch(spark, table, users, tmp_path):
     bad = store.read(spark, "quarantine", "seq BIGINT, type STRING, reason STRING")
     assert rows(bad, "seq", "reason") == set(want_dropped.items())
     assert rows(logs, "batch") == {(0,), (1,), (2,)}
+    # A base that already holds the first two batches gives the same table.
+    current_payments(base, store, 2).write.parquet(str(tmp_path / "base2"))
+    newer = spark.read.schema(base.schema).parquet(str(tmp_path / "base2"))
+    again = current_payments(newer, WebhookStore(store.root, first_batch=2))
+    assert rows(again, "id", "status", "amount", "payment_intent_id") == want
 
 
 def test_mails(table, users):
