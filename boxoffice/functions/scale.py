@@ -13,15 +13,16 @@ SLICE = "_slice"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    named = tempfile.mkdtemp(prefix="boxoffice-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
+    A local session that names none gets a temporary one."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="boxoffice-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str, counts: Observation | None = None, *metrics) -> DataFrame:

@@ -13,11 +13,10 @@ def payment_reservation_details(
     payments: DataFrame,
     reservations: DataFrame,
     event_details: DataFrame,
-    events: DataFrame | None = None,
+    events: DataFrame,
 ) -> DataFrame:
     """keys(payment_id, user_id): each payment of its payer with its reservations, ticket types
-    and events. All joins stay left: a missing part shows as NULL. Without ``events`` there is
-    the event's id in place of its title, and one join less."""
+    and events. All joins stay left: a missing part shows as NULL."""
     paid = payments.select(
         F.col("id").alias("payment_id"), "payment_intent_id", "user_id", "amount", "status"
     )
@@ -32,6 +31,7 @@ def payment_reservation_details(
         "event_id",
         F.lit(True).alias("has_detail"),
     )
+    titles = events.select(F.col("id").alias("event_id"), "title")
     # The ticket type's own columns, its id included, are NULL when it is missing.
     detail = F.when(F.col("has_detail"), F.col("event_detail_id")).alias("event_detail_id")
     rows = (
@@ -39,10 +39,8 @@ def payment_reservation_details(
         .join(paid, ["payment_id", "user_id"])
         .join(booked, "payment_id", "left")
         .join(tiers, "event_detail_id", "left")
+        .join(titles, "event_id", "left")
     )
-    if events is not None:
-        titles = events.select(F.col("id").alias("event_id"), "title")
-        rows = rows.join(titles, "event_id", "left")
     return rows.select(
         "payment_id",
         "payment_intent_id",
@@ -52,7 +50,7 @@ def payment_reservation_details(
         "reservation_id",
         "email",
         detail,
-        "event_id" if events is None else "title",
+        "title",
         "ticket_description",
         "show_date",
         "price",
@@ -73,7 +71,7 @@ def event_refund_totals(
     Totals are summed before the join with payments, which then sees one row per group.
     """
     owned = events.select(F.col("id").alias("event_id"), "user_id", "title").join(
-        requests.select("event_id", "user_id").distinct(), ["event_id", "user_id"], "left_semi"
+        requests.select("event_id", "user_id"), ["event_id", "user_id"], "left_semi"
     )
     tiers = event_details.select(F.col("id").alias("event_detail_id"), "event_id", "price").join(
         owned.select("event_id", "title"), "event_id"
@@ -121,7 +119,7 @@ def detail_refund_totals(
         )
         .join(owners, "event_id")
         .join(
-            requests.select("event_detail_id", "user_id").distinct(),
+            requests.select("event_detail_id", "user_id"),
             ["event_detail_id", "user_id"],
             "left_semi",
         )

@@ -9,11 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boxoffice.functions import columns as c, fixed as fx
-from boxoffice.operators.aggregates import (
-    detail_refund_totals,
-    event_refund_totals,
-    payment_reservation_details,
-)
+from boxoffice.operators.aggregates import detail_refund_totals, event_refund_totals
 from boxoffice.operators.dml import refund_and_restore, update_payment
 
 
@@ -64,26 +60,47 @@ def customer_refunds(
     and ``error_count`` says how many there are; a payment's failing reservations all have the
     same message, so the two hold the full error text whatever its length.
     """
-    rows = payment_reservation_details(requests, payments, reservations, event_details)
-    no_intent = F.coalesce(F.col("payment_intent_id"), F.lit("")) == ""
-    incomplete = (
-        F.col("reservation_id").isNull() | F.col("show_date").isNull() | F.col("price").isNull()
+    asked = requests.select("payment_id", "user_id").distinct()
+    paid = payments.select(
+        F.col("id").alias("payment_id"),
+        "user_id",
+        "payment_intent_id",
+        "amount",
+        F.lit(True).alias("known"),
+    )
+    tiers = event_details.select(
+        F.col("id").alias("event_detail_id"), "event_id", "ticket_description", "show_date", "price"
     )
-    judged = rows.select(
-        "*",
-        (no_intent | incomplete).alias("bad"),
-        (~no_intent & ~incomplete & refundable("show_date", as_of)).alias("eligible"),
+    incomplete = F.col("show_date").isNull() | F.col("price").isNull()
+    booked = (
+        reservations.select(F.col("id").alias("reservation_id"), "event_detail_id", "payment_id")
+        .join(asked, "payment_id", "left_semi")
+        .join(tiers, "event_detail_id", "left")
+        .select(
+            "*",
+            incomplete.alias("bad"),
+            (~incomplete & refundable("show_date", as_of)).alias("eligible"),
+        )
     )
-    per_payment = judged.groupBy("payment_id", "user_id").agg(
-        F.first("payment_intent_id").alias("payment_intent_id"),
-        F.first("amount").alias("amount"),
-        F.count_if("bad").cast("int").alias("error_count"),
+    # Tickets are summed up per payment before they meet the payment.
+    per_payment = booked.groupBy("payment_id").agg(
+        F.count("*").alias("tickets"),
+        F.count_if("bad").alias("bad"),
         F.count_if("eligible").cast("int").alias("eligible_count"),
         F.sum(F.when(F.col("eligible"), F.col("price"))).cast(fx.MONEY_SUM).alias("sum_price"),
     )
+    no_intent = F.coalesce(F.col("payment_intent_id"), F.lit("")) == ""
+    # A payment without any reservation has one row that is incomplete.
+    tickets = F.coalesce(F.col("tickets"), F.lit(1))
+    bad = F.coalesce(F.col("bad"), F.lit(1))
+    staged = (
+        asked.join(paid, ["payment_id", "user_id"], "left")
+        .join(per_payment, "payment_id", "left")
+        .withColumn("error_count", F.when(no_intent, tickets).otherwise(bad).cast("int"))
+    )
     refund = F.coalesce(F.col("sum_price"), F.lit(0))
     stop = (
-        F.when(F.col("error_count").isNull(), "not_found")
+        F.when(F.col("known").isNull(), "not_found")
         .when(F.col("error_count") > 0, "error")
         .when(F.col("eligible_count") == 0, "not_eligible")
         .when(refund == 0, "no_amount")
@@ -97,9 +114,7 @@ def customer_refunds(
     )
     reached = F.col("stop").isNull()
     summary = (
-        requests.select("payment_id", "user_id")
-        .join(per_payment, ["payment_id", "user_id"], "left")
-        .withColumn("stop", stop)
+        staged.withColumn("stop", stop)
         .join(_answers(outcomes, "refund"), "payment_id", "left")
         .withColumn("outcome", outcome)
         .select(
@@ -111,9 +126,7 @@ def customer_refunds(
             F.when(F.col("outcome") == "error", F.col("error_count")).alias("error_count"),
             F.when(
                 F.col("outcome") == "error",
-                F.when(
-                    F.coalesce(F.col("payment_intent_id"), F.lit("")) == "", fx.MSG_INTENT_MISSING
-                ).otherwise(fx.MSG_INCOMPLETE),
+                F.when(no_intent, fx.MSG_INTENT_MISSING).otherwise(fx.MSG_INCOMPLETE),
             ).alias("error_line"),
             F.when(reached, F.col("eligible_count")).alias("refunded_count"),
             F.when(reached, F.col("sum_price")).alias("refund_total"),
@@ -134,11 +147,13 @@ def customer_refunds(
             .alias("message"),
         )
     )
-    failing = judged.filter("bad").select("payment_id", "user_id")
+    clean = staged.filter(F.col("known") & (F.col("error_count") == 0)).select(
+        "payment_id", "user_id"
+    )
     titles = events.select(F.col("id").alias("event_id"), "title")
     lines = (
-        judged.filter("eligible")
-        .join(failing, ["payment_id", "user_id"], "left_anti")
+        booked.filter("eligible")
+        .join(clean, "payment_id")
         .join(titles, "event_id", "left")
         .select(
             "payment_id",

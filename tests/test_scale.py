@@ -48,7 +48,6 @@ def test_running_against_a_loop(skewed):
 def test_pages_stay_small_and_whole(skewed):
     pages = paged(skewed, ["k"], "n", page_rows=50)
     assert pages.count() == skewed.count()
-    assert pages.filter("k <> 'hot'").filter("page <> 0").filter("k = 'k1'").count() >= 0
     sizes = pages.groupBy("k", "page").count().agg(F.max("count")).first()[0]
     assert sizes < 100
 
