@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from boxoffice.functions import columns as c, fixed as fx
 from boxoffice.functions.scale import SLICE, SPLIT_ROWS, materialize, running, slice_hot_keys
-from boxoffice.operators.dml import take_tickets
+from boxoffice.operators.dml import restore_and_delete_payments, take_tickets, update_payment
 
 TAIL_ROWS = 10_000
 
@@ -406,3 +406,52 @@ def retry_payments(requests: DataFrame, payments: DataFrame, outcomes: DataFrame
             F.when(done, F.col("expires_at")).alias("expires_at"),
         )
     )
+
+
+def apply_charges(
+    charged: DataFrame,
+    payments: DataFrame,
+    reservations: DataFrame,
+    event_details: DataFrame,
+    as_of: datetime | str | Column,
+) -> dict[str, DataFrame]:
+    """New table versions after ``post_charge_status``: a canceled booking gives its tickets back
+    and goes, any other payment gets its status, total and intent id."""
+    updates = charged.filter(~F.col("removed")).select(
+        F.lit(0).alias("seq"),
+        F.col("payment_id").alias("id"),
+        "user_id",
+        F.col("total").alias("amount"),
+        "status",
+        "payment_intent_id",
+    )
+    paid = update_payment(payments, updates, as_of).drop("updated")
+    canceled = charged.filter("removed").select(F.lit(0).alias("seq"), "payment_id", "user_id")
+    return restore_and_delete_payments(canceled, paid, reservations, event_details)
+
+
+def charge_logs(charged: DataFrame, as_of: datetime | str | Column) -> DataFrame:
+    """Audit rows of ``post_charge_status``; a free booking writes none."""
+    return charged.filter("logged").select(
+        c.derived_id(F.lit("log-charge"), "payment_id").alias("id"),
+        "status",
+        F.col("log_description").alias("description"),
+        F.coalesce("payment_intent_id", F.lit("")).alias("payment_intent_id"),
+        c.null_if_blank_text("payment_method_id").alias("payment_method_id"),
+        c.money("total").alias("amount"),
+        c.clock(as_of).alias("created_at"),
+        "user_email",
+        "payment_id",
+    )
+
+
+def retry_updates(retried: DataFrame) -> DataFrame:
+    """Requests for ``update_payment`` out of ``retry_payments``."""
+    return retried.filter(F.col("outcome") == "updated").select(
+        F.lit(0).alias("seq"),
+        F.col("payment_id").alias("id"),
+        "user_id",
+        "amount",
+        "status",
+        "payment_intent_id",
+    )

@@ -71,6 +71,19 @@ def payers_of(payments: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
+def bookers_of(charged: DataFrame, users: DataFrame) -> DataFrame:
+    """charged(payment_id, user_id, user_email): who booked. The mail goes to the address of the
+    request; an unknown user is greeted by it too."""
+    names = users.select(
+        F.col("id").alias("user_id"), c.full_name("firstname", "lastname").alias("name")
+    )
+    return charged.join(names, "user_id", "left").select(
+        "payment_id",
+        F.coalesce("name", "user_email").alias("name"),
+        F.col("user_email").alias("email"),
+    )
+
+
 def confirmation_mails(
     paid: DataFrame, payers: DataFrame, lines: DataFrame, team: str = TEAM_SIGNATURE
 ) -> DataFrame:

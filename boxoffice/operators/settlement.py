@@ -9,8 +9,14 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boxoffice.functions import columns as c, fixed as fx
+from boxoffice.functions.scale import materialize
 from boxoffice.operators.aggregates import detail_refund_totals, event_refund_totals
-from boxoffice.operators.dml import refund_and_restore, update_payment
+from boxoffice.operators.dml import (
+    delete_event_details,
+    delete_events,
+    refund_and_restore,
+    update_payment,
+)
 
 
 def refundable(show_date: Column | str, as_of: datetime | str | Column) -> Column:
@@ -179,8 +185,11 @@ def settle_customer_refunds(
     """New table versions after ``customer_refunds``: tickets back, reservations gone, and the
     payment's status set. Once the gateway has been asked, the payment's original amount is
     written back over the decrement."""
-    new = refund_and_restore(refunds.lines, payments, reservations, event_details)
-    asked = refunds.summary.filter(F.col("new_status").isNotNull()).select(
+    # Several tables come out of the two, so each is worked out once.
+    lines = materialize(refunds.lines, "refund-lines")
+    summary = materialize(refunds.summary, "refunds")
+    new = refund_and_restore(lines, payments, reservations, event_details)
+    asked = summary.filter(F.col("new_status").isNotNull()).select(
         F.lit(0).alias("seq"),
         F.col("payment_id").alias("id"),
         "user_id",
@@ -375,3 +384,51 @@ def cancel_logs(plan: DataFrame, requests: DataFrame, key: str, as_of) -> DataFr
             "payment_id",
         )
     )
+
+
+def cancel_events(
+    requests: DataFrame, tables: dict[str, DataFrame], outcomes: DataFrame, as_of: datetime | str
+) -> dict[str, DataFrame]:
+    """requests(event_id, user_id, user_email): owners delete events. Payments are refunded or
+    cancelled first; the events go whatever the gateway said. Returns the new table versions,
+    the new audit rows (``payment_logs``), the ``plan`` and the ``deletions`` per request."""
+    plan = event_cancel_plan(
+        requests,
+        tables["events"],
+        tables["event_details"],
+        tables["reservations"],
+        tables["payments"],
+        outcomes,
+    )
+    plan = materialize(plan, "cancel-plan")
+    new = delete_events(requests.select(F.col("event_id").alias("id"), "user_id"), tables)
+    new["payments"] = update_payment(tables["payments"], cancel_updates(plan), as_of).drop(
+        "updated"
+    )
+    new["payment_logs"] = cancel_logs(plan, requests, "event_id", as_of)
+    new["plan"] = plan
+    return new
+
+
+def cancel_event_details(
+    requests: DataFrame, tables: dict[str, DataFrame], outcomes: DataFrame, as_of: datetime | str
+) -> dict[str, DataFrame]:
+    """requests(event_detail_id, event_id, user_id, user_email): the same for ticket types. The
+    payments are settled for the event's owner only; the delete asks for the event alone."""
+    plan = detail_cancel_plan(
+        requests,
+        tables["events"],
+        tables["event_details"],
+        tables["reservations"],
+        tables["payments"],
+        tables["users"],
+        outcomes,
+    )
+    plan = materialize(plan, "cancel-plan")
+    named = requests.select(F.col("event_detail_id").alias("id"), "event_id")
+    new = delete_event_details(named, tables)
+    updates = cancel_updates(plan, "owner_id")
+    new["payments"] = update_payment(tables["payments"], updates, as_of).drop("updated")
+    new["payment_logs"] = cancel_logs(plan, requests, "event_detail_id", as_of)
+    new["plan"] = plan
+    return new

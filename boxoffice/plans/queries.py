@@ -576,8 +576,7 @@ def allocated_inventory(d: Derived) -> DataFrame:
     return _opening_sale(d)["event_details"].select("id", "event_id", "tickets_remaining")
 
 
-@query
-def post_charge_status(d: Derived) -> DataFrame:
+def _charged(d: Derived) -> DataFrame:
     pending = d.payments.selectExpr(
         "id as payment_id",
         "user_id",
@@ -589,13 +588,44 @@ def post_charge_status(d: Derived) -> DataFrame:
 
 
 @query
-def payment_retry(d: Derived) -> DataFrame:
+def post_charge_status(d: Derived) -> DataFrame:
+    return _charged(d)
+
+
+@query
+def post_charge_payments(d: Derived) -> DataFrame:
+    new = booking.apply_charges(_charged(d), d.payments, d.tickets, d.event_details, AS_OF)
+    return new["payments"]
+
+
+@query
+def post_charge_inventory(d: Derived) -> DataFrame:
+    new = booking.apply_charges(_charged(d), d.payments, d.tickets, d.event_details, AS_OF)
+    return new["event_details"].select("id", "event_id", "tickets_remaining")
+
+
+@query
+def post_charge_logs(d: Derived) -> DataFrame:
+    return booking.charge_logs(_charged(d), AS_OF)
+
+
+def _retried(d: Derived) -> DataFrame:
     requests = d.payments.selectExpr(
         "id as payment_id", "user_id + case when id % 6 = 0 then 1 else 0 end as user_id"
     )
     return booking.retry_payments(requests, d.payments, d.outcomes)
 
 
+@query
+def payment_retry(d: Derived) -> DataFrame:
+    return _retried(d)
+
+
+@query
+def payment_retry_payments(d: Derived) -> DataFrame:
+    return dml.update_payment(d.payments, booking.retry_updates(_retried(d)), AS_OF)
+
+
 # --- settlement ------------------------------------------------------------------------------
 
 
@@ -643,15 +673,38 @@ def event_cancel_plan(d: Derived) -> DataFrame:
     return _event_cancel_plan(d)
 
 
+def _cancel_events(d: Derived) -> dict[str, DataFrame]:
+    return settlement.cancel_events(_owned_events(d), _tables(d), d.outcomes, AS_OF)
+
+
+def _cancel_event_details(d: Derived) -> dict[str, DataFrame]:
+    requests = _owned_details(d).withColumn("event_id", F.expr("event_detail_id div 3"))
+    return settlement.cancel_event_details(requests, _tables(d), d.outcomes, AS_OF)
+
+
 @query
 def event_cancel_payments(d: Derived) -> DataFrame:
-    edits = settlement.cancel_updates(_event_cancel_plan(d))
-    return dml.update_payment(d.payments, edits, AS_OF)
+    return _cancel_events(d)["payments"]
 
 
 @query
 def event_cancel_logs(d: Derived) -> DataFrame:
-    return settlement.cancel_logs(_event_cancel_plan(d), _owned_events(d), "event_id", AS_OF)
+    return _cancel_events(d)["payment_logs"]
+
+
+@query
+def event_cancel_reservations(d: Derived) -> DataFrame:
+    return _cancel_events(d)["reservations"].drop("updated_at")
+
+
+@query
+def detail_cancel_payments(d: Derived) -> DataFrame:
+    return _cancel_event_details(d)["payments"]
+
+
+@query
+def detail_cancel_logs(d: Derived) -> DataFrame:
+    return _cancel_event_details(d)["payment_logs"]
 
 
 @query
@@ -696,6 +749,13 @@ def notify_confirmed(d: Derived) -> DataFrame:
     return outbox.confirmation_mails(*_applied(d, "payment_intent.succeeded"))
 
 
+@query
+def notify_booked(d: Derived) -> DataFrame:
+    charged = _charged(d).filter("notify").withColumn("mail_key", F.col("payment_id"))
+    lines = outbox.ticket_lines(d.reservations, d.payments, _details_with_title(d), charged)
+    return outbox.confirmation_mails(charged, outbox.bookers_of(charged, d.users), lines)
+
+
 @query
 def notify_payment_failed(d: Derived) -> DataFrame:
     return outbox.failure_mails(*_applied(d, "payment_intent.payment_failed"))

@@ -233,3 +233,33 @@ def test_retry(table):
         ("p6", "u1", "updated", "card_declined", "Declined."),
         ("p7", "u1", "updated", "error", "an unknown error occurred with payment update"),
     }
+
+
+def test_apply_charges(table, details):
+    payments = table(
+        schemas.PAYMENTS,
+        *[(f"p{i}", None, D(10), "usd", "pending", T0, T0, None, "u1") for i in (1, 2, 3, 7)],
+    )
+    reservations = table(
+        schemas.RESERVATIONS,
+        ("r1", "a@x.com", T0, None, "d1", "u1", "p3"), ("r2", "a@x.com", T0, None, "d2", "u1", "p1"),
+    )
+    pending = table(
+        "payment_id STRING, user_id STRING, user_email STRING, payment_method_id STRING, "
+        "total DECIMAL(20,2)",
+        *[(f"p{i}", "u1", "a@x.com", "pm", D(10)) for i in (1, 2, 3, 7)],
+    )
+    charged = booking.post_charge_status(pending, outcomes(table, "charge"))
+    new = booking.apply_charges(charged, payments, reservations, details, NOW)
+    assert rows(new["payments"], "id", "status", "payment_intent_id") == {
+        ("p1", "succeeded", "pi1"), ("p2", "requires_action", "pi2"), ("p7", "", None)
+    }
+    assert rows(new["reservations"], "id") == {("r2",)}
+    assert dict(rows(new["event_details"], "id", "tickets_remaining"))["d1"] == 6
+    logs = rows(booking.charge_logs(charged, NOW), "payment_id", "status", "description")
+    assert logs == {
+        ("p1", "succeeded", "payment successful"),
+        ("p2", "requires_action", "payment successful"),
+        ("p3", "canceled", "please refer to next action and status"),
+        ("p7", "", None),
+    }

@@ -240,3 +240,29 @@ def test_updated_event_mail_shows_the_organizer_only_if_given(table):
     got = {r.event_id: r.body for r in outbox.event_updated_mails(news, people, "- T").collect()}
     assert got["e1"].endswith("Title: T\nDescription: D\nOrganizer: Org\r\n\n- T")
     assert got["e2"].endswith("Title: T\nDescription: D\n\n- T")
+
+
+def test_cancelled_events_go_with_their_tickets(table, world):
+    asks = table("event_id STRING, user_id STRING, user_email STRING",
+                 ("e1", "u1", "u1@x.com"), ("e2", "u1", "u1@x.com"))
+    new = settlement.cancel_events(asks, world, world["outcomes"], NOW)
+    assert rows(new["deletions"], "id", "deleted") == {("e1", 1), ("e2", 0)}
+    assert rows(new["events"], "id") == {("e2",)}
+    assert {r[0] for r in rows(new["reservations"], "id")} == {"s1", "s2", "s3", "s4", "t1"}
+    by = {r.id: (r.amount, r.status) for r in new["payments"].collect()}
+    assert by["p4"] == (D("10.00"), "cancelled")
+    assert by["p3"] == (D("10.00"), "refunded")
+    assert new["payment_logs"].count() == new["plan"].count() == 6
+
+
+def test_cancelled_ticket_type_settles_for_the_owner_only(table, world):
+    schema = "event_detail_id STRING, event_id STRING, user_id STRING, user_email STRING"
+    asks = table(schema, ("a", "e1", "u1", "u1@x.com"), ("edge", "e2", "u1", "u1@x.com"))
+    new = settlement.cancel_event_details(asks, world, world["outcomes"], NOW)
+    by = {r.id: (r.amount, r.status) for r in new["payments"].collect()}
+    assert by["p1"] == (D("10.00"), "refunded")  # the owner paid it
+    assert by["p6"] == (D("10.00"), "pending")   # someone else did
+    # the delete does not ask who the owner is
+    left = {r[0] for r in rows(new["event_details"], "id")}
+    assert "a" not in left and "edge" not in left
+    assert new["payment_logs"].count() == 2
