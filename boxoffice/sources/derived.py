@@ -1,7 +1,7 @@
 """The booking tables, requests and webhooks derived from the TPC-H-like check tables.
 
 Each view is one projection of one table (reservations need one join), so that a query's cost
-is the cost of its operator. The DuckDB text of the same views is in ``oracle/views.py``.
+is the cost of its operator. The DuckDB text of the same views is in ``duckdb_texts/views.py``.
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
 """One DuckDB text per registered query, written from the rules and not from the Spark plans."""
 
-from oracle.views import with_views
+from duckdb_texts.views import with_views
 
 ORACLE: dict[str, str] = {}
 

@@ -12,7 +12,7 @@ import duckdb  # noqa: E402
 
 from boxoffice.plans.queries import QUERIES  # noqa: E402
 from boxoffice.session import local_session  # noqa: E402
-from oracle.queries import ORACLE  # noqa: E402
+from duckdb_texts.queries import ORACLE  # noqa: E402
 
 
 def connect(sf_dir: str):

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 from boxoffice.plans.queries import QUERIES
-from oracle.queries import ORACLE
+from duckdb_texts.queries import ORACLE
 from tests.check_oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
