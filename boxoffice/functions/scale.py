@@ -47,14 +47,17 @@ def slice_hot_keys(
     order: list[str],
     split_rows: int = SPLIT_ROWS,
     probe: DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Prepare ``df`` for ``running``: if a key has more rows than one task should sort,
     cut the rows into ranges of (key, order) and note the range in ``_slice``.
 
     ``probe`` is a cheaper table whose rows per key are about those of ``df``; its columns are
-    all keys. The ranges are written before use, so that both passes of ``running`` see the same
-    cut.
+    all keys. ``rows`` is the number of rows where it is known: too few for a hot key need no
+    count. The ranges are written before use, so that both passes of ``running`` see the same cut.
     """
+    if rows is not None and rows <= split_rows:
+        return df
     probe = df.select(*keys) if probe is None else probe
     counts = probe.groupBy(*probe.columns).count()
     total, largest = counts.agg(F.sum("count"), F.max("count")).first()

@@ -113,7 +113,9 @@ def decide_requests(
     demand = lines.filter(F.col("quantity") > 0).groupBy(*group).agg(
         F.sum("quantity").alias("quantity")
     )
-    demand = materialize(demand, "demand")
+    size = Observation()
+    demand = materialize(demand, "demand", size, F.count("*").alias("rows"))
+    rows = size.get["rows"]
     stock = event_details.select(
         F.col("id").alias("event_detail_id"), F.col("tickets_remaining").alias("capacity")
     )
@@ -128,12 +130,14 @@ def decide_requests(
     )
     state = demand.join(contested, "event_detail_id").withColumn("accepted", F.lit(False))
     state = slice_hot_keys(
-        state, ["event_detail_id"], order, split_rows, demand.select("event_detail_id")
+        state, ["event_detail_id"], order, split_rows, demand.select("event_detail_id"), rows
     )
     columns = state.columns
     rejected = demand.select("request_id").limit(0)
-    longest = demand.groupBy("request_id").count().agg(F.max("count")).first()[0] or 0
-    judge = _judge if longest <= split_rows else _judge_long_requests
+    judge = _judge
+    if rows > split_rows:
+        longest = demand.groupBy("request_id").count().agg(F.max("count")).first()[0]
+        judge = _judge if longest <= split_rows else _judge_long_requests
 
     while True:
         counts = Observation()
@@ -146,10 +150,10 @@ def decide_requests(
             F.count_if(F.col("verdict") != "out").alias("rows"),
         )
         rejected = rejected.unionByName(
-            judged.filter(F.col("verdict") == "out").select("request_id").distinct()
+            judged.filter(F.col("verdict") == "out").select("request_id")
         )
         if counts.get["undecided"] == 0:
-            return rejected
+            return rejected.distinct()
         # Only what comes before a type's last undecided request can still matter to it.
         waiting = (
             judged.filter(is_open)
@@ -164,7 +168,7 @@ def decide_requests(
             .select(*columns)
         )
         if counts.get["rows"] <= tail_rows:
-            return rejected.unionByName(_settle_tail(state, order))
+            return rejected.unionByName(_settle_tail(state, order)).distinct()
 
 
 def _fits(state: DataFrame, order: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from boxoffice.functions import columns as c, fixed as fx
 from boxoffice.functions.scale import SPLIT_ROWS, materialize, running, slice_hot_keys
@@ -27,8 +27,21 @@ class WebhookResult:
     applied: DataFrame
 
 
+@dataclass(frozen=True)
+class Arrivals:
+    """How many events a batch has, and the arrival numbers [begin, end) they lie in."""
+
+    rows: int
+    begin: int
+    end: int
+
+
 def resolve_events(
-    typed: DataFrame, payments: DataFrame, users: DataFrame, split_rows: int = SPLIT_ROWS
+    typed: DataFrame,
+    payments: DataFrame,
+    users: DataFrame,
+    arrivals: Arrivals,
+    split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Find each event's payment. Intent events name it; refund events carry an intent id, which
     is looked up as it stood when the event arrived."""
@@ -56,9 +69,9 @@ def resolve_events(
     held = named.filter(F.col("reason").isNull()).select(
         "payment_id", "intent_id", "created_at", "seq"
     )
-    spans = _spans(held, payments, typed, intents.select("payment_ref"), split_rows)
+    spans = _spans(held, payments, arrivals, intents.select("payment_ref"), split_rows)
     refunds = typed.filter(F.col("reason").isNull() & ~is_intent)
-    found = _holders_as_of(refunds, *spans)
+    found = _holders_as_of(refunds, spans, arrivals)
     columns = [*typed.columns, "payment_id"]
     return (
         named.select(*columns)
@@ -94,13 +107,11 @@ def payments_in_play(typed: DataFrame, payments: DataFrame) -> DataFrame:
 
 
 def _spans(
-    held: DataFrame, payments: DataFrame, typed: DataFrame, probe: DataFrame, split_rows: int
-) -> tuple[DataFrame, int, int]:
+    held: DataFrame, payments: DataFrame, arrivals: Arrivals, probe: DataFrame, split_rows: int
+) -> DataFrame:
     """Which payment held which intent id when: rows (intent_id, p, lo, hi), where ``p`` sorts by
-    age and [lo, hi) counts arrivals from the first of the batch; then that first arrival, and
-    the length of the batch."""
-    begin, last = typed.agg(F.min("seq"), F.max("seq")).first()
-    begin, end = begin or 0, (last or 0) + 1
+    age and [lo, hi) counts arrivals from the first of the batch."""
+    begin, end = arrivals.begin, arrivals.end
     stored = payments.select(
         F.col("id").alias("payment_id"),
         F.col("payment_intent_id").alias("intent_id"),
@@ -111,11 +122,13 @@ def _spans(
     moves = stored.unionByName(held).withColumn(
         "intent_id", F.coalesce("intent_id", F.lit(""))
     )
-    moves = slice_hot_keys(moves, ["payment_id"], ["seq"], split_rows, probe)
+    moves = slice_hot_keys(
+        moves, ["payment_id"], ["seq"], split_rows, probe, arrivals.rows
+    )
     changes = running(
         moves, ["payment_id"], ["seq"], lasts={"held": F.col("intent_id")}
     ).filter(F.col("held").isNull() | (F.col("held") != F.col("intent_id")))
-    spans = (
+    return (
         running(changes.drop("held"), ["payment_id"], ["seq"], nexts={"until": F.col("seq")})
         .filter(F.col("intent_id") != "")
         .select(
@@ -125,10 +138,9 @@ def _spans(
             (F.coalesce("until", F.lit(end)) - begin).alias("hi"),
         )
     )
-    return spans, begin, end - begin
 
 
-def _holders_as_of(refunds: DataFrame, spans: DataFrame, begin: int, length: int) -> DataFrame:
+def _holders_as_of(refunds: DataFrame, spans: DataFrame, arrivals: Arrivals) -> DataFrame:
     """Add ``payment_id``: the oldest payment that held the intent id when the event arrived.
 
     All payments that hold an id throughout the batch are stood for by their oldest. An id with
@@ -136,6 +148,7 @@ def _holders_as_of(refunds: DataFrame, spans: DataFrame, begin: int, length: int
     cut into blocks of 2^k arrivals, each block keeps its oldest payment, and an event looks up
     the block around it at every size. So rows never multiply with the payments of an id.
     """
+    begin, length = arrivals.begin, arrivals.end - arrivals.begin
     whole = (F.col("lo") == 0) & (F.col("hi") == length)
     holders = spans.groupBy("intent_id").agg(
         F.min(F.when(whole, F.col("p"))).alias("throughout"),
@@ -202,10 +215,21 @@ def fold_webhooks(
         first = typed.groupBy(*same).agg(F.min("seq").alias("seq"))
         typed = first.select(*typed.columns)
     # Both are read by many branches: bodies are parsed once and payments looked up once.
-    typed = materialize(typed, "webhooks")
+    seen = Observation()
+    typed = materialize(
+        typed,
+        "webhooks",
+        seen,
+        F.count("*").alias("rows"),
+        F.min("seq").alias("first"),
+        F.max("seq").alias("last"),
+    )
     if few:
         payments = materialize(payments_in_play(typed, payments), "in-play")
-    events = materialize(resolve_events(typed, payments, users, split_rows), "resolved")
+    arrivals = Arrivals(seen.get["rows"], seen.get["first"] or 0, (seen.get["last"] or 0) + 1)
+    events = materialize(
+        resolve_events(typed, payments, users, arrivals, split_rows), "resolved"
+    )
     live = events.filter(F.col("reason").isNull())
 
     is_intent = F.col("type").isin(*INTENT_TYPES)

@@ -8,7 +8,7 @@ again after a failure overwrites its own paths and reads only older ones, so it
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -76,7 +76,7 @@ def apply_webhook_stream(
     """raw(seq, value), streaming. The caller sets the trigger and starts the writer."""
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        now = as_of or datetime.now()
+        now = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
         payments = current_payments(base_payments, store, batch_id)
         result = fold_webhooks(
             parse_webhooks(batch), payments, users, now, split_rows=split_rows, few=True
