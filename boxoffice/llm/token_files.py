@@ -19,9 +19,12 @@ from boxoffice.functions.scale import materialize, shared_dir
 from boxoffice.llm.elias_fano import EliasFano
 from boxoffice.llm.files import Reader, Writer, unique_name
 from boxoffice.llm.textkit import Memo, fingerprints, first_of_each, slices, text_bytes
-from boxoffice.llm.token_fst import Splitter
+from boxoffice.llm.token_fst import Splitter, byte_of_char
 
 READ_IDS = 1 << 20
+CHAR_OF_BYTE = np.zeros(256, "<u2")
+for _char, _byte in byte_of_char().items():
+    CHAR_OF_BYTE[_byte] = ord(_char)
 
 
 class Encoder:
@@ -37,9 +40,12 @@ class Encoder:
     def _reset(self) -> None:
         self.pieces, self.pool, self.used = Memo(), np.zeros(1 << 16, np.uint32), 0
         self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        if self.splitter.added:
+            data, offsets = text_bytes(pa.array(self.splitter.added))
+            ids = [[self.library.token_to_id(token.decode())] for token in self.splitter.added]
+            self._keep(fingerprints(data, offsets[:-1], offsets[1:]), ids)
 
-    def _learn(self, prints: np.ndarray, texts: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def _keep(self, prints: np.ndarray, found: list[list[int]]) -> None:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter((i for piece in found for i in piece), np.uint32, int(lengths.sum()))
         first = self.pieces.size
@@ -63,8 +69,11 @@ class Encoder:
         missing = np.flatnonzero(piece < 0)
         if len(missing):
             new, place = first_of_each(prints[missing])
-            where, raw = missing[place], data.tobytes()
-            self._learn(new, [raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+            where = missing[place]
+            # The model reads bytes as the characters that stand for them.
+            chars, model = CHAR_OF_BYTE[data].tobytes().decode("utf-16-le"), self.library.model
+            spans = zip(starts[where].tolist(), ends[where].tolist(), strict=True)
+            self._keep(new, [[token.id for token in model.tokenize(chars[a:b])] for a, b in spans])
             piece[missing] = self.pieces.find(prints[missing])
         length = self.length[piece]
         upto = np.append(0, np.cumsum(length))

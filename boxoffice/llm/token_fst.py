@@ -196,7 +196,7 @@ class Splitter:
         return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _byte_of_char() -> dict[str, int]:
+def byte_of_char() -> dict[str, int]:
     """The byte that each character stands for in a byte-level vocabulary: printable bytes stand for
     themselves, the others for the characters from 256 on, in order."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -213,7 +213,7 @@ class Merger:
             model = json.load(file)["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges"):
             raise ValueError("only plain BPE can be compiled")
-        byte = _byte_of_char()
+        byte = byte_of_char()
         raw = {token: bytes(byte[c] for c in token) for token in model["vocab"] if all(c in byte for c in token)}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.ids: dict[bytes, int] = {}
