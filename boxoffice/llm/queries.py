@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from boxoffice.llm.language_id import identify_languages
+from boxoffice.llm.license_scan import scan_licenses, scan_sql
 from boxoffice.llm.mixing import mix
 from boxoffice.llm.token_counts import token_counts
 from boxoffice.llm.token_files import read_token_files, token_folder, write_token_files
@@ -36,11 +37,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
     "op8_token_files": op8_token_files,
     "op9_token_counts": op9_token_counts,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_license_scan": scan_sql(),
+}
