@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from boxoffice.llm.language_id import identify_languages
 from boxoffice.llm.license_scan import scan_licenses, scan_sql
 from boxoffice.llm.mixing import mix
+from boxoffice.llm.quality_rules import quality_rules
 from boxoffice.llm.token_counts import token_counts
 from boxoffice.llm.token_files import read_token_files, token_folder, write_token_files
 
@@ -27,6 +28,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     manifest = write_token_files(docs, public_tokenizers.path(TOKENIZER), 2, token_folder(spark))
@@ -44,6 +49,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
+    "op7_quality_rules": op7_quality_rules,
     "op8_token_files": op8_token_files,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
