@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: A slice of a batch holds at most this many bytes of text, or one longer text.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -18,7 +18,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     ``tokenizer`` is the path of a byte-level BPE file. Counts are those of the library without added
     begin or end tokens. A null or empty text has no bytes and no tokens; a null id stays; repeated
     rows are counted each on its own. Other columns are ignored. A task holds about 60 bytes for each
-    byte of a slice of 2 MB, or of one longer text.
+    byte of a slice of half a MB, or of one longer text.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

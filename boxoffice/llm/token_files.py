@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from boxoffice.functions.scale import materialize, shared_dir
+from boxoffice.llm.batches import small_batches
 from boxoffice.llm.elias_fano import EliasFano
 from boxoffice.llm.files import Reader, Writer, unique_name
 from boxoffice.llm.textkit import Memo, fingerprints, first_of_each, slices, text_bytes
@@ -31,7 +32,7 @@ class Encoder:
     """The library's ids of texts. Pieces are independent of each other, so each is encoded once and
     kept, until ``max_pieces`` are and the table starts anew."""
 
-    def __init__(self, path: str, max_pieces: int = 3_000_000):
+    def __init__(self, path: str, max_pieces: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library, self.splitter, self.max_pieces = Tokenizer.from_file(path), Splitter(path), max_pieces
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
@@ -39,7 +40,7 @@ class Encoder:
 
     def _reset(self) -> None:
         self.pieces, self.pool, self.used = Memo(), np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.begin, self.length = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         if self.splitter.added:
             data, offsets = text_bytes(pa.array(self.splitter.added))
             ids = [[self.library.token_to_id(token.decode())] for token in self.splitter.added]
@@ -75,7 +76,7 @@ class Encoder:
             spans = zip(starts[where].tolist(), ends[where].tolist(), strict=True)
             self._keep(new, [[token.id for token in model.tokenize(chars[a:b])] for a, b in spans])
             piece[missing] = self.pieces.find(prints[missing])
-        length = self.length[piece]
+        length = self.length[piece].astype(np.int64)
         upto = np.append(0, np.cumsum(length))
         ids = self.pool[np.arange(upto[-1]) + np.repeat(self.begin[piece] - upto[:-1], length)]
         return np.insert(ids, upto[at[1:]], end_id), upto[at[1:]] - upto[at[:-1]] + 1
@@ -131,7 +132,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     manifest = ordered.mapInArrow(write, "path string, first_id long, n_docs long, n_ids long")
-    return materialize(manifest, "token-manifest")
+    with small_batches(docs.sparkSession):
+        return materialize(manifest, "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
