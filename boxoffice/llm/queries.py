@@ -11,14 +11,35 @@ from boxoffice.llm.mixing import mix
 from boxoffice.llm.quality_rules import quality_rules
 from boxoffice.llm.token_counts import token_counts
 from boxoffice.llm.token_files import read_token_files, token_folder, write_token_files
+from boxoffice.llm.warc import read_warc, warc_folder, write_warc
 
 TOKENIZER = "byte_bpe_50k.json"
+WARC_SPLIT_BYTES = 4 << 20
+
+#: The digest is of the UTF-8 bytes.
+OP3_SQL = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS n FROM pages
+), w AS (
+    SELECT payload, max(page_id) AS whole FROM p WHERE n >= 1000 GROUP BY payload
+), r AS (
+    SELECT p.*, CASE WHEN n >= 1000 AND page_id <> whole THEN whole END AS refers_to FROM p LEFT JOIN w USING (payload)
+)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
+    CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to::BIGINT AS refers_to FROM r
+"""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_warc(_table(spark, sf_dir, "pages"), warc_folder(spark))
+    records = read_warc(manifest, WARC_SPLIT_BYTES, payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +68,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_warc": op3_warc,
     "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
     "op7_quality_rules": op7_quality_rules,
@@ -56,5 +78,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_warc": OP3_SQL,
     "op10_license_scan": scan_sql(),
 }
