@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from boxoffice.llm.jaccard_join import jaccard_components
 from boxoffice.llm.language_id import identify_languages
 from boxoffice.llm.license_scan import scan_licenses, scan_sql
 from boxoffice.llm.mixing import mix
@@ -34,6 +35,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_warc(_table(spark, sf_dir, "pages"), warc_folder(spark))
     records = read_warc(manifest, WARC_SPLIT_BYTES, payload=False)
@@ -68,6 +73,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op3_warc": op3_warc,
     "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
