@@ -9,6 +9,7 @@ from boxoffice.llm.jaccard_join import jaccard_components
 from boxoffice.llm.language_id import identify_languages
 from boxoffice.llm.license_scan import scan_licenses, scan_sql
 from boxoffice.llm.mixing import mix
+from boxoffice.llm.ngram_trie import language_model_scores
 from boxoffice.llm.quality_rules import quality_rules
 from boxoffice.llm.token_counts import token_counts
 from boxoffice.llm.token_files import read_token_files, token_folder, write_token_files
@@ -39,6 +40,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_warc(_table(spark, sf_dir, "pages"), warc_folder(spark))
     records = read_warc(manifest, WARC_SPLIT_BYTES, payload=False)
@@ -74,6 +79,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_language_model": op2_language_model,
     "op3_warc": op3_warc,
     "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
