@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from boxoffice.llm.decontamination import contaminated
 from boxoffice.llm.jaccard_join import jaccard_components
 from boxoffice.llm.language_id import identify_languages
 from boxoffice.llm.license_scan import scan_licenses, scan_sql
@@ -50,6 +51,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -81,6 +86,7 @@ QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_model": op2_language_model,
     "op3_warc": op3_warc,
+    "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
     "op7_quality_rules": op7_quality_rules,
