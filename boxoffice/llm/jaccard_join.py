@@ -46,9 +46,13 @@ class Bands:
         top = self.edges[1:] - 1
         # |A - B| + |B - A| = |A| + |B| - 2 |A & B|, and |A & B| >= p / (100 + p) (|A| + |B|).
         self.most = 2 * top * (100 - percent) // (100 + percent)
-        thin = 0.025 * (self.most + 1)
+        # Spare blocks for those with at most ``thin_tokens`` tokens, whose number is about Poisson, at
+        # the least set size that meets the band, and for those whose buckets are large.
+        self.thin_tokens = 1 if percent >= 88 else 0
+        self.heavy = 2 + self.most // (20 if percent >= 88 else 10)
+        rate = percent * self.edges[:-1] / 100 / (1.15 * self.most + 3 + self.heavy)
+        thin = (self.most + 1) * np.exp(-rate) * (1 + rate * self.thin_tokens)
         self.thin = np.ceil(thin + 3 * np.sqrt(thin)).astype(np.int64) + 1
-        self.heavy = 2 + self.most // 20
         self.blocks = self.most + 1 + self.thin + self.heavy
         # Where no difference is allowed, equal sets are classes already.
         self.idle = self.most == 0
@@ -94,8 +98,8 @@ def sketch_keys(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray
             value[flat[begin]] = np.bitwise_xor.reduceat(mix(codes), begin)
         holder = np.repeat(np.arange(n), blocks)
         place = np.arange(total) - first[holder]
-        # Blocks with at most one token say little; they are left out where the spare blocks allow it.
-        thin = count <= 1
+        # Thin blocks say little; they are left out where the spare blocks allow it.
+        thin = count <= b.thin_tokens
         few = np.bincount(holder, weights=thin, minlength=n) <= b.thin[band]
         emit = ~(thin & few[holder])
         key = mix(value + mix((band[holder] * np.int64(1 << 32) + place).astype(np.uint64)))
@@ -105,19 +109,29 @@ def sketch_keys(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray
     return key[order], np.searchsorted(holder[order], np.arange(n + 1))
 
 
-def sketched(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """id, n (set size), s1 and s2 (a 128-bit fingerprint of the set), keys."""
+def set_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """id, n (set size), s1 and s2 (a 128-bit fingerprint of the set)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             h, at = shingle_sets(part.column(1), shingle)
             sums = [np.append(np.uint64(0), np.cumsum(mix(h ^ np.uint64(seed)), dtype=np.uint64)) for seed in (0x51ED270B, 0xA3B195354A39B70D)]
             prints = [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
-            keys, cut = sketch_keys(h, at, percent)
+            yield pa.record_batch([part.column(0), pa.array(np.diff(at)), *map(pa.array, prints)], names=["id", "n", "s1", "s2"])
+
+    return docs.select("id", "text").mapInArrow(make, "id long, n long, s1 long, s2 long")
+
+
+def bucket_keys(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """rep (the id) and key, a row for each block of the sketches of ``text``."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            keys, cut = sketch_keys(*shingle_sets(part.column(1), shingle), percent)
             lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(keys.view(np.int64)))
-            yield pa.record_batch([part.column(0), pa.array(np.diff(at)), *map(pa.array, prints), lists], names=["id", "n", "s1", "s2", "keys"])
+            yield pa.record_batch([part.column(0), lists], names=["rep", "keys"])
 
-    return docs.select("id", "text").mapInArrow(make, "id long, n long, s1 long, s2 long, keys array<long>")
+    return docs.select("id", "text").mapInArrow(make, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -209,13 +223,17 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     with small_batches(spark):
-        sets = materialize(sketched(rows, shingle, percent), "sets")
+        sets = materialize(set_prints(rows, shingle), "sets")
     classes = materialize(sets.filter(F.col("n") > 0).groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
-    # Only the representatives' keys are dealt out.
-    heads = sets.filter(F.size("keys") > 0).join(classes, ["n", "s1", "s2"]).filter(F.col("id") == F.col("rep"))
-    keyed = heads.select("rep", "n", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("lead")).filter(F.col("members") > 1)
-    met = materialize(keyed.join(buckets, "key"), "buckets")
+    # Only the representatives' keys are dealt out. They are made twice: for the counts, which combine
+    # before the shuffle, and for the join with the keys that are met more than once.
+    heads = classes.select(F.col("rep").alias("own"), "n").filter(F.col("own").isNotNull())
+    keyed = bucket_keys(rows.join(heads, F.col("id") == F.col("own"), "left_semi"), shingle, percent)
+    buckets = keyed.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
+    with small_batches(spark):
+        met = materialize(keyed.join(buckets, F.col("key") == F.col("k")).select("key", "rep", "members"), "buckets")
+    leads = met.groupBy(F.col("key").alias("k")).agg(F.min("rep").alias("lead"))
+    met = materialize(met.join(leads, F.col("key") == F.col("k")).join(heads, F.col("rep") == F.col("own")).select("key", "rep", "n", "lead", "members"), "buckets")
     heavy = F.col("members") > large
     band = bands(percent)
     spare = F.lit(0)

@@ -200,14 +200,14 @@ def train(labelled: DataFrame, max_rows: int = 3_000, held: int = 5) -> Model |
     return Model(languages, weights[:-1] * idf[:, None], weights[-1], fit_temperature(logits, labels[rest]))
 
 
-def predict(rows: DataFrame, model: Model | None) -> DataFrame:
-    """Add lang_pred and score to ``rows``, which have a column ``text`` and otherwise any columns.
-    Texts that are null or without a letter are ``und`` with score 0. The model, buckets x languages
-    of 8 bytes, is broadcast."""
+def predict(rows: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add the language and its score, as ``names``, to ``rows``, which have a column ``text`` and
+    otherwise any columns. Texts that are null or without a letter are ``und`` with score 0. The model,
+    buckets x languages of 8 bytes, is broadcast."""
     if model is None:
-        return rows.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+        return rows.withColumns({names[0]: F.lit(UNKNOWN), names[1]: F.lit(0.0)})
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    schema = rows.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    schema = rows.withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -219,10 +219,10 @@ def predict(rows: DataFrame, model: Model | None) -> DataFrame:
             letters = np.diff(upto) > 0
             chance = softmax(own.logits(column) / own.temperature)
             best = chance.argmax(axis=1)
-            names = [own.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), letters.tolist(), strict=True)]
+            found = [own.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), letters.tolist(), strict=True)]
             scores = np.where(letters, chance[np.arange(len(best)), best], 0.0)
             kept = [part.column(name) for name in part.schema.names]
-            yield pa.record_batch([*kept, pa.array(names, pa.string()), pa.array(scores)], names=[*part.schema.names, "lang_pred", "score"])
+            yield pa.record_batch([*kept, pa.array(found, pa.string()), pa.array(scores)], names=[*part.schema.names, *names])
 
     return rows.mapInArrow(score, schema)
 

@@ -16,7 +16,7 @@ from boxoffice.llm.token_counts import token_counts
 from boxoffice.llm.token_files import read_token_files, token_folder, write_token_files
 from boxoffice.llm.warc import read_warc, warc_folder, write_warc
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 WARC_SPLIT_BYTES = 4 << 20
 
 #: The digest is of the UTF-8 bytes.
@@ -70,7 +70,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    manifest = write_token_files(docs, public_tokenizers.path(TOKENIZER), 2, token_folder(spark))
+    manifest = write_token_files(docs, public_tokenizers.path(TOKENIZER), END_ID, token_folder(spark))
     return read_token_files(manifest)
 
 
