@@ -13,10 +13,11 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """Hang neighbours (the larger, or the smaller and the node itself) to the least neighbour. Minima
-    are taken before the shuffle; the join splits a hub by its size."""
+    are taken before the shuffle, and written, so that the join shuffles both sides and can split a hub."""
     if not large:
         pairs = pairs.filter(F.col("b") < F.col("a"))
     least = pairs.groupBy(F.col("a").alias("hub")).agg(F.min("b").alias("least")).withColumn("least", F.least("hub", "least"))
+    least = materialize(least, "least")
     joined = pairs.join(least, F.col("a") == F.col("hub"))
     if large:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -25,20 +26,22 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("a") != F.col("b")).distinct()
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node hangs to one other at most, and none hangs to one that hangs itself."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    )
+    sums = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return sums.filter((F.col("hangs") > 1) | (F.col("hangs") + F.col("holds") > 1)).isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b: long, not null) to node and component, its least node. Nodes without an edge
     to another are left out; repeated edges and loops do no harm."""
-
-    def sums(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    edges = materialize(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "edges")
-    before = sums(edges)
-    while before[0]:
+    edges = edges.select("a", "b").filter(F.col("a") != F.col("b"))
+    while True:
         edges = materialize(_star(_both_ways(edges), large=True), "edges")
         edges = materialize(_star(_both_ways(edges), large=False), "edges")
-        after = sums(edges)
-        if after == before:
+        if _is_star_forest(edges):
             break
-        before = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
