@@ -21,15 +21,13 @@ def clock(as_of: datetime | str | Column) -> Column:
 
 
 def money(c: Column | str) -> Column:
-    return _col(c).cast(fx.MONEY)
-
-
-def cents(c: Column | str) -> Column:
-    return F.round(_col(c) * 100).cast("long")
+    """NULL where the amount is beyond the money type; the caller says what then becomes of the row."""
+    return _col(c).try_cast(fx.MONEY)
 
 
 def from_cents(c: Column | str) -> Column:
-    return (F.coalesce(_col(c), F.lit(0)).cast("decimal(18,0)") / 100).cast(fx.MONEY)
+    """Whole cents as money; an absent number is 0. NULL beyond the money type."""
+    return (F.coalesce(_col(c), F.lit(0)).cast("decimal(20,0)") / 100).try_cast(fx.MONEY)
 
 
 def null_if_blank_text(c: Column | str) -> Column:

@@ -30,6 +30,8 @@ REFUND_PENDING = "refund pending"
 REFUND_FAILED = "refund_failed"
 
 # --- patterns -------------------------------------------------------------
+# The rule's own form repeats a group inside a repeated group; Java's regular expressions go back
+# over such a text without end, so the same set of addresses is written here without one.
 # [ and ] are members of the local-part class; \z refuses a trailing newline.
 EMAIL_PATTERN = (
     r"^[A-Za-z0-9][._\-\]\[A-Za-z0-9]*@[A-Za-z0-9]+([\-\.][A-Za-z0-9]+)*\.[A-Za-z]{2,15}\z"
@@ -61,13 +63,13 @@ MSG_INTAKE_ERRORS = "encountered errors:\n"
 
 # --- booking --------------------------------------------------------------
 MSG_NO_TICKETS = "no tickets being reserved"
-MSG_EMPTY_LIST = "reservations list cannot be empty"
 MSG_DETAIL_NOT_FOUND = "event detail with ID %s not found"
 MSG_INSUFFICIENT = (
     "insufficient tickets remaining for one or more requested events: "
     "only %s tickets remaining for %s"
 )
 MSG_SHOW_PAST = "error booking ticket, show date is already past: %s, show date: %s"
+MSG_PAYMENT_ERROR = "internal database error creating payment"
 MSG_SOLD_OUT = "error reserving ticket, transaction rolled back: sql: no rows in result set"
 
 # --- charge outcome -------------------------------------------------------

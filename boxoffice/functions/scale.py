@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 SPLIT_ROWS = 2_000_000
-PAGE_ROWS = 1_000
 SLICE = "_slice"
 
 
@@ -89,7 +88,7 @@ def running(
     work = df.select("*", *[c.alias(f"_in_{n}") for n, c in inputs.items()])
     drop = [f"_in_{n}" for n in inputs]
 
-    def spread(frame: DataFrame, parts: list[str], by: list[str], prefix: str) -> DataFrame:
+    def over(frame: DataFrame, parts: list[str], by: list[str], prefix: str) -> DataFrame:
         w = Window.partitionBy(*parts).orderBy(*by)
         before = w.rowsBetween(Window.unboundedPreceding, -1)
         after = w.rowsBetween(1, Window.unboundedFollowing)
@@ -101,7 +100,7 @@ def running(
         )
 
     if SLICE not in df.columns:
-        out = spread(work, keys, order, "")
+        out = over(work, keys, order, "")
         for n in sums:
             out = out.withColumn(n, F.coalesce(n, F.lit(0)))
         return out.drop(*drop)
@@ -118,8 +117,8 @@ def running(
             for n in nexts
         ],
     )
-    carried = spread(digest, keys, [SLICE], "_far_").drop(*drop)
-    near = spread(work, [*keys, SLICE], order, "_near_")
+    carried = over(digest, keys, [SLICE], "_far_").drop(*drop)
+    near = over(work, [*keys, SLICE], order, "_near_")
     out = near.join(carried, [*keys, SLICE])
     for n in inputs:
         near_n, far_n = F.col(f"_near_{n}"), F.col(f"_far_{n}")
@@ -129,17 +128,3 @@ def running(
             value = F.coalesce(near_n, far_n)
         out = out.withColumn(n, value)
     return out.drop(*drop, *[f"_near_{n}" for n in inputs], *[f"_far_{n}" for n in inputs])
-
-
-def paged(df: DataFrame, keys: list[str], row_id: str, page_rows: int = PAGE_ROWS) -> DataFrame:
-    """Number pages inside each key so that gathering a key's rows stays small.
-
-    A key with at most ``page_rows`` rows has the single page 0; a larger one is spread by a
-    hash of its row id over as many pages as it needs. No row is left out.
-    """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    pages = F.ceil(F.col("_rows") / page_rows).cast("long")
-    page = F.when(F.col("_rows") <= page_rows, F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(row_id), pages)
-    )
-    return df.join(sizes, keys).withColumn("page", page.cast("int")).drop("_rows")

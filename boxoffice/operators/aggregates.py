@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from boxoffice.functions import columns as c, fixed as fx
-from boxoffice.functions.scale import paged
 
 
 def payment_reservation_details(
@@ -193,10 +192,11 @@ def confirmed_attendees(
 
 
 def nest_tickets(rows: DataFrame) -> DataFrame:
-    """Fold ``events_with_tickets`` rows into ``tickets`` lists, one row per event and page.
+    """Fold ``events_with_tickets`` rows into ``tickets``, one whole list per event in the order of
+    the ticket types' ids; an event without a ticket type has an empty one.
 
-    An ordinary event has the single page 0. An event with very many ticket types is spread over
-    pages, so that no task gathers an unbounded list. No ticket type: an empty list.
+    A list is one row of the answer and so as large as the event's own ticket types are. Who wants
+    no list reads the flat rows.
     """
     ticket = [
         "show_date", "price", "number_of_tickets", "tickets_remaining", "ticket_description"
@@ -206,8 +206,4 @@ def nest_tickets(rows: DataFrame) -> DataFrame:
         F.col("event_detail_id").isNotNull(),
         F.struct(F.col("event_detail_id").alias("id"), *ticket),
     )
-    return (
-        paged(rows, ["event_id"], "event_detail_id")
-        .groupBy(*head, "page")
-        .agg(F.array_sort(F.collect_list(item)).alias("tickets"))
-    )
+    return rows.groupBy(*head).agg(F.array_sort(F.collect_list(item)).alias("tickets"))

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from boxoffice.functions import columns as c, fixed as fx
-from boxoffice.functions.scale import SLICE, SPLIT_ROWS, materialize, running, slice_hot_keys
+from boxoffice.functions.scale import (
+    SPLIT_ROWS,
+    materialize,
+    running,
+    shared_dir,
+    slice_hot_keys,
+)
 from boxoffice.operators.dml import restore_and_delete_payments, take_tickets, update_payment
 
-TAIL_ROWS = 10_000
+#: Judging steps in one plan.
+STEPS = 3
 
 
 def quote_requests(
@@ -97,17 +104,19 @@ def decide_requests(
     lines: DataFrame,
     event_details: DataFrame,
     order: list[str],
-    tail_rows: int = TAIL_ROWS,
     split_rows: int = SPLIT_ROWS,
+    rounds: list[int] | None = None,
 ) -> DataFrame:
     """The requests (``request_id``) that do not fit, all-or-nothing, in arrival order.
 
     lines(request_id, <order>, event_detail_id, quantity). The result equals a loop over the
-    requests in ``order`` in which each takes all of its tickets or none. Rounds get there in
+    requests in ``order`` in which each takes all of its tickets or none. Steps get there in
     parallel: with every undecided earlier request counted as taken, a request that still fits
     on all its ticket types is in; with none of them counted, one that does not fit on some type
-    is out. The earliest undecided request is always decided, so rounds end; the last few rows
-    (a bounded number) are settled in one pass.
+    is out. The earliest undecided request is always decided, so steps end. ``STEPS`` of them make
+    a round, after which what is still needed is written: per ticket type its open lines, and the
+    accepted ones between its first and last open line; those before are taken off its capacity.
+    ``rounds`` is told the open lines after each round.
     """
     group = dict.fromkeys(["request_id", *order, "event_detail_id"])
     demand = lines.filter(F.col("quantity") > 0).groupBy(*group).agg(
@@ -115,7 +124,6 @@ def decide_requests(
     )
     size = Observation()
     demand = materialize(demand, "demand", size, F.count("*").alias("rows"))
-    rows = size.get["rows"]
     stock = event_details.select(
         F.col("id").alias("event_detail_id"), F.col("tickets_remaining").alias("capacity")
     )
@@ -126,116 +134,79 @@ def decide_requests(
         .join(stock, "event_detail_id", "left")
         .withColumn("capacity", F.coalesce("capacity", F.lit(0)))
         .filter(F.col("wanted") > F.col("capacity"))
-        .select("event_detail_id", "capacity")
+        .select("event_detail_id", F.col("capacity").cast("long").alias("capacity"))
     )
-    state = demand.join(contested, "event_detail_id").withColumn("accepted", F.lit(False))
+    state = demand.join(contested, "event_detail_id").withColumn("verdict", F.lit("open"))
     state = slice_hot_keys(
-        state, ["event_detail_id"], order, split_rows, demand.select("event_detail_id"), rows
+        state,
+        ["event_detail_id"],
+        order,
+        split_rows,
+        demand.select("event_detail_id"),
+        size.get["rows"],
     )
     columns = state.columns
-    rejected = demand.select("request_id").limit(0)
-    judge = _judge
-    if rows > split_rows:
-        longest = demand.groupBy("request_id").count().agg(F.max("count")).first()[0]
-        judge = _judge if longest <= split_rows else _judge_long_requests
-
+    out_path = f"{shared_dir(demand.sparkSession)}/rejected-{uuid.uuid4().hex}"
+    arrival = F.struct(*order)
     while True:
+        for _ in range(STEPS):
+            state = _judge(state, order)
         counts = Observation()
-        is_open = F.col("verdict") == "open"
-        judged = materialize(
-            judge(state, order),
-            "allocation",
-            counts,
-            F.count_if(is_open).alias("undecided"),
-            F.count_if(F.col("verdict") != "out").alias("rows"),
-        )
-        rejected = rejected.unionByName(
-            judged.filter(F.col("verdict") == "out").select("request_id")
-        )
+        is_open, is_in = F.col("verdict") == "open", F.col("verdict") == "in"
+        judged = materialize(state, "allocation", counts, F.count_if(is_open).alias("undecided"))
+        if rounds is not None:
+            rounds.append(counts.get["undecided"])
+        judged.filter(F.col("verdict") == "out").select("request_id").distinct().write.mode(
+            "append"
+        ).parquet(out_path)
         if counts.get["undecided"] == 0:
-            return rejected.distinct()
-        # Only what comes before a type's last undecided request can still matter to it.
-        waiting = (
-            judged.filter(is_open)
-            .groupBy("event_detail_id")
-            .agg(F.max(order[0]).alias("last_open"))
+            return demand.sparkSession.read.schema(demand.select("request_id").schema).parquet(
+                out_path
+            )
+        # Only what comes up to a type's last open line can still matter to it, and what is
+        # accepted before its first one matters as a sum.
+        bounds = judged.filter(is_open).groupBy("event_detail_id").agg(
+            F.min(arrival).alias("first_open"), F.max(arrival).alias("last_open")
         )
+        live = judged.filter(is_open | is_in).join(bounds, "event_detail_id")
+        early = is_in & (arrival < F.col("first_open"))
+        taken = live.filter(early).groupBy("event_detail_id").agg(F.sum("quantity").alias("gone"))
         state = (
-            judged.filter(F.col("verdict") != "out")
-            .withColumn("accepted", F.col("verdict") == "in")
-            .join(waiting, "event_detail_id")
-            .filter(F.col(order[0]) <= F.col("last_open"))
+            live.filter(~early & (arrival <= F.col("last_open")))
+            .join(taken, "event_detail_id", "left")
+            .withColumn("capacity", F.col("capacity") - F.coalesce("gone", F.lit(0)))
             .select(*columns)
         )
-        if counts.get["rows"] <= tail_rows:
-            return rejected.unionByName(_settle_tail(state, order)).distinct()
 
 
-def _fits(state: DataFrame, order: list[str]) -> DataFrame:
-    """Whether each line fits if every open request before it is counted, and if none is."""
+def _judge(state: DataFrame, order: list[str]) -> DataFrame:
+    """One step: the verdict of each open line's request, which is that of all its lines."""
+    is_open = F.col("verdict") == "open"
     seen = running(
         state,
         ["event_detail_id"],
         order,
         sums={
-            "taken": F.when(F.col("accepted"), F.col("quantity")).otherwise(0),
-            "claimed": F.col("quantity"),
+            "taken": F.when(F.col("verdict") == "in", F.col("quantity")).otherwise(0),
+            "claimed": F.when(F.col("verdict") != "out", F.col("quantity")).otherwise(0),
         },
     )
-    return seen.select(
-        *state.columns,
-        (F.col("claimed") + F.col("quantity") <= F.col("capacity")).alias("surely"),
-        (F.col("taken") + F.col("quantity") <= F.col("capacity")).alias("possibly"),
-    )
-
-
-def _verdict() -> Column:
-    sure = F.col("accepted") | F.col("all_surely")
-    return F.when(sure, "in").when(~F.col("all_possibly"), "out").otherwise("open")
-
-
-def _judge(state: DataFrame, order: list[str]) -> DataFrame:
-    """Add each request's ``verdict`` to its lines."""
-    request = Window.partitionBy("request_id")
-    return (
-        _fits(state, order)
-        .withColumn("all_surely", F.bool_and("surely").over(request))
-        .withColumn("all_possibly", F.bool_and("possibly").over(request))
-        .select(*state.columns, _verdict().alias("verdict"))
-    )
-
-
-def _judge_long_requests(state: DataFrame, order: list[str]) -> DataFrame:
-    """The same where a single request has more lines than one task should hold."""
+    # Verdicts of lines are combined before the shuffle; those of a request are one row.
     verdicts = (
-        _fits(state, order)
+        seen.filter(is_open)
         .groupBy("request_id")
-        .agg(F.bool_and("surely").alias("all_surely"), F.bool_and("possibly").alias("all_possibly"))
-    )
-    return state.join(verdicts, "request_id").select(*state.columns, _verdict().alias("verdict"))
-
-
-def _settle_tail(state: DataFrame, order: list[str]) -> DataFrame:
-    """The remaining rows, known to be few, in one pass by arrival order."""
-
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        left = dict(zip(rows.event_detail_id, rows.capacity))
-        out = []
-        for _, one in rows.sort_values(order).groupby("request_id", sort=False):
-            fits = all(left[d] >= q for d, q in zip(one.event_detail_id, one.quantity))
-            if one.accepted.iloc[0] or fits:
-                for d, q in zip(one.event_detail_id, one.quantity):
-                    left[d] -= q
-            else:
-                out.append(one.request_id.iloc[0])
-        return pd.DataFrame({"request_id": pd.Series(out, dtype=rows.request_id.dtype)})
-
-    return (
-        state.drop(SLICE)
-        .withColumn("_all", F.lit(0))
-        .groupBy("_all")
-        .applyInPandas(settle, state.select("request_id").schema)
+        .agg(
+            F.bool_and(F.col("claimed") + F.col("quantity") <= F.col("capacity")).alias("surely"),
+            F.bool_and(F.col("taken") + F.col("quantity") <= F.col("capacity")).alias("possibly"),
+        )
+        .select(
+            "request_id",
+            F.when(F.col("surely"), "in").when(~F.col("possibly"), "out").alias("judged"),
+        )
+        .filter(F.col("judged").isNotNull())
     )
+    decided = state.join(verdicts, "request_id", "left")
+    return decided.withColumn("verdict", F.coalesce("judged", "verdict")).select(*state.columns)
 
 
 def allocate_requests(
@@ -243,7 +214,6 @@ def allocate_requests(
     lines: DataFrame,
     event_details: DataFrame,
     order: list[str],
-    tail_rows: int = TAIL_ROWS,
     split_rows: int = SPLIT_ROWS,
 ) -> dict[str, DataFrame]:
     """Allocate the requests that ``quote_requests`` found ok.
@@ -253,12 +223,21 @@ def allocate_requests(
     quotes, the new ``reservations`` (one per ticket) and ``payments``, and the new version of
     ``event_details``.
     """
+    # A total beyond the money type makes no payment, and takes no tickets.
+    too_much = (F.col("outcome") == "ok") & c.money("total").isNull()
+    quotes = (
+        quotes.withColumn("too_much", F.coalesce(too_much, F.lit(False)))
+        .withColumn("message", F.when(F.col("too_much"), fx.MSG_PAYMENT_ERROR).otherwise(F.col("message")))
+        .withColumn("total", F.when(~F.col("too_much"), F.col("total")))
+        .withColumn("outcome", F.when(F.col("too_much"), "payment_error").otherwise(F.col("outcome")))
+        .drop("too_much")
+    )
     quotes = materialize(quotes, "quotes")
     valid = quotes.filter(F.col("outcome") == "ok")
     asked = lines.select("request_id", "event_detail_id", "quantity").join(
         valid.select(*dict.fromkeys(["request_id", *order])), "request_id"
     )
-    rejected = decide_requests(asked, event_details, order, tail_rows, split_rows)
+    rejected = decide_requests(asked, event_details, order, split_rows)
     sold_out = rejected.withColumn("sold_out", F.lit(True))
     decisions = (
         quotes.join(sold_out, "request_id", "left")
@@ -323,7 +302,7 @@ def post_charge_status(pending: DataFrame, outcomes: DataFrame) -> DataFrame:
     failed = F.col("g_error").isNotNull()
     status = (
         F.when(free, fx.SUCCEEDED)
-        .when(declined, F.col("g_code"))
+        .when(declined, F.coalesce("g_code", F.lit("")))
         .otherwise(F.when(failed, "").otherwise(F.coalesce("g_status", F.lit(""))))
     )
     logged_message = (
@@ -351,8 +330,8 @@ def post_charge_status(pending: DataFrame, outcomes: DataFrame) -> DataFrame:
             "status",
             message.alias("message"),
             F.when(F.coalesce(heard, F.lit(False)), F.col("g_intent")).alias("payment_intent_id"),
-            (F.col("status") == fx.CANCELED).alias("removed"),
-            (F.col("status") == fx.SUCCEEDED).alias("notify"),
+            F.coalesce(F.col("status") == fx.CANCELED, F.lit(False)).alias("removed"),
+            F.coalesce(F.col("status") == fx.SUCCEEDED, F.lit(False)).alias("notify"),
             (~free).alias("logged"),
             F.when(~free, c.null_if_blank_text("logged_message")).alias("log_description"),
         )
@@ -395,7 +374,7 @@ def retry_payments(requests: DataFrame, payments: DataFrame, outcomes: DataFrame
             "outcome",
             F.when(
                 done,
-                F.when(declined, F.col("g_code"))
+                F.when(declined, F.coalesce("g_code", F.lit("")))
                 .when(failed, "error")
                 .otherwise(F.coalesce("g_status", F.lit(""))),
             ).alias("status"),
@@ -435,8 +414,9 @@ def apply_charges(
 
 
 def charge_logs(charged: DataFrame, as_of: datetime | str | Column) -> DataFrame:
-    """Audit rows of ``post_charge_status``; a free booking writes none."""
-    return charged.filter("logged").select(
+    """Audit rows of ``post_charge_status``; a free booking writes none, nor does a total beyond the
+    money type."""
+    return charged.filter(F.col("logged") & c.money("total").isNotNull()).select(
         c.derived_id(F.lit("log-charge"), "payment_id").alias("id"),
         "status",
         F.col("log_description").alias("description"),

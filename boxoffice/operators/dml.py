@@ -66,7 +66,9 @@ def update_tickets_remaining(event_details: DataFrame, requests: DataFrame, as_o
 
 
 def update_payment(payments: DataFrame, requests: DataFrame, as_of) -> DataFrame:
-    """requests(seq, id, user_id, amount, status, payment_intent_id); only the payer's id hits."""
+    """requests(seq, id, user_id, amount, status, payment_intent_id); only the payer's id hits. A
+    request whose amount is beyond the money type is left out."""
+    requests = requests.filter(F.col("amount").isNull() | c.money("amount").isNotNull())
     same = {n: n for n in ("amount", "status", "payment_intent_id")}
     return update_rows(payments, requests, ["id", "user_id"], same, as_of)
 
@@ -149,7 +151,9 @@ def restore_and_delete_payments(
         .agg(F.count("*").alias("times"), F.bool_or("owns").alias("owns"))
     )
     known = event_details.select(F.col("id").alias("event_detail_id"))
-    held = tickets_per_payment(reservations).join(known, "event_detail_id", "left_semi")
+    # Only the reservations of the asked payments are counted.
+    asked = reservations.join(rounds.select("payment_id"), "payment_id", "left_semi")
+    held = tickets_per_payment(asked).join(known, "event_detail_id", "left_semi")
     given_back = held.join(rounds, "payment_id").select(
         "payment_id", "event_detail_id", "owns", (F.col("tickets") * F.col("times")).alias("tickets")
     )
@@ -183,7 +187,7 @@ def refund_and_restore(
     )
     lowered = (
         payments.join(off, ["id", "user_id"], "left")
-        .withColumn("amount", c.money(F.col("amount") - F.coalesce("off", F.lit(0))))
+        .withColumn("amount", F.coalesce(c.money(F.col("amount") - F.coalesce("off", F.lit(0))), "amount"))
         .select(*payments.columns)
     )
     known = event_details.select(F.col("id").alias("event_detail_id"))

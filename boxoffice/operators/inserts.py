@@ -60,9 +60,10 @@ def check_registrations(rows: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def create_users(checked: DataFrame, as_of: datetime | str | Column) -> DataFrame:
-    """Rows for the accepted sign-ups. The password hash is made outside of this package."""
+    """Rows for the accepted sign-ups. Ids come from the e-mail, which is unique over all batches. The
+    password hash is made outside of this package."""
     return checked.filter(F.col("outcome") == "accepted").select(
-        c.derived_id(F.lit("user"), "seq").alias("id"),
+        c.derived_id(F.lit("user"), "email").alias("id"),
         "firstname",
         "lastname",
         "email",
@@ -107,8 +108,9 @@ def create_event_details(
 
 
 def create_payments(requests: DataFrame) -> DataFrame:
-    """requests(request_id, requested_at, user_id, currency, total): one pending payment each."""
-    return requests.select(
+    """requests(request_id, requested_at, user_id, currency, total): one pending payment each, where
+    the total fits the money type."""
+    return requests.filter(c.money("total").isNotNull()).select(
         c.derived_id(F.lit("payment"), "request_id").alias("id"),
         F.lit(None).cast("string").alias("payment_intent_id"),
         c.money("total").alias("amount"),
@@ -127,7 +129,9 @@ def create_payment_logs(
     entries: DataFrame, payers: DataFrame, as_of: datetime | str | Column
 ) -> DataFrame:
     """entries(log_key, status, description, payment_intent_id, payment_method_id, amount,
-    payment_id, user_id): audit rows. ``payers`` is the users table."""
+    payment_id, user_id): audit rows, where the amount fits the money type. ``payers`` is the users
+    table."""
+    entries = entries.filter(c.money("amount").isNotNull())
     emails = payers.select(F.col("id").alias("user_id"), F.col("email").alias("user_email"))
     return entries.join(emails, "user_id", "left").select(
         c.derived_id(F.lit("log"), "log_key").alias("id"),

@@ -1,7 +1,6 @@
 """Notification outbox: one row per mail instead of sending it.
 
-A mail lists a payment's ticket types. The list is gathered in pages of bounded size, so a
-payment with very many ticket types becomes several numbered mails and not one huge row.
+A mail lists all of a payment's ticket types. ``mail_lines`` has the same lines one by one.
 """
 
 from __future__ import annotations
@@ -9,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from boxoffice.functions import columns as c, fixed as fx
-from boxoffice.functions.scale import PAGE_ROWS, paged
 
 TEAM_SIGNATURE = "- The booking team"
 TEAM_NAME = "Booking team"
@@ -20,14 +18,10 @@ def recipient(name, email):
     return F.concat(name, F.lit(" <"), email, F.lit(">"))
 
 
-def ticket_lines(
-    reservations: DataFrame,
-    payments: DataFrame,
-    details: DataFrame,
-    wanted: DataFrame,
-    page_rows: int = PAGE_ROWS,
+def mail_lines(
+    reservations: DataFrame, payments: DataFrame, details: DataFrame, wanted: DataFrame
 ) -> DataFrame:
-    """wanted(payment_id): per payment and page, the text of its ticket types, one line each.
+    """wanted(payment_id): per payment and ticket type, the line that tells of it.
 
     Only the payer's own reservations count. details(id, title, ticket_description, show_date).
     """
@@ -43,22 +37,29 @@ def ticket_lines(
     text = c.text(
         fx.MAIL_LINE, F.col("title"), F.col("ticket_description"), c.mail_time("show_date")
     )
-    lines = held.join(
+    return held.join(
         details.select(F.col("id").alias("event_detail_id"), text.alias("line")), "event_detail_id"
-    )
+    ).select("payment_id", "event_detail_id", "line")
+
+
+def ticket_lines(
+    reservations: DataFrame, payments: DataFrame, details: DataFrame, wanted: DataFrame
+) -> DataFrame:
+    """wanted(payment_id): per payment, the lines of all its ticket types as one text, in the order
+    of the ticket types' ids."""
+    item = F.struct("event_detail_id", "line")
     listed = (
-        paged(lines, ["payment_id"], "event_detail_id", page_rows)
-        .groupBy("payment_id", "page")
-        .agg(F.array_sort(F.collect_list(F.struct("event_detail_id", "line"))).alias("l"))
+        mail_lines(reservations, payments, details, wanted)
+        .groupBy("payment_id")
+        .agg(F.array_sort(F.collect_list(item)).alias("l"))
     )
     return listed.select(
-        "payment_id",
-        "page",
-        F.concat(F.array_join(F.col("l.line"), "\n"), F.lit("\n")).alias("lines"),
+        "payment_id", F.concat(F.array_join(F.col("l.line"), "\n"), F.lit("\n")).alias("lines")
     )
 
 
-def payers_of(payments: DataFrame, users: DataFrame) -> DataFrame:
+def payers_of(payments: DataFrame, users: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(payment_id): who paid those payments. They are picked before users are joined."""
     people = users.select(
         F.col("id").alias("user_id"),
         c.full_name("firstname", "lastname").alias("name"),
@@ -66,6 +67,7 @@ def payers_of(payments: DataFrame, users: DataFrame) -> DataFrame:
     )
     return (
         payments.select(F.col("id").alias("payment_id"), "user_id")
+        .join(wanted.select("payment_id"), "payment_id", "left_semi")
         .join(people, "user_id", "left")
         .drop("user_id")
     )
@@ -95,7 +97,6 @@ def confirmation_mails(
         .select(
             "mail_key",
             "payment_id",
-            "page",
             recipient(F.col("name"), F.col("email")).alias("recipient"),
             F.lit(fx.SUBJECT_CONFIRMED).alias("subject"),
             c.fill(fx.BODY_CONFIRMED, name=F.col("name"), lines=F.col("lines"), team=team).alias(
@@ -116,7 +117,6 @@ def failure_mails(
         .select(
             "mail_key",
             "payment_id",
-            "page",
             recipient(F.col("name"), F.col("email")).alias("recipient"),
             F.lit(fx.SUBJECT_FAILED).alias("subject"),
             c.fill(

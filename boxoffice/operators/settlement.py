@@ -62,9 +62,8 @@ def customer_refunds(
     from its show.
 
     One incomplete reservation, or a payment without an intent, fails the whole request. The
-    payment's status is not looked at. ``error_line`` is the message of each failing reservation
-    and ``error_count`` says how many there are; a payment's failing reservations all have the
-    same message, so the two hold the full error text whatever its length.
+    payment's status is not looked at. The message of an error has one line per failing
+    reservation; all of them are the same, so the text is built in the row by repeating the line.
     """
     asked = requests.select("payment_id", "user_id").distinct()
     paid = payments.select(
@@ -119,6 +118,7 @@ def customer_refunds(
         .otherwise("ok"),
     )
     reached = F.col("stop").isNull()
+    error_line = F.when(no_intent, F.lit(fx.MSG_INTENT_MISSING)).otherwise(fx.MSG_INCOMPLETE)
     summary = (
         staged.withColumn("stop", stop)
         .join(_answers(outcomes, "refund"), "payment_id", "left")
@@ -130,10 +130,6 @@ def customer_refunds(
             "payment_intent_id",
             "amount",
             F.when(F.col("outcome") == "error", F.col("error_count")).alias("error_count"),
-            F.when(
-                F.col("outcome") == "error",
-                F.when(no_intent, fx.MSG_INTENT_MISSING).otherwise(fx.MSG_INCOMPLETE),
-            ).alias("error_line"),
             F.when(reached, F.col("eligible_count")).alias("refunded_count"),
             F.when(reached, F.col("sum_price")).alias("refund_total"),
             F.when(
@@ -143,7 +139,13 @@ def customer_refunds(
                 .otherwise(fx.REFUND_PENDING),
             ).alias("new_status"),
             F.when(F.col("outcome") == "not_found", fx.MSG_PAYMENT_NOT_FOUND)
-            .when(F.col("outcome") == "error", fx.MSG_REFUND_ERRORS.rstrip("\n"))
+            .when(
+                F.col("outcome") == "error",
+                F.concat(
+                    F.lit(fx.MSG_REFUND_ERRORS.rstrip("\n")),
+                    F.repeat(F.concat(F.lit("\n"), error_line), F.col("error_count")),
+                ),
+            )
             .when(F.col("outcome") == "not_eligible", fx.MSG_NOT_ELIGIBLE)
             .when(F.col("outcome") == "no_amount", fx.MSG_NO_AMOUNT)
             .when(g_failed, c.text(fx.MSG_REFUND_INIT_FAILED, F.col("g_message")))
@@ -197,7 +199,7 @@ def settle_customer_refunds(
         F.col("new_status").alias("status"),
         "payment_intent_id",
     )
-    new["payments"] = update_payment(new["payments"], asked, as_of)
+    new["payments"] = update_payment(new["payments"], asked, as_of).drop("updated")
     return new
 
 
@@ -218,7 +220,7 @@ def _with_answer(rows: DataFrame, outcomes: DataFrame, deleted: str) -> DataFram
     failed = F.col("g_error").isNotNull()
     refunds = F.col("action") == "refund"
     log_status = (
-        F.when(declined, F.col("g_code"))
+        F.when(declined, F.coalesce("g_code", F.lit("")))
         .when(failed, "")
         .when(refunds, F.coalesce("g_status", F.lit("")))
         .otherwise(fx.CANCELLED)
@@ -266,7 +268,7 @@ def _with_answer(rows: DataFrame, outcomes: DataFrame, deleted: str) -> DataFram
                 "failed_action": F.when(
                     declined, F.when(refunds, fx.ACTION_REFUND).otherwise(fx.ACTION_CANCEL)
                 ),
-                "failed_code": F.when(declined, F.col("g_code")),
+                "failed_code": F.when(declined, F.coalesce("g_code", F.lit(""))),
                 "failed_message": F.when(declined, F.col("g_message")),
             }
         )
@@ -366,11 +368,12 @@ def cancel_updates(plan: DataFrame, user_column: str = "payer_user_id") -> DataF
 
 
 def cancel_logs(plan: DataFrame, requests: DataFrame, key: str, as_of) -> DataFrame:
-    """Audit rows of a cancel plan; requests(<key>, user_email) name who cancelled."""
+    """Audit rows of a cancel plan; requests(<key>, user_email) name who cancelled. A refund beyond
+    the money type writes none."""
     asker = requests.select(key, "user_email").distinct()
     tier = [n for n in ("price", "payment_intent_id") if n in plan.columns]
     return (
-        plan.filter(F.col("log_status").isNotNull())
+        plan.filter(F.col("log_status").isNotNull() & c.money("refund_amount").isNotNull())
         .join(asker, key, "left")
         .select(
             c.derived_id(F.lit("log"), key, "payment_id", *tier).alias("id"),

@@ -93,17 +93,15 @@ def payments_in_play(typed: DataFrame, payments: DataFrame) -> DataFrame:
     kind = payments.schema["id"].dataType.simpleString()
     live = typed.filter(F.col("reason").isNull())
     named = live.select(c.parse_id(F.col("payment_ref"), kind).alias("id"))
-    ids = named.filter("id is not null").distinct().withColumn("by_id", F.lit(True))
+    ids = named.filter("id is not null").distinct()
     intents = live.filter(~F.col("type").isin(*INTENT_TYPES)).select(
         F.col("intent_id").alias("payment_intent_id")
     )
-    holding = intents.distinct().withColumn("by_intent", F.lit(True))
-    return (
-        payments.join(ids, "id", "left")
-        .join(holding, "payment_intent_id", "left")
-        .filter("by_id or by_intent")
-        .select(*payments.columns)
-    )
+    holding = intents.filter("payment_intent_id is not null").distinct()
+    # The ids are found in two narrow columns; whole rows are read for those ids alone.
+    by_intent = payments.select("id", "payment_intent_id").join(holding, "payment_intent_id", "left_semi")
+    wanted = ids.unionByName(by_intent.select("id")).distinct()
+    return payments.join(wanted, "id", "left_semi").select(*payments.columns)
 
 
 def _spans(
@@ -118,9 +116,16 @@ def _spans(
         "created_at",
         F.lit(begin - 1).cast("long").alias("seq"),
     )
+    # A payment without an event holds its id throughout.
+    touched = held.select("payment_id").distinct()
+    still = stored.join(touched, "payment_id", "left_anti").filter(
+        F.coalesce("intent_id", F.lit("")) != ""
+    )
     # An absent id is the empty text here, so that it ends the span of the id before it.
-    moves = stored.unionByName(held).withColumn(
-        "intent_id", F.coalesce("intent_id", F.lit(""))
+    moves = (
+        stored.join(touched, "payment_id", "left_semi")
+        .unionByName(held)
+        .withColumn("intent_id", F.coalesce("intent_id", F.lit("")))
     )
     moves = slice_hot_keys(
         moves, ["payment_id"], ["seq"], split_rows, probe, arrivals.rows
@@ -128,16 +133,19 @@ def _spans(
     changes = running(
         moves, ["payment_id"], ["seq"], lasts={"held": F.col("intent_id")}
     ).filter(F.col("held").isNull() | (F.col("held") != F.col("intent_id")))
-    return (
+    holder = F.struct("created_at", "payment_id").alias("p")
+    moved = (
         running(changes.drop("held"), ["payment_id"], ["seq"], nexts={"until": F.col("seq")})
         .filter(F.col("intent_id") != "")
         .select(
             "intent_id",
-            F.struct("created_at", "payment_id").alias("p"),
+            holder,
             (F.col("seq") + 1 - begin).alias("lo"),
             (F.coalesce("until", F.lit(end)) - begin).alias("hi"),
         )
     )
+    whole = [F.lit(0).cast("long").alias("lo"), F.lit(end - begin).cast("long").alias("hi")]
+    return moved.unionByName(still.select("intent_id", holder, *whole))
 
 
 def _holders_as_of(refunds: DataFrame, spans: DataFrame, arrivals: Arrivals) -> DataFrame:
@@ -202,13 +210,13 @@ def fold_webhooks(
     as_of,
     dedupe: bool = False,
     split_rows: int = SPLIT_ROWS,
-    few: bool = False,
 ) -> WebhookResult:
     """Apply parsed webhooks (``seq`` is the arrival number, unique) to the payments table.
 
     A repeated event is applied and logged again, as it arrives; ``dedupe`` drops rows that
-    repeat an earlier one in everything but ``seq``. ``few`` says that the events are few next
-    to the payments: only the payments they can touch are then shuffled.
+    repeat an earlier one in everything but ``seq``. Only payments that the events can touch are
+    looked at any further. A refund event whose amount is beyond the money type is applied, but has
+    no audit row; quarantine says so (``bad_log_amount``).
     """
     if dedupe:
         same = [n for n in typed.columns if n != "seq"]
@@ -224,8 +232,7 @@ def fold_webhooks(
         F.min("seq").alias("first"),
         F.max("seq").alias("last"),
     )
-    if few:
-        payments = materialize(payments_in_play(typed, payments), "in-play")
+    payments = materialize(payments_in_play(typed, payments), "in-play")
     arrivals = Arrivals(seen.get["rows"], seen.get["first"] or 0, (seen.get["last"] or 0) + 1)
     events = materialize(
         resolve_events(typed, payments, users, arrivals, split_rows), "resolved"
@@ -288,6 +295,11 @@ def fold_webhooks(
     quarantine = (
         events.filter(F.col("reason").isNotNull())
         .unionByName(ignored.drop("counts"))
+        .unionByName(
+            applied.filter(c.from_cents("cents").isNull()).withColumn(
+                "reason", F.lit("bad_log_amount")
+            )
+        )
         .select("seq", "type", "reason")
     )
     return WebhookResult(
@@ -317,7 +329,7 @@ def _log_rows(applied: DataFrame, payments: DataFrame, users: DataFrame, as_of)
         .when(kind == fx.TYPE_REFUNDED, fx.LOG_REFUND_CONFIRMED)
         .otherwise(c.text(fx.MSG_REFUND_FAILED, F.col("failure_reason")))
     )
-    return applied.join(payers, "payment_id").select(
+    return applied.filter(c.from_cents("cents").isNotNull()).join(payers, "payment_id").select(
         c.derived_id(F.lit("log"), "seq").alias("id"),
         status.alias("status"),
         description.alias("description"),

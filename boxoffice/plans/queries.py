@@ -186,7 +186,6 @@ def events_with_ticket_lists(d: Derived) -> DataFrame:
         "event_id",
         "user_id",
         "title",
-        "page",
         F.size("tickets").alias("n_tickets"),
         F.array_join(listed, ";").alias("tickets"),
     )
@@ -544,7 +543,13 @@ def quote_requests(d: Derived) -> DataFrame:
 
 def _opening_sale(d: Derived) -> dict[str, DataFrame]:
     """All requests against the full inventory, before the first show."""
-    fresh = d.event_details.withColumn("tickets_remaining", F.col("number_of_tickets"))
+    fresh = d.event_details.withColumns(
+        {
+            "tickets_remaining": F.col("number_of_tickets"),
+            # Two of these are more than the money type holds.
+            "price": F.expr("case when id % 97 = 5 then 90000000.00 else price end"),
+        }
+    )
     titles = d.events.select(F.col("id").alias("event_id"), "title")
     quotes = booking.quote_requests(
         d.request_headers, d.request_lines, fresh.join(titles, "event_id"), OPENING
@@ -741,7 +746,7 @@ def webhook_quarantine(d: Derived) -> DataFrame:
 def _applied(d: Derived, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     applied = _fold(d).applied.filter(F.col("type") == kind).withColumnRenamed("seq", "mail_key")
     lines = outbox.ticket_lines(d.reservations, d.payments, _details_with_title(d), applied)
-    return applied, outbox.payers_of(d.payments, d.users), lines
+    return applied, outbox.payers_of(d.payments, d.users, applied), lines
 
 
 @query
@@ -749,6 +754,12 @@ def notify_confirmed(d: Derived) -> DataFrame:
     return outbox.confirmation_mails(*_applied(d, "payment_intent.succeeded"))
 
 
+@query
+def mail_lines(d: Derived) -> DataFrame:
+    applied = _fold(d).applied.filter("type = 'payment_intent.succeeded'")
+    return outbox.mail_lines(d.reservations, d.payments, _details_with_title(d), applied)
+
+
 @query
 def notify_booked(d: Derived) -> DataFrame:
     charged = _charged(d).filter("notify").withColumn("mail_key", F.col("payment_id"))
@@ -763,16 +774,14 @@ def notify_payment_failed(d: Derived) -> DataFrame:
 
 @query
 def notify_cancelled(d: Derived) -> DataFrame:
-    return outbox.event_cancelled_mails(
-        _event_cancel_plan(d), outbox.payers_of(d.payments, d.users)
-    )
+    plan = _event_cancel_plan(d)
+    return outbox.event_cancelled_mails(plan, outbox.payers_of(d.payments, d.users, plan))
 
 
 @query
 def notify_detail_cancelled(d: Derived) -> DataFrame:
-    return outbox.detail_cancelled_mails(
-        _detail_cancel_plan(d), outbox.payers_of(d.payments, d.users)
-    )
+    plan = _detail_cancel_plan(d)
+    return outbox.detail_cancelled_mails(plan, outbox.payers_of(d.payments, d.users, plan))
 
 
 @query

@@ -159,7 +159,7 @@ class Derived:
             "else case d % 5 when 0 then 'succeeded' when 1 then 'requires_action' "
             "when 2 then case when d = 2 then 'canceled' else 'requires_payment_method' end "
             "else case when d = 3 then 'processing' else 'succeeded' end end end as status",
-            "case when d = 4 then 'card_declined' end as code",
+            "case when d = 4 and payment_id % 20 <> 4 then 'card_declined' end as code",
             "case when d = 4 then 'Your card was declined.' when d = 9 then 'connection reset' "
             "end as message",
             "case when d <> 9 then concat('pi_', payment_id) end as intent_id",
@@ -267,7 +267,8 @@ class Derived:
             "when 'click' then 'payment_intent.requires_action' "
             "when 'signup' then 'charge.refunded' else 'refund.failed' end end as type",
             "event_type in ('signup', 'view') as is_refund",
-            "cast(round(value * 100) as bigint) as cents",
+            "case when event_id % 613 = 8 then 99999999999 else cast(round(value * 100) as bigint) "
+            "end as cents",
             "event_id div 4 * 6 + event_id % 2 as pid",
         )
         return rows.selectExpr(

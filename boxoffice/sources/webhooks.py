@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boxoffice.functions import fixed as fx
+from boxoffice.functions import columns as c, fixed as fx
 from boxoffice.sources import schemas
 
 INTENT_TYPES = (fx.TYPE_SUCCEEDED, fx.TYPE_FAILED, fx.TYPE_ACTION)
@@ -68,5 +68,6 @@ def parse_webhooks(raw: DataFrame) -> DataFrame:
         .when(~(is_intent | is_refund), "unhandled_type")
         .when(is_intent & no_ref, "missing_payment_id")
         .when(is_refund & no_intent, "missing_intent")
+        .when(is_intent & c.from_cents("cents").isNull(), "bad_amount")
     )
     return typed.withColumn("reason", reason).drop("fits", "_corrupt_record")

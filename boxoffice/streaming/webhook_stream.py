@@ -79,7 +79,7 @@ def apply_webhook_stream(
         now = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
         payments = current_payments(base_payments, store, batch_id)
         result = fold_webhooks(
-            parse_webhooks(batch), payments, users, now, split_rows=split_rows, few=True
+            parse_webhooks(batch), payments, users, now, split_rows=split_rows
         )
         for name in OUTPUTS:
             rows = getattr(result, name)

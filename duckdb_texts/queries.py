@@ -149,7 +149,7 @@ sql(
 )
 sql(
     "events_with_ticket_lists",
-    """SELECT e.id AS event_id, e.user_id, e.title, 0 AS page, count(d.id) AS n_tickets,
+    """SELECT e.id AS event_id, e.user_id, e.title, count(d.id) AS n_tickets,
       string_agg(concat_ws('|', d.id, d.price, d.number_of_tickets, d.tickets_remaining), ';'
         ORDER BY d.id) AS tickets
     FROM bk_events e LEFT JOIN bk_event_details d ON d.event_id = e.id GROUP BY ALL""",
@@ -236,7 +236,7 @@ sql(
 )
 sql(
     "create_users",
-    f"""SELECT sha256('user-' || seq) AS id, firstname, lastname, email, {AS_OF} AS created_at
+    f"""SELECT sha256('user-' || email) AS id, firstname, lastname, email, {AS_OF} AS created_at
     FROM signup_done WHERE outcome = 'accepted'""",
     SIGNUPS,
 )
@@ -497,12 +497,12 @@ sql(
 # --- booking ------------------------------------------------------------------------------
 
 
-def quotes(remaining: str, clock: str) -> str:
+def quotes(remaining: str, clock: str, price: str = "d.price") -> str:
     return f"""
 judged AS (SELECT l.*, CASE WHEN l.quantity < 0 THEN 'invalid_quantity'
     WHEN d.id IS NULL THEN 'not_found' WHEN d.{remaining} < l.quantity THEN 'insufficient'
     WHEN {clock} > d.show_date THEN 'show_past' END AS code, d.{remaining} AS remaining,
-    e.title, d.ticket_description, d.show_date, d.price
+    e.title, d.ticket_description, d.show_date, {price} AS price
   FROM bk_request_lines l JOIN bk_headers h USING (request_id)
   LEFT JOIN bk_event_details d ON d.id = l.event_detail_id
   LEFT JOIN bk_events e ON e.id = d.event_id),
@@ -533,7 +533,16 @@ sql(
 )
 # Rounds over all open requests until none is open; a loop in arrival order checks the same
 # rule in the tests.
-SALE = quotes("number_of_tickets", "TIMESTAMP '1995-01-01 00:00:00'") + """,
+SALE = quotes(
+    "number_of_tickets",
+    "TIMESTAMP '1995-01-01 00:00:00'",
+    "CASE WHEN d.id % 97 = 5 THEN 90000000 ELSE d.price END",
+).replace("quoted AS (", "sums_of AS (") + """,
+quoted AS (SELECT * REPLACE (
+    CASE WHEN outcome = 'ok' AND total > 99999999.99 THEN 'payment_error' ELSE outcome END AS outcome,
+    CASE WHEN outcome = 'ok' AND total > 99999999.99 THEN
+      'internal database error creating payment' ELSE message END AS message,
+    CASE WHEN total <= 99999999.99 THEN total END AS total) FROM sums_of),
 demand AS (SELECT q.request_id, q.requested_at, l.event_detail_id, sum(l.quantity) AS quantity,
     any_value(d.number_of_tickets) AS capacity
   FROM quoted q JOIN bk_request_lines l USING (request_id)
@@ -609,7 +618,7 @@ charged AS (SELECT payment_id, user_id, user_email, payment_method_id, total, st
     FROM (SELECT p.id AS payment_id, p.user_id, 'login' || p.user_id || '@example.com' AS user_email,
         'pm_' || p.id AS payment_method_id, p.amount AS total, p.amount = 0 AS free, o.error,
         o.intent_id,
-        CASE WHEN p.amount = 0 THEN 'succeeded' WHEN o.error = 'gateway' THEN o.code
+        CASE WHEN p.amount = 0 THEN 'succeeded' WHEN o.error = 'gateway' THEN coalesce(o.code, '')
           WHEN o.error = 'other' THEN '' ELSE o.status END AS status,
         CASE WHEN o.error = 'gateway' THEN o.message WHEN o.error = 'other' THEN ''
           WHEN o.status IN ('succeeded', 'requires_action') THEN 'payment successful'
@@ -646,7 +655,7 @@ sql(
 )
 RETRIED = """
 retried AS (SELECT payment_id, user_id, outcome,
-      CASE WHEN outcome = 'updated' THEN CASE WHEN error = 'gateway' THEN code
+      CASE WHEN outcome = 'updated' THEN CASE WHEN error = 'gateway' THEN coalesce(code, '')
         WHEN error = 'other' THEN 'error' ELSE g_status END END AS status,
       CASE outcome WHEN 'not_found' THEN 'payment not found'
         WHEN 'no_intent' THEN 'payment record has no linked payment intent'
@@ -704,13 +713,12 @@ sql(
     "customer_refund",
     """SELECT payment_id, user_id, outcome, payment_intent_id, amount,
       CASE WHEN outcome = 'error' THEN n_bad END AS error_count,
-      CASE WHEN outcome = 'error' THEN CASE WHEN payment_intent_id IS NULL
-        THEN 'payment intent ID is missing' ELSE 'incomplete reservation details found' END END
-        AS error_line,
       CASE WHEN stop IS NULL THEN n_ok END AS refunded_count,
       CASE WHEN stop IS NULL THEN total END AS refund_total, new_status,
       CASE outcome WHEN 'not_found' THEN 'payment not found'
         WHEN 'error' THEN 'one or more errors occurred during reservation filtering:'
+          || repeat(chr(10) || CASE WHEN payment_intent_id IS NULL
+            THEN 'payment intent ID is missing' ELSE 'incomplete reservation details found' END, n_bad)
         WHEN 'not_eligible' THEN 'no reservations were eligible for refund'
         WHEN 'no_amount' THEN 'no refund amount calculated after processing reservations'
         WHEN 'refund_rejected' THEN 'Refund initiation failed: ' || g_message
@@ -736,7 +744,7 @@ sql(
     NEW_PAYMENT.format(
         edits="""SELECT payment_id AS id, user_id, amount, payment_intent_id,
         new_status AS status FROM refunds WHERE new_status IS NOT NULL"""
-    ),
+    ).replace(",\n      n.id IS NOT NULL AS updated", ""),
     REFUND,
 )
 
@@ -744,7 +752,7 @@ sql(
 def answered(rows: str, note: str) -> str:
     return f"""
 acted AS (SELECT t.*, t.act AS action,
-    CASE WHEN o.error = 'gateway' THEN o.code WHEN o.error = 'other' THEN ''
+    CASE WHEN o.error = 'gateway' THEN coalesce(o.code, '') WHEN o.error = 'other' THEN ''
       WHEN t.act = 'refund' THEN o.status ELSE 'cancelled' END AS log_status,
     CASE WHEN o.error = 'gateway' THEN o.message WHEN o.error = 'other' THEN NULL
       WHEN t.act = 'refund' THEN CASE o.status WHEN 'failed' THEN o.failure_reason
@@ -758,7 +766,7 @@ acted AS (SELECT t.*, t.act AS action,
         THEN 'refund_pending' ELSE 'refunded' END ELSE 'cancelled' END AS outcome,
     CASE WHEN o.error = 'gateway' THEN CASE t.act WHEN 'refund' THEN 'stripe refund request'
       ELSE 'stripe cancel request' END END AS failed_action,
-    CASE WHEN o.error = 'gateway' THEN o.code END AS failed_code,
+    CASE WHEN o.error = 'gateway' THEN coalesce(o.code, '') END AS failed_code,
     CASE WHEN o.error = 'gateway' THEN o.message END AS failed_message
   FROM (SELECT *, CASE WHEN status = 'succeeded' THEN 'refund' ELSE 'cancel' END AS act
     FROM {rows}) t
@@ -858,6 +866,7 @@ FOLD = f"""
 hooks AS (SELECT *, CASE WHEN broken IS NOT NULL THEN broken
     WHEN type = 'customer.created' THEN 'unhandled_type'
     WHEN type IN {INTENTS} AND ref IS NULL THEN 'missing_payment_id'
+    WHEN type IN {INTENTS} AND cents > 9999999999 THEN 'bad_amount'
     WHEN type IN {INTENTS} AND TRY_CAST(ref AS BIGINT) IS NULL THEN 'bad_payment_id'
     WHEN type IN {INTENTS} AND TRY_CAST(ref AS BIGINT) NOT IN (SELECT id FROM bk_payments)
       THEN 'unknown_payment'
@@ -921,7 +930,7 @@ sql(
       intent_id AS payment_intent_id, payment_method_id,
       CAST(cents / 100.0 AS DECIMAL(10,2)) AS amount, {AS_OF} AS created_at,
       u.email AS user_email, payment_id
-    FROM applied a JOIN bk_users u ON u.id = a.user_id""",
+    FROM applied a JOIN bk_users u ON u.id = a.user_id WHERE cents <= 9999999999""",
     FOLD,
 )
 sql(
@@ -929,7 +938,8 @@ sql(
     """SELECT seq, CASE WHEN broken IS NULL THEN type END AS type, why AS reason FROM hooks
       WHERE why IS NOT NULL
     UNION ALL SELECT seq, type, 'unknown_intent' FROM refund_hooks WHERE payment_id IS NULL
-    UNION ALL SELECT seq, type, 'not_refund_pending' FROM judged WHERE NOT counts""",
+    UNION ALL SELECT seq, type, 'not_refund_pending' FROM judged WHERE NOT counts
+    UNION ALL SELECT seq, type, 'bad_log_amount' FROM applied WHERE cents > 9999999999""",
     FOLD,
 )
 
@@ -951,7 +961,7 @@ people AS (SELECT id AS user_id, firstname || ' ' || lastname AS name, email FRO
 TEAM = "'- The booking team'"
 sql(
     "notify_confirmed",
-    f"""SELECT seq AS mail_key, payment_id, 0 AS page, name || ' <' || email || '>' AS recipient,
+    f"""SELECT seq AS mail_key, payment_id, name || ' <' || email || '>' AS recipient,
       'Your payment and ticket reservation is confirmed' AS subject,
       'Hi ' || name || ',' || chr(10) || chr(10) || 'You''ve successfully booked your events. Enjoy!'
       || chr(10) || lines || chr(10) || chr(10) || {TEAM} AS body
@@ -959,9 +969,18 @@ sql(
     WHERE type = 'payment_intent.succeeded'""",
     MAILS,
 )
+sql(
+    "mail_lines",
+    """SELECT DISTINCT r.payment_id, d.id AS event_detail_id, e.title || ' - ' || d.ticket_description
+      || ' - ' || strftime(d.show_date, '%Y-%m-%d %H:%M:%S') || ' +0000 +0000' AS line
+    FROM bk_reservations r JOIN bk_event_details d ON d.id = r.event_detail_id
+    JOIN bk_events e ON e.id = d.event_id
+    WHERE r.payment_id IN (SELECT payment_id FROM applied WHERE type = 'payment_intent.succeeded')""",
+    FOLD,
+)
 sql(
     "notify_booked",
-    f"""SELECT c.payment_id AS mail_key, c.payment_id, 0 AS page,
+    f"""SELECT c.payment_id AS mail_key, c.payment_id,
       name || ' <' || c.user_email || '>' AS recipient,
       'Your payment and ticket reservation is confirmed' AS subject,
       'Hi ' || name || ',' || chr(10) || chr(10) || 'You''ve successfully booked your events. Enjoy!'
@@ -971,7 +990,7 @@ sql(
 )
 sql(
     "notify_payment_failed",
-    f"""SELECT seq AS mail_key, payment_id, 0 AS page, name || ' <' || email || '>' AS recipient,
+    f"""SELECT seq AS mail_key, payment_id, name || ' <' || email || '>' AS recipient,
       'Your payment failed' AS subject,
       'Hi ' || name || ',' || chr(10) || chr(10) || 'Your payment failed with the following issue: '
       || error_message || chr(10) || chr(10) || 'Reservation/s attached with the payment:' || chr(10)

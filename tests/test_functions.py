@@ -86,7 +86,8 @@ def test_ids(spark):
 
 def test_money(spark):
     df = spark.sql("select cast('10.05' as decimal(10,2)) m, 1005L n")
-    assert df.select(c.cents("m")).first()[0] == 1005
+    assert df.select(c.from_cents(F.lit(10**12))).first()[0] is None
+    assert df.select(c.money(F.lit(123456789))).first()[0] is None
     assert str(df.select(c.from_cents("n")).first()[0]) == "10.05"
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from boxoffice.functions.scale import SLICE, materialize, paged, running, shared_dir, slice_hot_keys
+from boxoffice.functions.scale import SLICE, materialize, running, shared_dir, slice_hot_keys
 from tests.conftest import rows
 
 
@@ -45,13 +45,6 @@ def test_running_against_a_loop(skewed):
     assert {r[:4] for r in answer(skewed)} == want
 
 
-def test_pages_stay_small_and_whole(skewed):
-    pages = paged(skewed, ["k"], "n", page_rows=50)
-    assert pages.count() == skewed.count()
-    sizes = pages.groupBy("k", "page").count().agg(F.max("count")).first()[0]
-    assert sizes < 100
-
-
 def test_materialize_uses_the_named_folder(spark, skewed):
     again = materialize(skewed, "t")
     assert again.inputFiles()[0].removeprefix("file://").startswith(shared_dir(spark))

@@ -7,6 +7,7 @@ import pytest
 
 from boxoffice.operators.webhook_fold import apply_payment_changes, fold_webhooks
 from boxoffice.operators import outbox
+from boxoffice.operators.aggregates import nest_tickets
 from boxoffice.sources import schemas
 from boxoffice.sources.webhooks import parse_webhooks, read_webhook_files
 from boxoffice.streaming.webhook_stream import WebhookStore, apply_webhook_stream, current_payments
@@ -256,7 +257,7 @@ def test_mails(table, users):
                     ("d1", "Rock", "floor", T0), ("d2", "Rock", "lounge", T0))
     failed = table("mail_key INT, payment_id BIGINT, error_message STRING",
                    (1, 1, "No funds."), (2, 2, "No funds."))
-    payers = outbox.payers_of(payments, users)
+    payers = outbox.payers_of(payments, users, failed)
     lines = outbox.ticket_lines(reservations, payments, details, failed)
     mails = outbox.failure_mails(failed, payers, lines, "- T").collect()
     # payment 2 has no reservation of its payer: no mail
@@ -268,7 +269,35 @@ def test_mails(table, users):
         "Rock - floor - 2024-01-01 00:00:00 +0000 +0000\n"
         "Rock - lounge - 2024-01-01 00:00:00 +0000 +0000\n\n\n- T"
     )
-    pages = outbox.ticket_lines(reservations, payments, details, failed, page_rows=1)
-    assert pages.count() >= 1
-    text = "".join(sorted(r.lines for r in pages.collect()))
-    assert text.count("floor") == text.count("lounge") == 1
+    assert rows(outbox.mail_lines(reservations, payments, details, failed), "payment_id", "line") == {
+        (1, "Rock - floor - 2024-01-01 00:00:00 +0000 +0000"),
+        (1, "Rock - lounge - 2024-01-01 00:00:00 +0000 +0000"),
+    }
+
+
+@pytest.mark.parametrize("n", [1001, 5000])
+def test_long_lists_stay_whole_and_in_order(spark, table, users, n):
+    payments = table(PAYMENTS, payment(1, "a"))
+    ids = spark.range(n).selectExpr("lpad(id, 5, '0') as id")
+    details = ids.selectExpr("id", "'Rock' as title", "concat('t', id) as ticket_description",
+                             "timestamp_ntz'2024-01-01 00:00:00' as show_date")
+    reservations = ids.selectExpr("1L as payment_id", "'u1' as user_id", "id as event_detail_id")
+    wanted = table("mail_key INT, payment_id BIGINT", (1, 1))
+    payers = outbox.payers_of(payments, users, wanted)
+    lines = outbox.ticket_lines(reservations, payments, details, wanted)
+    (mail,) = outbox.confirmation_mails(wanted, payers, lines).collect()
+    told = [x.split(" - ")[1] for x in mail.body.split("\n") if x.startswith("Rock")]
+    assert told == [f"t{i:05}" for i in range(n)]
+    flat = details.selectExpr("'e' as event_id", "id as event_detail_id", "show_date", "ticket_description",
+                              "1 as price", "2 as number_of_tickets", "2 as tickets_remaining")
+    (event,) = nest_tickets(flat).collect()
+    assert [t.id for t in event.tickets] == [f"{i:05}" for i in range(n)]
+
+
+def test_amounts_beyond_the_money_type(table, users):
+    payments = [payment(1, "a", "refund pending"), payment(2, "b", "refund pending")]
+    events = [intent(INTENT[0], 1, "a", cents=10**12), refunded("b", cents=10**12), intent(INTENT[0], 1, "a")]
+    got = fold(table, users, payments, events)
+    assert rows(got.quarantine, "seq", "reason") == {(0, "bad_amount"), (1, "bad_log_amount")}
+    assert rows(got.payments, "id", "status") == {(1, "succeeded"), (2, "refunded")}
+    assert rows(got.logs, "payment_id") == {(1,)}
