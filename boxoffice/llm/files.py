@@ -88,7 +88,7 @@ class Reader:
     def __init__(self, path: str):
         self.path = path
         here = local_path(path)
-        self._map = np.memmap(here, np.uint8, "r") if here is not None else None
+        self._map = np.memmap(here, np.uint8, "r").view(np.ndarray) if here is not None else None
         self._file = None if here is not None else open_input(path)
         size = len(self._map) if self._file is None else self._file.size()
         tail = self.bytes(size - 16, 16).tobytes()

@@ -115,9 +115,8 @@ class Trie:
         for (names, totals), first, low, high in zip(self.lexicon, self.first_word, cuts, cuts[1:], strict=False):
             if low == high:
                 continue
-            place = names.successor(prints[low:high])
-            there = np.flatnonzero(place < names.n)
-            there = there[names.get(place[there]) == prints[low:high][there]]
+            place = names.find(prints[low:high])
+            there = np.flatnonzero(place >= 0)
             found = place[there]
             number[low + there] = first + found
             count[low + there] = (totals.get(found + 1) - totals.get(found)).astype(np.int64)
@@ -155,9 +154,8 @@ class Trie:
             base = np.where(start > 0, followers.get(np.maximum(start - 1, 0)).astype(np.int64) + 1, 0) if followers.n else start
             repeat = np.diff(np.append(head, len(own)))
             goal = np.repeat(base, repeat) + word[low:high]
-            place = followers.successor(goal)
-            inside = np.flatnonzero(place < np.repeat(stop, repeat))
-            inside = inside[followers.get(place[inside]) == goal[inside].astype(np.uint64)]
+            place = followers.find(goal)
+            inside = np.flatnonzero((place >= 0) & (place < np.repeat(stop, repeat)))
             out[low + inside] = unpack_bits(codes, BITS, place[inside]).astype(float) * -STEP
         return out
 
