@@ -138,6 +138,21 @@ def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _by_band(size: Column, values: np.ndarray, percent: int) -> Column:
+    """The value of the band of a set size."""
+    b, out = bands(percent), F.lit(0)
+    for k in range(int(b.of(np.array([1 << 31]))[0]), -1, -1):
+        out = F.when(size < int(b.edges[k + 1]), int(values[k])).otherwise(out)
+    return out
+
+
+def _blocks_in_common(a: Column, b: Column, percent: int) -> Column:
+    """So many kept blocks at least are equal in the sketches of similar sets of these sizes: all but
+    one for each token they may differ by, the thin ones and the spare large ones."""
+    differ = F.floor((a + b) * (100 - percent) / (100 + percent))
+    return _by_band(F.greatest(a, b), bands(percent).most, percent) + 1 - differ
+
+
 def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by whole intersections."""
 
@@ -235,18 +250,18 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_
     leads = met.groupBy(F.col("key").alias("k")).agg(F.min("rep").alias("lead"))
     met = materialize(met.join(leads, F.col("key") == F.col("k")).join(heads, F.col("rep") == F.col("own")).select("key", "rep", "n", "lead", "members"), "buckets")
     heavy = F.col("members") > large
-    band = bands(percent)
-    spare = F.lit(0)
-    for k in range(int(band.of(np.array([1 << 31]))[0]), -1, -1):
-        spare = F.when(F.col("n") < int(band.edges[k + 1]), int(band.heavy[k])).otherwise(spare)
+    spare = _by_band(F.col("n"), bands(percent).heavy, percent)
     loads = met.filter(heavy).groupBy(F.col("rep").alias("own")).agg(F.count(F.lit(1)).alias("load"))
     kept = met.join(loads, F.col("rep") == F.col("own"), "left").filter(~heavy | (F.col("load") > spare))
     met = materialize(kept.select("key", "rep", "n", "lead", "members"), "buckets")
     involved = met.select(F.col("rep").alias("id")).distinct()
     texts = materialize(rows.join(involved, "id", "left_semi"), "texts")
     sizes = met.select(F.col("rep").alias("lead"), F.col("n").alias("lead_n")).distinct()
-    stars = met.filter(F.col("rep") != F.col("lead")).select("lead", "rep", "n").distinct().join(sizes, "lead")
-    stars = materialize(stars.filter(_similar_sizes(F.col("n"), F.col("lead_n"), percent)).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    # The Hamming distance of sketches bounds the difference of sets: pairs that meet in too few
+    # buckets are not similar. With the least member this is only a choice of pairs to try first.
+    stars = met.filter(F.col("rep") != F.col("lead")).groupBy("lead", "rep", "n").agg(F.count(F.lit(1)).alias("met")).join(sizes, "lead")
+    likely = _similar_sizes(F.col("n"), F.col("lead_n"), percent) & (F.col("met") >= _blocks_in_common(F.col("n"), F.col("lead_n"), percent))
+    stars = materialize(stars.filter(likely).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     with small_batches(spark):
         links = materialize(verify(stars, texts, shingle, percent), "links")
     found = materialize(connected_components(links), "components")
@@ -259,7 +274,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_
     left = small.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
     right = small.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
     pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & _similar_sizes(F.col("n_a"), F.col("n_b"), percent))
-    pairs = pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("met"))
+    # A pair that also meets in a large bucket is left to the comparison of large buckets.
+    pairs = pairs.filter(F.col("met") >= _blocks_in_common(F.col("n_a"), F.col("n_b"), percent))
+    pairs = materialize(pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     with small_batches(spark):
         more = materialize(verify(pairs, texts, shingle, percent), "links")
         families = materialize(_family_links(open_.filter(F.col("members") > large), texts, shingle, percent), "links")
