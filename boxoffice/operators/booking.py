@@ -291,6 +291,8 @@ def post_charge_status(pending: DataFrame, outcomes: DataFrame) -> DataFrame:
     """
     answers = outcomes.filter(F.col("action") == "charge").select(
         "payment_id",
+        F.col("client_secret").alias("g_secret"),
+        F.col("next_action").alias("g_next"),
         F.col("status").alias("g_status"),
         F.col("code").alias("g_code"),
         F.col("message").alias("g_message"),
@@ -320,6 +322,8 @@ def post_charge_status(pending: DataFrame, outcomes: DataFrame) -> DataFrame:
         .otherwise(F.col("logged_message"))
     )
     heard = ~free & (declined | ~failed)
+    # Only a payer who has to act is told how.
+    asks = ~free & F.col("g_error").isNull() & (F.col("g_status") == fx.REQUIRES_ACTION)
     return (
         pending.join(answers, "payment_id", "left")
         .withColumn("g_error", F.when(~free, F.col("g_error")))
@@ -330,6 +334,8 @@ def post_charge_status(pending: DataFrame, outcomes: DataFrame) -> DataFrame:
             "status",
             message.alias("message"),
             F.when(F.coalesce(heard, F.lit(False)), F.col("g_intent")).alias("payment_intent_id"),
+            F.when(asks, F.col("g_secret")).alias("client_secret"),
+            F.when(asks, F.col("g_next")).alias("next_action"),
             F.coalesce(F.col("status") == fx.CANCELED, F.lit(False)).alias("removed"),
             F.coalesce(F.col("status") == fx.SUCCEEDED, F.lit(False)).alias("notify"),
             (~free).alias("logged"),
@@ -340,7 +346,8 @@ def post_charge_status(pending: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def retry_payments(requests: DataFrame, payments: DataFrame, outcomes: DataFrame) -> DataFrame:
     """requests(payment_id, user_id): a new payment method for a payment. The gateway's answer
-    to ``retry`` sets the status; amount and intent id are kept."""
+    to ``retry`` sets the status; amount and intent id are kept. Its client secret and next action
+    are handed on."""
     paid = payments.select(
         F.col("id").alias("payment_id"),
         "user_id",
@@ -351,6 +358,8 @@ def retry_payments(requests: DataFrame, payments: DataFrame, outcomes: DataFrame
     )
     answers = outcomes.filter(F.col("action") == "retry").select(
         "payment_id",
+        F.nullif("client_secret", F.lit("")).alias("g_secret"),
+        F.col("next_action").alias("g_next"),
         F.col("status").alias("g_status"),
         F.col("code").alias("g_code"),
         F.col("message").alias("g_message"),
@@ -387,6 +396,8 @@ def retry_payments(requests: DataFrame, payments: DataFrame, outcomes: DataFrame
             F.when(done, F.col("amount")).alias("amount"),
             F.when(done, F.col("payment_intent_id")).alias("payment_intent_id"),
             F.when(done, F.col("expires_at")).alias("expires_at"),
+            F.when(done & ~failed, F.col("g_secret")).alias("client_secret"),
+            F.when(done & ~failed, F.col("g_next")).alias("next_action"),
         )
     )
 

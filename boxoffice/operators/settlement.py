@@ -28,7 +28,9 @@ def refundable(show_date: Column | str, as_of: datetime | str | Column) -> Colum
 
 
 def _answers(outcomes: DataFrame, action: str) -> DataFrame:
-    return outcomes.filter(F.col("action") == action).select(
+    """The gateway's answers to one action on whole payments."""
+    whole = (F.col("action") == action) & F.col("price").isNull()
+    return outcomes.filter(whole).select(
         "payment_id",
         F.col("status").alias("g_status"),
         F.col("code").alias("g_code"),
@@ -210,12 +212,21 @@ def _with_answer(rows: DataFrame, outcomes: DataFrame, deleted: str) -> DataFram
     """Add what the gateway call does to a payment row that has ``status``, ``amount`` and
     ``refund_amount``. A succeeded payment is refunded, any other is cancelled.
 
-    An error that is not the gateway's own leaves empty statuses, as a failed refund does; the
-    column ``outcome`` tells them apart.
+    Rows of a ticket price (``price``) have an answer of their own where ``outcomes`` has one for
+    that price, else the payment's. An error that is not the gateway's own leaves empty statuses, as
+    a failed refund does; the column ``outcome`` tells them apart.
     """
-    answers = _answers(outcomes, "refund").withColumn("action", F.lit("refund")).unionByName(
-        _answers(outcomes, "cancel").withColumn("action", F.lit("cancel"))
+    answer = F.struct(
+        F.col("status").alias("g_status"),
+        F.col("code").alias("g_code"),
+        F.col("message").alias("g_message"),
+        F.col("failure_reason").alias("g_reason"),
+        F.col("error").alias("g_error"),
     )
+    asked = outcomes.filter(F.col("action").isin("refund", "cancel"))
+    keys = ["payment_id", "action"]
+    whole = asked.filter(F.col("price").isNull()).select(*keys, answer.alias("of_payment"))
+    of_tier = asked.filter(F.col("price").isNotNull()).select(*keys, "price", answer.alias("of_tier"))
     declined = F.coalesce(F.col("g_error") == "gateway", F.lit(False))
     failed = F.col("g_error").isNotNull()
     refunds = F.col("action") == "refund"
@@ -256,9 +267,14 @@ def _with_answer(rows: DataFrame, outcomes: DataFrame, deleted: str) -> DataFram
         .otherwise("cancelled")
     )
     action = F.when(F.col("status") == fx.SUCCEEDED, "refund").otherwise("cancel")
+    called = rows.withColumn("action", action).join(whole, keys, "left")
+    if "price" in rows.columns:
+        called = called.join(of_tier, [*keys, "price"], "left").withColumn(
+            "of_payment", F.coalesce("of_tier", "of_payment")
+        ).drop("of_tier")
     return (
-        rows.withColumn("action", action)
-        .join(answers, ["payment_id", "action"], "left")
+        called.select("*", "of_payment.*")
+        .drop("of_payment")
         .withColumns(
             {
                 "log_status": log_status,

@@ -286,6 +286,16 @@ def event_detail_rejects(d: Derived) -> DataFrame:
     return inserts.create_event_details(lines, AS_OF)[1]
 
 
+@query
+def ticket_intake(d: Derived) -> DataFrame:
+    return intake.ticket_requests(d.ticket_bodies).rows
+
+
+@query
+def ticket_intake_rejects(d: Derived) -> DataFrame:
+    return intake.ticket_requests(d.ticket_bodies).rejects
+
+
 @query
 def request_intake(d: Derived) -> DataFrame:
     lines = intake.reservation_requests(d.reservation_bodies, "bigint").lines
@@ -328,6 +338,12 @@ def reserve_single(d: Derived) -> DataFrame:
     return dml.reserve_tickets(_single_requests(d), d.event_details, ["l_shipdate", "id"])
 
 
+@query
+def reserve_single_sliced(d: Derived) -> DataFrame:
+    """The same where no task may sort more than 1,000 rows."""
+    return dml.reserve_tickets(_single_requests(d), d.event_details, ["l_shipdate", "id"], 1_000)
+
+
 @query
 def reserve_single_inventory(d: Derived) -> DataFrame:
     done = dml.reserve_tickets(_single_requests(d), d.event_details, ["l_shipdate", "id"])
@@ -502,24 +518,50 @@ def delete_event_cascade(d: Derived) -> DataFrame:
     return dml.delete_events(_event_deletes(d), _tables(d))["reservations"].drop("updated_at")
 
 
+@query
+def delete_event_left(d: Derived) -> DataFrame:
+    return dml.delete_events(_event_deletes(d), _tables(d))["events"].drop("updated_at")
+
+
 @query
 def delete_event_details_left(d: Derived) -> DataFrame:
     return dml.delete_events(_event_deletes(d), _tables(d))["event_details"].drop("updated_at")
 
 
-@query
-def delete_detail_cascade(d: Derived) -> DataFrame:
-    deletes = d.event_details.filter("price = 0 or tickets_remaining = 0").selectExpr(
+def _detail_deletes(d: Derived) -> DataFrame:
+    return d.event_details.filter("price = 0 or tickets_remaining = 0").selectExpr(
         "id", "event_id + case when id % 4 = 0 then 1 else 0 end as event_id"
     )
-    return dml.delete_event_details(deletes, _tables(d))["reservations"].drop("updated_at")
 
 
 @query
-def delete_user_cascade(d: Derived) -> DataFrame:
+def delete_detail_cascade(d: Derived) -> DataFrame:
+    return dml.delete_event_details(_detail_deletes(d), _tables(d))["reservations"].drop("updated_at")
+
+
+@query
+def delete_detail_left(d: Derived) -> DataFrame:
+    return dml.delete_event_details(_detail_deletes(d), _tables(d))["event_details"].drop("updated_at")
+
+
+def _user_deletes(d: Derived) -> dict[str, DataFrame]:
     blocked = d.customer.filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("id"))
-    new = dml.cascade_delete(_tables(d), users=blocked)
-    return new["reservations"].drop("updated_at")
+    return dml.cascade_delete(_tables(d), users=blocked)
+
+
+@query
+def delete_user_cascade(d: Derived) -> DataFrame:
+    return _user_deletes(d)["reservations"].drop("updated_at")
+
+
+@query
+def delete_user_events(d: Derived) -> DataFrame:
+    return _user_deletes(d)["events"].drop("updated_at")
+
+
+@query
+def delete_user_payments(d: Derived) -> DataFrame:
+    return _user_deletes(d)["payments"].drop("updated_at")
 
 
 # --- booking ------------------------------------------------------------------------------
@@ -609,6 +651,12 @@ def post_charge_inventory(d: Derived) -> DataFrame:
     return new["event_details"].select("id", "event_id", "tickets_remaining")
 
 
+@query
+def post_charge_reservations(d: Derived) -> DataFrame:
+    new = booking.apply_charges(_charged(d), d.payments, d.tickets, d.event_details, AS_OF)
+    return new["reservations"].drop("updated_at")
+
+
 @query
 def post_charge_logs(d: Derived) -> DataFrame:
     return booking.charge_logs(_charged(d), AS_OF)
@@ -653,17 +701,30 @@ def customer_refund_lines(d: Derived) -> DataFrame:
     return _customer_refunds(d).lines
 
 
-@query
-def customer_refund_payments(d: Derived) -> DataFrame:
-    new = settlement.settle_customer_refunds(
+def _settled_refunds(d: Derived) -> dict[str, DataFrame]:
+    return settlement.settle_customer_refunds(
         _customer_refunds(d), d.payments, d.tickets, d.event_details, AS_OF
     )
-    return new["payments"]
+
+
+@query
+def customer_refund_payments(d: Derived) -> DataFrame:
+    return _settled_refunds(d)["payments"]
+
+
+@query
+def customer_refund_reservations(d: Derived) -> DataFrame:
+    return _settled_refunds(d)["reservations"].drop("updated_at")
+
+
+@query
+def customer_refund_inventory(d: Derived) -> DataFrame:
+    return _settled_refunds(d)["event_details"].select("id", "event_id", "tickets_remaining")
 
 
 def _event_cancel_plan(d: Derived) -> DataFrame:
     return settlement.event_cancel_plan(
-        _owned_events(d), d.events, d.event_details, d.tickets, d.payments, d.outcomes
+        _owned_events(d), d.events, d.event_details, d.tickets, d.payments, d.tier_outcomes
     )
 
 
@@ -679,7 +740,7 @@ def event_cancel_plan(d: Derived) -> DataFrame:
 
 
 def _cancel_events(d: Derived) -> dict[str, DataFrame]:
-    return settlement.cancel_events(_owned_events(d), _tables(d), d.outcomes, AS_OF)
+    return settlement.cancel_events(_owned_events(d), _tables(d), d.tier_outcomes, AS_OF)
 
 
 def _cancel_event_details(d: Derived) -> dict[str, DataFrame]:
@@ -730,6 +791,13 @@ def webhook_fold_payments(d: Derived) -> DataFrame:
     return _fold(d).payments
 
 
+@query
+def webhook_fold_sliced(d: Derived) -> DataFrame:
+    """The same where no task may sort more than 50 rows."""
+    typed = webhooks.parse_webhooks(d.webhooks)
+    return webhook_fold.fold_webhooks(typed, d.payments, d.users, AS_OF, split_rows=50).payments
+
+
 @query
 def webhook_logs(d: Derived) -> DataFrame:
     return _fold(d).logs

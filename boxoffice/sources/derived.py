@@ -166,8 +166,34 @@ class Derived:
             "case when action = 'refund' and d % 5 = 0 then 'lost_or_stolen_card' end "
             "as failure_reason",
             "case when d = 4 then 'gateway' when d = 9 then 'other' end as error",
+            "case when d not in (4, 9) then concat('secret_', payment_id) end as client_secret",
+            "case when d % 5 = 1 then 'redirect_to_url' end as next_action",
+            "cast(null as decimal(10,2)) as price",
         )
 
+    @cached_property
+    def tier_outcomes(self) -> DataFrame:
+        """The answers on whole payments, and some on the lounge tickets of a payment alone."""
+        lounges = self.event_details.filter("id % 3 = 2").select(
+            F.col("id").alias("event_detail_id"), "price"
+        )
+        paid = self.tickets.filter("payment_id % 3 = 0").select("payment_id", "event_detail_id")
+        tiers = paid.join(lounges, "event_detail_id").select("payment_id", "price").distinct()
+        own = tiers.selectExpr(
+            "payment_id",
+            "'refund' as action",
+            "case when payment_id % 2 = 0 then 'failed' else 'pending' end as status",
+            "cast(null as string) as code",
+            "cast(null as string) as message",
+            "concat('pi_', payment_id) as intent_id",
+            "case when payment_id % 2 = 0 then 'expired_card' end as failure_reason",
+            "cast(null as string) as error",
+            "cast(null as string) as client_secret",
+            "cast(null as string) as next_action",
+            "price",
+        )
+        return self.outcomes.unionByName(own)
+
     @cached_property
     def request_headers(self) -> DataFrame:
         return self.orders.selectExpr(
@@ -235,6 +261,19 @@ class Derived:
             "'price', cast(0 as decimal(10,2)), 'number_of_tickets', 5)) end)) end as body",
         )
 
+    @cached_property
+    def ticket_bodies(self) -> DataFrame:
+        """One ticket type per event, each in a body of its own."""
+        return self.part.selectExpr(
+            "p_partkey as request_id",
+            "p_partkey as event_id",
+            "case when p_partkey % 43 = 9 then '{\"show_date\": ' else to_json(named_struct("
+            "'show_date', case p_size % 4 when 0 then null when 1 then '1999-02-30 10:00' "
+            "else '1999-03-01 10:00' end, 'description', p_type, "
+            "'price', cast(p_retailprice as decimal(10,2)), "
+            "'number_of_tickets', case when p_size % 5 = 0 then 0 else p_size end)) end as body",
+        )
+
     @cached_property
     def reservation_bodies(self) -> DataFrame:
         return spread(self.lineitem).selectExpr(

@@ -31,7 +31,7 @@ PAYMENT_LOGS = (
 OUTCOMES = (
     "payment_id STRING, action STRING, status STRING, code STRING, message STRING, "
     "intent_id STRING, failure_reason STRING, error STRING, client_secret STRING, "
-    "next_action STRING"
+    "next_action STRING, price DECIMAL(10,2)"
 )
 TABLES = {
     "users": USERS,

@@ -7,26 +7,48 @@ from pyspark.sql import DataFrame, SparkSession
 from boxoffice.sources import schemas
 
 
+def is_complete(spark: SparkSession, root: str) -> bool:
+    """Whether all tables of a version are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_complete/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Scan one base table (or the gateway outcome table) with its declared schema."""
+    """Scan one base table (or the gateway outcome table) with its declared schema. A version that
+    is not wholly written is refused."""
+    if not is_complete(spark, root):
+        raise FileNotFoundError(f"{root} has no finished version")
     return spark.read.schema(schemas.TABLES[name]).parquet(f"{root.rstrip('/')}/{name}")
 
 
 def read_jdbc_table(
-    spark: SparkSession, url: str, name: str, partition_column: str | None = None, **options
+    spark: SparkSession,
+    url: str,
+    name: str,
+    partition_column: str,
+    lower: str,
+    upper: str,
+    partitions: int,
+    **options,
 ) -> DataFrame:
-    """The same tables from a relational database. With ``partition_column`` (plus
-    lowerBound, upperBound and numPartitions) the scan is split over the executors."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)
-    if partition_column:
-        reader = reader.option("partitionColumn", partition_column)
-    return reader.options(**options).load()
+    """The same tables from a relational database. ``partition_column`` and its bounds split the
+    scan over the executors."""
+    split = {
+        "partitionColumn": partition_column,
+        "lowerBound": lower,
+        "upperBound": upper,
+        "numPartitions": str(partitions),
+    }
+    return spark.read.format("jdbc").options(url=url, dbtable=name, **split, **options).load()
 
 
 def write_version(tables: dict[str, DataFrame], root: str) -> None:
-    """Write new table versions below ``root``. The marker file comes last, so a reader that
-    waits for it never sees half of a set of tables."""
+    """Write new table versions below ``root``. The marker comes last, so that ``read_table`` never
+    sees half of a set of tables. A finished version is not written again: a new one goes to a new
+    root. One that was left unfinished is."""
     spark = next(iter(tables.values())).sparkSession
+    if is_complete(spark, root):
+        raise FileExistsError(f"{root} holds a finished version")
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
     done = spark.createDataFrame([(n,) for n in sorted(tables)], "table_name STRING")

@@ -14,20 +14,22 @@ ABSENT = "UNION ALL SELECT -1 UNION ALL SELECT -2"
 
 # --- search and lookups ------------------------------------------------------------
 
+# A ticket type is shown in the asked days if the pattern occurs in a text of its event.
 SEARCH = """
-SELECT e.id AS event_id, e.title, e.description, e.organizer, ed.id AS event_detail_id,
-  ed.show_date, ed.price, ed.number_of_tickets, ed.ticket_description
-FROM bk_events e LEFT JOIN bk_event_details ed ON ed.event_id = e.id
-WHERE (lower(e.title) LIKE '{p}' OR lower(e.description) LIKE '{p}' OR lower(e.organizer) LIKE '{p}')
-  AND ed.show_date >= TIMESTAMP '{a}' AND ed.show_date <= TIMESTAMP '{b}'
+SELECT n.id AS event_id, n.title, n.description, n.organizer, t.id AS event_detail_id, t.show_date,
+  t.price, t.number_of_tickets, t.ticket_description
+FROM bk_event_details t, (SELECT *,
+    concat_ws(chr(0), title, description, organizer) AS texts FROM bk_events) n
+WHERE t.event_id = n.id AND lower(n.texts) LIKE '%{p}%'
+  AND t.show_date BETWEEN TIMESTAMP '{a}' AND TIMESTAMP '{b}'
 """
 sql(
     "search_events",
-    SEARCH.format(p="%ring%", a="1998-06-15 00:00:00", b="1998-06-30 23:59:59"),
+    SEARCH.format(p="ring", a="1998-06-15 00:00:00", b="1998-06-30 23:59:59"),
 )
 sql(
     "search_events_dates",
-    SEARCH.format(p="%brand#1%%", a="1995-01-01 00:00:00", b="2001-07-28 23:59:00"),
+    SEARCH.format(p="brand#1%", a="1995-01-01 00:00:00", b="2001-07-28 23:59:00"),
 )
 EVENT = "e.title, e.description, e.organizer, e.created_at"
 DETAIL = (
@@ -130,15 +132,15 @@ sql(
     FROM bk_event_details ed JOIN bk_events e ON e.id = ed.event_id
     WHERE ed.id IN (SELECT event_detail_id FROM bk_lines)""",
 )
-J3 = """SELECT p.id AS payment_id, p.payment_intent_id, p.user_id, p.amount, p.status,
-      r.id AS reservation_id, r.email, ed.id AS event_detail_id, e.title, ed.ticket_description,
-      ed.show_date, ed.price
-    FROM bk_payments p
-    JOIN (SELECT id AS payment_id, user_id + CASE WHEN id % 23 = 0 THEN 1 ELSE 0 END AS user_id
-      FROM bk_payments) k ON k.payment_id = p.id AND k.user_id = p.user_id
-    LEFT JOIN bk_tickets r ON r.payment_id = p.id
-    LEFT JOIN bk_event_details ed ON ed.id = r.event_detail_id
-    LEFT JOIN bk_events e ON e.id = ed.event_id"""
+# Every ticket of an asked payment with what it was for; a payment without tickets has one bare row.
+J3 = """SELECT asked.*, held.* EXCLUDE (payment_id)
+    FROM (SELECT id AS payment_id, payment_intent_id, user_id, amount, status FROM bk_payments
+      WHERE id % 23 <> 0) asked
+    LEFT JOIN (SELECT t.payment_id, t.id AS reservation_id, t.email, t.event_detail_id, kinds.title,
+        kinds.ticket_description, kinds.show_date, kinds.price
+      FROM bk_tickets t LEFT JOIN (SELECT d.*, (SELECT title FROM bk_events WHERE id = d.event_id) AS title
+        FROM bk_event_details d) kinds ON kinds.id = t.event_detail_id) held
+      ON held.payment_id = asked.payment_id"""
 sql("payment_reservation_details", J3)
 sql(
     "events_with_tickets",
@@ -163,27 +165,24 @@ owned_events AS (SELECT id AS event_id, user_id + CASE WHEN id % 9 = 0 THEN 1 EL
 owned_details AS (SELECT id AS event_detail_id,
   event_id // 2 + CASE WHEN id % 9 = 0 THEN 1 ELSE 0 END AS user_id,
   'owner' || (event_id // 2) || '@example.com' AS user_email FROM bk_event_details),
+priced AS (SELECT t.payment_id, d.event_id, d.price, count(*) AS n
+  FROM bk_tickets t JOIN bk_event_details d ON d.id = t.event_detail_id GROUP BY ALL),
 event_totals AS (
-  SELECT e.id AS event_id, p.id AS payment_id, p.payment_intent_id, p.user_id AS payer_user_id,
-    p.amount, p.status, e.title, ed.price, CAST(sum(ed.price) AS DECIMAL(20,2)) AS ticket_price
-  FROM owned_events k
-  JOIN bk_events e ON e.id = k.event_id AND e.user_id = k.user_id
-  JOIN bk_event_details ed ON ed.event_id = e.id
-  JOIN bk_tickets r ON r.event_detail_id = ed.id
-  JOIN bk_payments p ON p.id = r.payment_id
-  GROUP BY e.id, p.id, p.payment_intent_id, p.user_id, p.amount, p.status, e.title, ed.price),
+  SELECT s.event_id, s.payment_id, p.payment_intent_id, p.user_id AS payer_user_id, p.amount,
+    p.status, (SELECT title FROM bk_events WHERE id = s.event_id) AS title, s.price,
+    CAST(s.n * s.price AS DECIMAL(20,2)) AS ticket_price
+  FROM priced s JOIN bk_payments p ON p.id = s.payment_id
+  WHERE (s.event_id, s.event_id // 2) IN (SELECT (event_id, user_id) FROM owned_events)),
+counted AS (SELECT payment_id, event_detail_id, count(*) AS n FROM bk_tickets GROUP BY ALL),
 detail_totals AS (
-  SELECT ed.id AS event_detail_id, p.id AS payment_id, p.payment_intent_id,
-    p.user_id AS payer_user_id, p.amount, p.status, p.created_at, e.title, ed.ticket_description,
-    CAST(sum(ed.price) AS DECIMAL(20,2)) AS ticket_price
-  FROM owned_details k
-  JOIN bk_event_details ed ON ed.id = k.event_detail_id
-  JOIN bk_events e ON e.id = ed.event_id AND e.user_id = k.user_id
-  JOIN bk_tickets r ON r.event_detail_id = ed.id
-  JOIN bk_payments p ON p.id = r.payment_id
-  JOIN bk_users u ON u.id = p.user_id
-  GROUP BY ed.id, p.id, p.payment_intent_id, p.user_id, p.amount, p.status, p.created_at, e.title,
-    ed.ticket_description, ed.price)
+  SELECT d.id AS event_detail_id, p.id AS payment_id, p.payment_intent_id,
+    p.user_id AS payer_user_id, p.amount, p.status, p.created_at,
+    (SELECT title FROM bk_events WHERE id = d.event_id) AS title, d.ticket_description,
+    CAST(s.n * d.price AS DECIMAL(20,2)) AS ticket_price
+  FROM counted s JOIN bk_event_details d ON d.id = s.event_detail_id
+  JOIN bk_payments p ON p.id = s.payment_id
+  WHERE (d.id, d.event_id // 2) IN (SELECT (event_detail_id, user_id) FROM owned_details)
+    AND p.user_id IN (SELECT id FROM bk_users))
 """
 sql("event_refund_totals", "SELECT * FROM event_totals", OWNED)
 sql("detail_refund_totals", "SELECT * FROM detail_totals", OWNED)
@@ -192,15 +191,12 @@ sql(
     """SELECT payment_id, event_detail_id, CAST(count(*) AS INTEGER) AS tickets
     FROM bk_tickets GROUP BY 1, 2""",
 )
+# Who paid, with success, a payment that holds a ticket for the event.
 ATTENDEES = """
-SELECT e.id AS event_id, p.user_id, concat(u.firstname, ' ', u.lastname) AS full_name, u.email
-FROM {events} e
-JOIN bk_event_details ed ON ed.event_id = e.id
-JOIN bk_tickets r ON r.event_detail_id = ed.id
-JOIN bk_payments p ON p.id = r.payment_id
-JOIN bk_users u ON u.id = p.user_id
-WHERE p.status = 'succeeded'
-GROUP BY e.id, p.user_id, u.firstname, u.lastname, u.email
+SELECT e.id AS event_id, u.id AS user_id, u.firstname || ' ' || u.lastname AS full_name, u.email
+FROM {events} e, bk_users u
+WHERE (e.id, u.id) IN (SELECT (d.event_id, p.user_id) FROM bk_payments p, bk_tickets t, bk_event_details d
+  WHERE p.status = 'succeeded' AND t.payment_id = p.id AND d.id = t.event_detail_id)
 """
 sql("confirmed_attendees", ATTENDEES.format(events="bk_events"))
 
@@ -274,6 +270,19 @@ sql(
     f"""SELECT event_id, pos, show_date, {SHOW_ERROR} AS message
     FROM bk_event_lines_judged WHERE shown IS NULL""",
 )
+sql(
+    "ticket_intake",
+    """SELECT p_partkey AS request_id, p_partkey AS event_id, 0 AS pos,
+      CASE WHEN p_size % 4 = 1 THEN '1999-02-30 10:00' ELSE '1999-03-01 10:00' END AS show_date,
+      p_type AS ticket_description, CAST(p_retailprice AS DECIMAL(10,2)) AS price,
+      p_size AS number_of_tickets
+    FROM part WHERE p_partkey % 43 <> 9 AND p_size % 4 <> 0 AND p_size % 5 <> 0""",
+)
+sql(
+    "ticket_intake_rejects",
+    f"""SELECT p_partkey AS request_id, {BAD_JSON} FROM part
+    WHERE p_partkey % 43 = 9 OR p_size % 4 = 0 OR p_size % 5 = 0""",
+)
 sql(
     "request_intake",
     """SELECT request_id, requested_at, pos, event_detail_id + pos AS event_detail_id,
@@ -321,6 +330,7 @@ served AS (SELECT s.*, coalesce(row_number() OVER (PARTITION BY event_detail_id
 """
 DETAIL_REST = "d.show_date, d.price, d.number_of_tickets, d.ticket_description, d.created_at, d.event_id"
 sql("reserve_single", "SELECT * FROM served", SINGLES)
+sql("reserve_single_sliced", "SELECT * FROM served", SINGLES)
 sql(
     "reserve_single_inventory",
     f"""SELECT d.id, {DETAIL_REST}, CAST(d.tickets_remaining - (SELECT count(*) FROM served s
@@ -481,11 +491,17 @@ sql(
     "SELECT * FROM bk_event_details WHERE event_id NOT IN (SELECT id FROM gone)",
     EVENT_DELETES,
 )
+sql("delete_event_left", "SELECT * FROM bk_events WHERE id NOT IN (SELECT id FROM gone)", EVENT_DELETES)
 sql(
     "delete_detail_cascade",
     """SELECT * FROM bk_reservations WHERE event_detail_id NOT IN (SELECT id FROM bk_event_details
       WHERE (price = 0 OR tickets_remaining = 0) AND id % 4 <> 0)""",
 )
+sql(
+    "delete_detail_left",
+    """SELECT * FROM bk_event_details
+    WHERE NOT ((price = 0 OR tickets_remaining = 0) AND id % 4 <> 0)""",
+)
 sql(
     "delete_user_cascade",
     """SELECT r.* FROM bk_reservations r JOIN bk_event_details d ON d.id = r.event_detail_id
@@ -493,6 +509,9 @@ sql(
     WHERE r.user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')
       AND e.user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')""",
 )
+BLOCKED = "(SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')"
+sql("delete_user_events", f"SELECT * FROM bk_events WHERE user_id NOT IN {BLOCKED}")
+sql("delete_user_payments", f"SELECT * FROM bk_payments WHERE user_id NOT IN {BLOCKED}")
 
 # --- booking ------------------------------------------------------------------------------
 
@@ -613,11 +632,15 @@ charged AS (SELECT payment_id, user_id, user_email, payment_method_id, total, st
         WHEN status = 'requires_payment_method' THEN 'please submit new payment method'
         ELSE logged_message END AS message,
       CASE WHEN NOT free AND coalesce(error, '') <> 'other' THEN intent_id END AS payment_intent_id,
+      CASE WHEN NOT free AND error IS NULL AND g_status = 'requires_action' THEN client_secret END
+        AS client_secret,
+      CASE WHEN NOT free AND error IS NULL AND g_status = 'requires_action' THEN next_action END
+        AS next_action,
       status = 'canceled' AS removed, status = 'succeeded' AS notify, NOT free AS logged,
       CASE WHEN NOT free THEN nullif(logged_message, '') END AS log_description
     FROM (SELECT p.id AS payment_id, p.user_id, 'login' || p.user_id || '@example.com' AS user_email,
         'pm_' || p.id AS payment_method_id, p.amount AS total, p.amount = 0 AS free, o.error,
-        o.intent_id,
+        o.intent_id, o.client_secret, o.next_action, o.status AS g_status,
         CASE WHEN p.amount = 0 THEN 'succeeded' WHEN o.error = 'gateway' THEN coalesce(o.code, '')
           WHEN o.error = 'other' THEN '' ELSE o.status END AS status,
         CASE WHEN o.error = 'gateway' THEN o.message WHEN o.error = 'other' THEN ''
@@ -646,6 +669,12 @@ sql(
       JOIN charged USING (payment_id) WHERE removed GROUP BY 1) b ON b.event_detail_id = d.id""",
     CHARGED,
 )
+sql(
+    "post_charge_reservations",
+    """SELECT * FROM bk_tickets WHERE payment_id NOT IN (SELECT payment_id FROM charged
+      WHERE removed)""",
+    CHARGED,
+)
 sql(
     "post_charge_logs",
     f"""SELECT sha256('log-charge-' || payment_id) AS id, status, log_description AS description,
@@ -664,11 +693,13 @@ retried AS (SELECT payment_id, user_id, outcome,
           ELSE 'payment updated' END END AS message,
       CASE WHEN outcome = 'updated' THEN amount END AS amount,
       CASE WHEN outcome = 'updated' THEN payment_intent_id END AS payment_intent_id,
-      CASE WHEN outcome = 'updated' THEN expires_at END AS expires_at
+      CASE WHEN outcome = 'updated' THEN expires_at END AS expires_at,
+      CASE WHEN outcome = 'updated' AND error IS NULL THEN client_secret END AS client_secret,
+      CASE WHEN outcome = 'updated' AND error IS NULL THEN next_action END AS next_action
     FROM (SELECT id AS payment_id, p.user_id + CASE WHEN id % 6 = 0 THEN 1 ELSE 0 END AS user_id,
         CASE WHEN id % 6 = 0 THEN 'not_found' WHEN payment_intent_id IS NULL THEN 'no_intent'
           ELSE 'updated' END AS outcome, o.status AS g_status, o.code, o.message AS g_message,
-        o.error, amount, payment_intent_id, expires_at
+        o.error, amount, payment_intent_id, expires_at, o.client_secret, o.next_action
       FROM bk_payments p JOIN bk_outcomes o ON o.payment_id = p.id AND o.action = 'retry'))
 """
 sql("payment_retry", "SELECT * FROM retried", RETRIED)
@@ -737,6 +768,21 @@ sql(
     WHERE j.eligible AND r.outcome NOT IN ('not_found', 'error', 'not_eligible')""",
     REFUND,
 )
+GIVEN_BACK = REFUND + """,
+given_back AS (SELECT j.reservation_id, j.event_detail_id
+  FROM judged j JOIN refunds r USING (payment_id, user_id)
+  WHERE j.eligible AND r.outcome NOT IN ('not_found', 'error', 'not_eligible'))"""
+sql(
+    "customer_refund_reservations",
+    "SELECT * FROM bk_tickets WHERE id NOT IN (SELECT reservation_id FROM given_back)",
+    GIVEN_BACK,
+)
+sql(
+    "customer_refund_inventory",
+    """SELECT d.id, d.event_id, CAST(d.tickets_remaining + (SELECT count(*) FROM given_back g
+      WHERE g.event_detail_id = d.id) AS INTEGER) AS tickets_remaining FROM bk_event_details d""",
+    GIVEN_BACK,
+)
 # A refund that reached the gateway ends with the original amount, so only the status changes;
 # "no_amount" refunds only zero-priced tickets, which leaves the amount as it was too.
 sql(
@@ -749,8 +795,23 @@ sql(
 )
 
 
-def answered(rows: str, note: str) -> str:
+def answered(rows: str, note: str, tiers: bool = False) -> str:
+    """What the gateway calls do to ``rows``; with ``tiers``, a price's own answer comes first."""
+    source = "bk_outcomes o ON o.payment_id = t.payment_id AND o.action = t.act"
+    if tiers:
+        source = """(SELECT payment_id, action, NULL AS price, status, code, message, failure_reason,
+      error FROM bk_outcomes UNION ALL SELECT * FROM tier_answers) o
+    ON o.payment_id = t.payment_id AND o.action = t.act AND (o.price = t.price OR (o.price IS NULL
+      AND NOT EXISTS (SELECT 1 FROM tier_answers x WHERE x.payment_id = t.payment_id
+        AND x.action = t.act AND x.price = t.price)))"""
     return f"""
+tier_answers AS (SELECT DISTINCT r.payment_id, 'refund' AS action, d.price,
+    CASE WHEN r.payment_id % 2 = 0 THEN 'failed' ELSE 'pending' END AS status,
+    CAST(NULL AS VARCHAR) AS code, CAST(NULL AS VARCHAR) AS message,
+    CASE WHEN r.payment_id % 2 = 0 THEN 'expired_card' END AS failure_reason,
+    CAST(NULL AS VARCHAR) AS error
+  FROM bk_tickets r JOIN bk_event_details d ON d.id = r.event_detail_id
+  WHERE r.payment_id % 3 = 0 AND d.id % 3 = 2),
 acted AS (SELECT t.*, t.act AS action,
     CASE WHEN o.error = 'gateway' THEN coalesce(o.code, '') WHEN o.error = 'other' THEN ''
       WHEN t.act = 'refund' THEN o.status ELSE 'cancelled' END AS log_status,
@@ -770,7 +831,7 @@ acted AS (SELECT t.*, t.act AS action,
     CASE WHEN o.error = 'gateway' THEN o.message END AS failed_message
   FROM (SELECT *, CASE WHEN status = 'succeeded' THEN 'refund' ELSE 'cancel' END AS act
     FROM {rows}) t
-  LEFT JOIN bk_outcomes o ON o.payment_id = t.payment_id AND o.action = t.act)
+  LEFT JOIN {source})
 """
 
 
@@ -779,7 +840,7 @@ EVENT_PLAN = (
     + """,
 live AS (SELECT *, CAST(CASE WHEN amount = 0 THEN 0 ELSE ticket_price END AS DECIMAL(20,2))
     AS refund_amount FROM event_totals WHERE status NOT IN ('refunded', 'cancelled')),"""
-    + answered("live", "event deleted")
+    + answered("live", "event deleted", True)
     + """,
 plan AS (SELECT event_id, payment_id, payment_intent_id, payer_user_id, amount, status, title, price,
   refund_amount, action, log_status, log_description, new_status, outcome, failed_action,
@@ -901,9 +962,7 @@ judged AS (SELECT *, type <> 'charge.refunded' OR (s0 = 'refund pending' AND oth
   FROM ordered),
 applied AS (SELECT * FROM judged WHERE counts)
 """
-sql(
-    "webhook_fold_payments",
-    f"""SELECT p.id, CASE WHEN f.last_intent_seq IS NOT NULL THEN f.intent ELSE p.payment_intent_id
+FOLDED = f"""SELECT p.id, CASE WHEN f.last_intent_seq IS NOT NULL THEN f.intent ELSE p.payment_intent_id
         END AS payment_intent_id,
       CAST(coalesce(f.cents / 100.0, p.amount) AS DECIMAL(10,2)) AS amount, p.currency, f.status,
       p.expires_at, p.created_at, {AS_OF} AS updated_at, p.user_id
@@ -912,9 +971,9 @@ sql(
           FILTER (WHERE type <> 'refund.failed') AS cents,
         arg_max(intent_id, seq) FILTER (WHERE type IN {INTENTS}) AS intent,
         max(seq) FILTER (WHERE type IN {INTENTS}) AS last_intent_seq
-      FROM applied GROUP BY 1) f ON f.payment_id = p.id""",
-    FOLD,
-)
+      FROM applied GROUP BY 1) f ON f.payment_id = p.id"""
+sql("webhook_fold_payments", FOLDED, FOLD)
+sql("webhook_fold_sliced", FOLDED, FOLD)
 sql(
     "webhook_logs",
     f"""SELECT sha256('log-' || seq) AS id,

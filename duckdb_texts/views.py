@@ -63,7 +63,9 @@ bk_outcomes AS (
       AS message,
     CASE WHEN d <> 9 THEN 'pi_' || payment_id END AS intent_id,
     CASE WHEN action = 'refund' AND d % 5 = 0 THEN 'lost_or_stolen_card' END AS failure_reason,
-    CASE WHEN d = 4 THEN 'gateway' WHEN d = 9 THEN 'other' END AS error
+    CASE WHEN d = 4 THEN 'gateway' WHEN d = 9 THEN 'other' END AS error,
+    CASE WHEN d NOT IN (4, 9) THEN 'secret_' || payment_id END AS client_secret,
+    CASE WHEN d % 5 = 1 THEN 'redirect_to_url' END AS next_action
   FROM (SELECT o_orderkey AS payment_id, o_orderkey % 10 AS d, action
     FROM orders, (VALUES ('charge'), ('refund'), ('cancel'), ('retry')) t(action))),
 bk_headers AS (

@@ -204,7 +204,7 @@ OUTCOME_ROWS = [
 def outcomes(table, action):
     return table(
         schemas.OUTCOMES,
-        *[(p, action, s, code, m, i, None, e, None, None) for p, s, code, m, i, e in OUTCOME_ROWS],
+        *[(p, action, s, code, m, i, None, e, f"secret {p}", "redirect", None) for p, s, code, m, i, e in OUTCOME_ROWS],
     )
 
 
@@ -225,6 +225,7 @@ def test_post_charge(table):
         ("p7", "", "", None),
         ("p8", "succeeded", "free reservation successful", None),
     }
+    assert rows(got.filter("client_secret is not null or next_action is not null"), "payment_id", "client_secret", "next_action") == {("p2", "secret p2", "redirect")}
     flags = {r.payment_id: (r.removed, r.notify, r.logged, r.log_description) for r in got.collect()}
     assert flags["p1"] == (False, True, True, "payment successful")
     assert flags["p2"] == (False, False, True, "payment successful")
@@ -249,6 +250,8 @@ def test_retry(table):
         ("p6", "u1", "updated", "card_declined", "Declined."),
         ("p7", "u1", "updated", "error", "an unknown error occurred with payment update"),
     }
+    told = got.filter("client_secret is not null or next_action is not null")
+    assert rows(told, "payment_id", "user_id", "client_secret") == {("p1", "u1", "secret p1")}
 
 
 def test_apply_charges(table, details):
@@ -284,7 +287,7 @@ def test_apply_charges(table, details):
 def test_gateway_error_without_a_code(table, details):
     """The payment gets an empty status and the audit row is written."""
     payments = table(schemas.PAYMENTS, ("p1", None, D(10), "usd", "pending", T0, T0, None, "u1"))
-    answer = table(schemas.OUTCOMES, ("p1", "charge", None, None, "Odd.", "pi1", None, "gateway", None, None))
+    answer = table(schemas.OUTCOMES, ("p1", "charge", None, None, "Odd.", "pi1", None, "gateway", None, None, None))
     pending = table(
         "payment_id STRING, user_id STRING, user_email STRING, payment_method_id STRING, "
         "total DECIMAL(20,2)",

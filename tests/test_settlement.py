@@ -76,7 +76,7 @@ def world(table):
         "outcomes": table(
             schemas.OUTCOMES,
             *[
-                (p, a, s, code, m, None, r, e, None, None)
+                (p, a, s, code, m, None, r, e, None, None, None)
                 for p, a, s, code, m, r, e in [
                     ("p1", "refund", "succeeded", None, None, None, None),
                     ("p2", "refund", "failed", None, None, "expired", None),
@@ -266,3 +266,18 @@ def test_cancelled_ticket_type_settles_for_the_owner_only(table, world):
     left = {r[0] for r in rows(new["event_details"], "id")}
     assert "a" not in left and "edge" not in left
     assert new["payment_logs"].count() == 2
+
+
+def test_one_answer_per_ticket_price(table, world):
+    """Two prices of one payment: one refund goes through, the other fails."""
+    more = table(
+        schemas.OUTCOMES,
+        ("p1", "refund", "failed", None, None, None, "expired", None, None, None, D("25.00")),
+        ("p1", "refund", "failed", None, None, None, "never asked", None, None, None, D("99.00")),
+    )
+    w = dict(world, outcomes=world["outcomes"].unionByName(more))
+    plan = event_plan(table, w)[1].filter("payment_id = 'p1'")
+    prices = sorted((r.price, r.outcome, r.log_description) for r in plan.collect())
+    assert len(prices) > 1
+    assert {o for p, o, _ in prices if p == D("25.00")} <= {"refund_failed"}
+    assert all((o == "refund_failed") == (p == D("25.00")) for p, o, _ in prices)

@@ -23,6 +23,13 @@ def test_versions_round_trip(spark, table, tmp_path):
     assert again.schema.simpleString() == payments.schema.simpleString()
     done = spark.read.json(str(tmp_path / "v1" / "_complete"))
     assert rows(done, "table_name") == {("events",), ("payments",)}
+    with pytest.raises(FileExistsError):
+        write_version({"events": events}, str(tmp_path / "v1"))
+    events.write.parquet(str(tmp_path / "v2" / "events"))
+    with pytest.raises(FileNotFoundError):
+        read_table(spark, str(tmp_path / "v2"), "events")
+    write_version({"events": events}, str(tmp_path / "v2"))  # what was left unfinished is done again
+    assert read_table(spark, str(tmp_path / "v2"), "events").count() == 1
     append(events, str(tmp_path / "v1"), "events")
     assert read_table(spark, str(tmp_path / "v1"), "events").count() == 2
 
