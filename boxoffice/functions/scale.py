@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 SPLIT_ROWS = 2_000_000
 SLICE = "_slice"
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,10 +33,27 @@ def materialize(df: DataFrame, label: str, counts: Observation | None = None, *m
     ``metrics`` are aggregates gathered into ``counts`` by the same write."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if (written := _written.get()) is not None:
+        written.append(path)
     (df.observe(counts, *metrics) if counts else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``materialize`` writes inside when the block ends. For jobs that come
+    back again and again; results must be written before the end."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop
+        for path in _written.get() or []:
+            folder = hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        _written.reset(token)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal out an input that arrives in fewer splits than there are cores, before heavy work on
     each row. A large input is left as it is."""
@@ -128,3 +149,19 @@ def running(
             value = F.coalesce(near_n, far_n)
         out = out.withColumn(n, value)
     return out.drop(*drop, *[f"_near_{n}" for n in inputs], *[f"_far_{n}" for n in inputs])
+
+
+def arrival_numbers(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
+    """Number the rows from ``start`` in ``order`` without gathering them: partitions are ranges, and
+    only their row counts reach the driver. The ranges are written once, so that numbers hold."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialize(placed, "arrivals")
+    offsets, before = [], start
+    for row in placed.groupBy("_part").count().orderBy("_part").collect():
+        offsets += [F.lit(row["_part"]), F.lit(before)]
+        before += row["count"]
+    if not offsets:
+        return df.limit(0).withColumn(name, F.lit(0).cast("long"))
+    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn(name, (at + F.create_map(*offsets)[F.col("_part")]).cast("long")).drop("_part", "_at")

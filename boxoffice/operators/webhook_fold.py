@@ -88,20 +88,19 @@ def resolve_events(
     )
 
 
-def payments_in_play(typed: DataFrame, payments: DataFrame) -> DataFrame:
-    """The payments that the events name, or that hold an intent id they carry."""
+def touchable(typed: DataFrame, payments: DataFrame) -> DataFrame:
+    """The ids of the payments that the events name, or that hold an intent id they carry. Only two
+    columns of the payments are read."""
     kind = payments.schema["id"].dataType.simpleString()
     live = typed.filter(F.col("reason").isNull())
-    named = live.select(c.parse_id(F.col("payment_ref"), kind).alias("id"))
-    ids = named.filter("id is not null").distinct()
-    intents = live.filter(~F.col("type").isin(*INTENT_TYPES)).select(
+    named = live.select(c.parse_id(F.col("payment_ref"), kind).alias("id")).filter("id is not null")
+    carried = live.filter(~F.col("type").isin(*INTENT_TYPES) & F.col("intent_id").isNotNull()).select(
         F.col("intent_id").alias("payment_intent_id")
     )
-    holding = intents.filter("payment_intent_id is not null").distinct()
-    # The ids are found in two narrow columns; whole rows are read for those ids alone.
-    by_intent = payments.select("id", "payment_intent_id").join(holding, "payment_intent_id", "left_semi")
-    wanted = ids.unionByName(by_intent.select("id")).distinct()
-    return payments.join(wanted, "id", "left_semi").select(*payments.columns)
+    holding = payments.select("id", "payment_intent_id").join(
+        carried.distinct(), "payment_intent_id", "left_semi"
+    )
+    return named.unionByName(holding.select("id")).distinct()
 
 
 def _spans(
@@ -232,7 +231,10 @@ def fold_webhooks(
         F.min("seq").alias("first"),
         F.max("seq").alias("last"),
     )
-    payments = materialize(payments_in_play(typed, payments), "in-play")
+    payments = materialize(
+        payments.join(touchable(typed, payments), "id", "left_semi").select(*payments.columns),
+        "in-play",
+    )
     arrivals = Arrivals(seen.get["rows"], seen.get["first"] or 0, (seen.get["last"] or 0) + 1)
     events = materialize(
         resolve_events(typed, payments, users, arrivals, split_rows), "resolved"

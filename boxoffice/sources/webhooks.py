@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boxoffice.functions import columns as c, fixed as fx
+from boxoffice.functions.scale import arrival_numbers
 from boxoffice.sources import schemas
 
 INTENT_TYPES = (fx.TYPE_SUCCEEDED, fx.TYPE_FAILED, fx.TYPE_ACTION)
@@ -16,18 +17,31 @@ def read_webhook_files(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.readStream.schema(schemas.WEBHOOK_RAW).options(**options).json(path)
 
 
-def read_webhook_topic(spark: SparkSession, servers: str, topic: str, **options) -> DataFrame:
-    """Stream a topic with one partition (arrival order is the offset). Needs the Kafka package."""
+#: Arrival order of messages of several topics and partitions.
+MESSAGE_ORDER = ["timestamp", "topic", "partition", "offset"]
+#: Arrival numbers of a batch lie between its number and the next one times this.
+BATCH_SPAN = 1 << 40
+
+
+def read_webhook_topics(spark: SparkSession, servers: str, topics: str, **options) -> DataFrame:
+    """Stream topics (with commas) of any number of partitions. Needs the Kafka package."""
     return (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
-        .option("subscribe", topic)
+        .option("subscribe", topics)
         .options(**options)
         .load()
-        .selectExpr("offset as seq", "topic as channel", "cast(value as string) as value")
+        .select(*MESSAGE_ORDER, F.col("value").cast("string").alias("value"))
     )
 
 
+def number_messages(batch: DataFrame, batch_id: int) -> DataFrame:
+    """One batch of messages as ``seq, channel, value``: numbered in arrival order, and unique over
+    all batches. A batch that is run again gets the same numbers."""
+    numbered = arrival_numbers(batch, MESSAGE_ORDER, "seq", batch_id * BATCH_SPAN)
+    return numbered.select("seq", F.col("topic").alias("channel"), "value")
+
+
 def parse_webhooks(raw: DataFrame) -> DataFrame:
     """``raw(seq, value)`` to one typed row per webhook. ``reason`` is set on a row that cannot
     be applied whatever the tables hold; it goes to quarantine."""

@@ -13,9 +13,9 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from boxoffice.functions.scale import SPLIT_ROWS
-from boxoffice.operators.webhook_fold import fold_webhooks
-from boxoffice.sources.webhooks import parse_webhooks
+from boxoffice.functions.scale import SPLIT_ROWS, materialize, scratch
+from boxoffice.operators.webhook_fold import fold_webhooks, touchable
+from boxoffice.sources.webhooks import number_messages, parse_webhooks
 
 OUTPUTS = ("payments", "logs", "quarantine")
 
@@ -64,6 +64,33 @@ def current_payments(
     )
 
 
+def payments_for(
+    typed: DataFrame, base: DataFrame, store: WebhookStore, before_batch: int
+) -> DataFrame:
+    """The current rows of the payments that the events can touch. Their ids are found in narrow scans
+    of the base and of the changes; both are restricted to them before they are merged."""
+    spark = base.sparkSession
+    wanted = touchable(typed, base)
+    if before_batch <= store.first_batch:
+        return base.join(wanted, "id", "left_semi")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+    changes = store.read(spark, "payments", schema).filter(
+        (F.col("batch") >= store.first_batch) & (F.col("batch") < before_batch)
+    )
+    wanted = wanted.unionByName(touchable(typed, changes)).distinct()
+    few = changes.join(wanted, "id", "left_semi")
+    latest = few.groupBy("id").agg(F.max_by(F.struct(*base.columns), "batch").alias("new"))
+    untouched = base.join(wanted, "id", "left_semi").join(latest.select("id"), "id", "left_anti")
+    return untouched.select(*base.columns).unionByName(latest.select("new.*"))
+
+
+def compact(base: DataFrame, store: WebhookStore, path: str, next_batch: int) -> WebhookStore:
+    """Write the payments as they are before ``next_batch`` as a new base at ``path``, and return the
+    store that goes with it. Run it between batches; the stream is then started with both."""
+    current_payments(base, store, next_batch).write.parquet(path)
+    return WebhookStore(store.root, next_batch)
+
+
 def apply_webhook_stream(
     raw: DataFrame,
     base_payments: DataFrame,
@@ -73,16 +100,19 @@ def apply_webhook_stream(
     as_of: datetime | str | None = None,
     split_rows: int = SPLIT_ROWS,
 ) -> DataStreamWriter:
-    """raw(seq, value), streaming. The caller sets the trigger and starts the writer."""
+    """raw(seq, value), or messages of ``read_webhook_topics``, streaming. The caller sets the trigger
+    and starts the writer."""
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         now = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
-        payments = current_payments(base_payments, store, batch_id)
-        result = fold_webhooks(
-            parse_webhooks(batch), payments, users, now, split_rows=split_rows
-        )
-        for name in OUTPUTS:
-            rows = getattr(result, name)
-            rows.write.mode("overwrite").parquet(store.path(name, batch_id))
+        with scratch(batch.sparkSession):
+            if "seq" not in batch.columns:
+                batch = number_messages(batch, batch_id)
+            typed = materialize(parse_webhooks(batch), "typed")
+            payments = payments_for(typed, base_payments, store, batch_id)
+            result = fold_webhooks(typed, payments, users, now, split_rows=split_rows)
+            for name in OUTPUTS:
+                rows = getattr(result, name)
+                rows.write.mode("overwrite").parquet(store.path(name, batch_id))
 
     return raw.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)

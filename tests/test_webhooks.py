@@ -1,16 +1,23 @@
 import json
 import random
+from pathlib import Path
 from datetime import datetime
 from decimal import Decimal
 
 import pytest
 
-from boxoffice.operators.webhook_fold import apply_payment_changes, fold_webhooks
+from boxoffice.functions.scale import shared_dir
+from boxoffice.operators.webhook_fold import apply_payment_changes, fold_webhooks, touchable
 from boxoffice.operators import outbox
 from boxoffice.operators.aggregates import nest_tickets
 from boxoffice.sources import schemas
-from boxoffice.sources.webhooks import parse_webhooks, read_webhook_files
-from boxoffice.streaming.webhook_stream import WebhookStore, apply_webhook_stream, current_payments
+from boxoffice.sources.webhooks import BATCH_SPAN, number_messages, parse_webhooks, read_webhook_files
+from boxoffice.streaming.webhook_stream import (
+    WebhookStore,
+    apply_webhook_stream,
+    compact,
+    current_payments,
+)
 from tests.conftest import rows
 
 T0 = datetime(2024, 1, 1)
@@ -246,6 +253,45 @@ def test_stream_equals_one_batch(spark, table, users, tmp_path):
     assert rows(again, "id", "status", "amount", "payment_intent_id") == want
 
 
+def test_stream_with_a_new_base_in_between(spark, table, users, tmp_path):
+    payments, events = traffic(10, 12, 90)
+    want, _, _ = loop(payments, events)
+    base, inbox = table(PAYMENTS, *payments), tmp_path / "in"
+    inbox.mkdir()
+    store = WebhookStore(str(tmp_path / "out"))
+    before = set(Path(shared_dir(spark).removeprefix("file:")).iterdir())
+    for part in range(3):
+        lines = [json.dumps({"seq": s, "channel": "payment", "value": json.dumps(events[s])})
+                 for s in range(part * 30, part * 30 + 30)]
+        (inbox / f"{part}.json").write_text("\n".join(lines))
+        raw = read_webhook_files(spark, str(inbox))
+        job = apply_webhook_stream(raw, base, users, store, str(tmp_path / "ck"), NOW)
+        job.trigger(availableNow=True).start().awaitTermination()
+        if part == 1:
+            store = compact(base, store, str(tmp_path / "base"), 2)
+            base = spark.read.schema(base.schema).parquet(str(tmp_path / "base"))
+    assert rows(current_payments(base, store), "id", "status", "amount", "payment_intent_id") == want
+    # The batches' own tables are gone.
+    assert set(Path(shared_dir(spark).removeprefix("file:")).iterdir()) == before
+
+
+def test_messages_of_two_topics_are_numbered_in_arrival_order(spark):
+    messages = [(datetime(2024, 1, 1, 0, 0, i // 3), "ab"[i % 2], i % 2, i // 2, f"m{i}") for i in range(40)]
+    order = sorted(messages, key=lambda m: m[:4])
+    df = spark.createDataFrame(messages, "timestamp TIMESTAMP, topic STRING, partition INT, offset LONG, value STRING")
+    got = {r.seq: r.value for r in number_messages(df.repartition(5), 3).collect()}
+    assert [got[3 * BATCH_SPAN + k] for k in range(40)] == [m[4] for m in order]
+    assert number_messages(df.limit(0), 1).count() == 0
+
+
+def test_a_batch_reads_two_columns_to_find_its_payments(spark, table, tmp_path):
+    table(PAYMENTS, payment(1, "a")).write.parquet(str(tmp_path / "p"))
+    base = spark.read.parquet(str(tmp_path / "p"))
+    raw = table("seq BIGINT, value STRING", (0, json.dumps(refunded("a"))))
+    plan = touchable(parse_webhooks(raw), base)._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<id:bigint,payment_intent_id:string>" in plan
+
+
 def test_mails(table, users):
     payments = table(PAYMENTS, payment(1, "a"), payment(2, "b"))
     reservations = table(
