@@ -86,6 +86,12 @@ def _lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def _lower_for_ascii(text: Column) -> Column:
+    """Lower case that is right for ASCII words, and faster. Only U+0130 and U+212A, whose lower-case
+    forms hold ASCII letters, need the exact form."""
+    return F.when(text.rlike("[\u0130\u212A]"), _lower(text)).otherwise(F.lower(text))
+
+
 def base_places(rows: DataFrame) -> DataFrame:
     """Add n_words, n_base, first_word, last_word and base_found (labels) to rows with ``text``. Only
     texts in which the phrases' last word occurs are cut into words."""
@@ -126,7 +132,7 @@ def text_blocks(rows: DataFrame, vocabulary: list[str], least: dict[str, int]) -
     def of(unit: str, pattern: str) -> DataFrame:
         some = rows.filter(F.col("text").rlike("[0-9A-Za-z]"))
         blocks = some.select(*[c for c in rows.columns if c != "text"], F.lit(unit).alias("unit"), F.posexplode(F.split("text", pattern)).alias("block", "part"))
-        tokens = F.array_intersect(F.split(_lower(F.col("part")), GAP), known)
+        tokens = F.array_intersect(F.split(_lower_for_ascii(F.col("part")), GAP), known)
         return blocks.withColumn("tokens", tokens).drop("part").filter(F.size("tokens") >= least[unit])
 
     units = [of(LINE, r"\n")] * (LINE in least) + [of(PARAGRAPH, r"\n[\x20\x09-\x0D]*\n")] * (PARAGRAPH in least)
@@ -145,7 +151,9 @@ def containment_join(blocks: DataFrame, templates: list[tuple[str, str, list[str
         ranks = sorted(rank[w] for w in words)
         need = max(1, math.ceil(threshold * len(ranks) - 1e-9))
         index += [(unit, r, k, label, ranks, need) for k, r in enumerate(ranks[: len(ranks) - need + 1])]
-    prefixes = blocks.sparkSession.createDataFrame(index, "own_unit string, rank int, at int, label string, own array<int>, need int")
+    # Written as values, their size is known, and Spark broadcasts them by it.
+    values = ", ".join(f"('{unit}', {r}, {k}, '{label}', array({', '.join(map(str, ranks))}), {need})" for unit, r, k, label, ranks, need in index)
+    prefixes = blocks.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(own_unit, rank, at, label, own, need)")
     least = {unit: min(x[5] for x in index if x[0] == unit) for unit in {x[0] for x in index}}
     need = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("unit")]
     ranked = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
