@@ -32,6 +32,10 @@ LARGE = 32
 #: Shingles in one side of a block comparison.
 BLOCK_SHINGLES = 60_000
 GROWTH = 1.5
+#: Fingerprints of sets a task remembers.
+MET = 200_000
+#: Keys have 48 bits: false meetings are few and cost a test; shuffled rows are smaller.
+KEY_BITS = 48
 
 
 class Bands:
@@ -102,36 +106,55 @@ def sketch_keys(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray
         thin = count <= b.thin_tokens
         few = np.bincount(holder, weights=thin, minlength=n) <= b.thin[band]
         emit = ~(thin & few[holder])
-        key = mix(value + mix((band[holder] * np.int64(1 << 32) + place).astype(np.uint64)))
+        key = mix(value + mix((band[holder] * np.int64(1 << 32) + place).astype(np.uint64))) >> np.uint64(64 - KEY_BITS)
         parts.append((holder[emit], key[emit]))
     holder, key = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(holder, kind="stable")
     return key[order], np.searchsorted(holder[order], np.arange(n + 1))
 
 
+def _prints_of(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """A 128-bit fingerprint of each set, as two numbers."""
+    sums = [np.append(np.uint64(0), np.cumsum(mix(h ^ np.uint64(seed)), dtype=np.uint64)) for seed in (0x51ED270B, 0xA3B195354A39B70D)]
+    return [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
+
+
 def set_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """id, n (set size), s1 and s2 (a 128-bit fingerprint of the set)."""
+    """id, n (set size), s1 and s2 (the set's fingerprint)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             h, at = shingle_sets(part.column(1), shingle)
-            sums = [np.append(np.uint64(0), np.cumsum(mix(h ^ np.uint64(seed)), dtype=np.uint64)) for seed in (0x51ED270B, 0xA3B195354A39B70D)]
-            prints = [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
+            prints = _prints_of(h, at)
             yield pa.record_batch([part.column(0), pa.array(np.diff(at)), *map(pa.array, prints)], names=["id", "n", "s1", "s2"])
 
     return docs.select("id", "text").mapInArrow(make, "id long, n long, s1 long, s2 long")
 
 
 def bucket_keys(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """rep (the id) and key, a row for each block of the sketches of ``text``."""
+    """id and key, a row for each block of the sketches of ``text``. A task leaves out sets that it has
+    just met: an equal one stands for them."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int]] = set()
         for part in slices(batches, "text"):
-            keys, cut = sketch_keys(*shingle_sets(part.column(1), shingle), percent)
+            h, at = shingle_sets(part.column(1), shingle)
+            new = np.zeros(part.num_rows, bool)
+            ids = part.column(0)
+            for k, own in enumerate(zip(*(p.tolist() for p in _prints_of(h, at)), strict=True)):
+                # A row without an id stands for nothing.
+                if own not in met and ids[k].is_valid:
+                    met.add(own)
+                    new[k] = True
+            if len(met) > MET:
+                met.clear()
+            sizes = np.diff(at)
+            keep = np.repeat(new, sizes)
+            keys, cut = sketch_keys(h[keep], np.append(0, np.cumsum(sizes[new])), percent)
             lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(keys.view(np.int64)))
-            yield pa.record_batch([part.column(0), lists], names=["rep", "keys"])
+            yield pa.record_batch([ids.filter(pa.array(new)), lists], names=["id", "keys"])
 
-    return docs.select("id", "text").mapInArrow(make, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
+    return docs.select("id", "text").mapInArrow(make, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -240,13 +263,18 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_
     with small_batches(spark):
         sets = materialize(set_prints(rows, shingle), "sets")
     classes = materialize(sets.filter(F.col("n") > 0).groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
-    # Only the representatives' keys are dealt out. They are made twice: for the counts, which combine
-    # before the shuffle, and for the join with the keys that are met more than once.
+    # Keys are made twice: for the counts, which combine before the shuffle, and for the join with the
+    # keys that are met more than once. Ids then give way to their classes' representatives.
     heads = classes.select(F.col("rep").alias("own"), "n").filter(F.col("own").isNotNull())
-    keyed = bucket_keys(rows.join(heads, F.col("id") == F.col("own"), "left_semi"), shingle, percent)
-    buckets = keyed.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
+    keyed = bucket_keys(rows, shingle, percent)
+    buckets = keyed.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1).select("k")
     with small_batches(spark):
-        met = materialize(keyed.join(buckets, F.col("key") == F.col("k")).select("key", "rep", "members"), "buckets")
+        met = materialize(keyed.join(buckets, F.col("key") == F.col("k"), "left_semi").select("key", "id"), "buckets")
+    named = sets.join(classes, ["n", "s1", "s2"]).select(F.col("id").alias("own_id"), "rep").distinct()
+    met = met.join(named, F.col("id") == F.col("own_id")).select("key", "rep").distinct()
+    met = materialize(met, "buckets")
+    sizes = met.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
+    met = met.join(sizes, F.col("key") == F.col("k")).select("key", "rep", "members")
     leads = met.groupBy(F.col("key").alias("k")).agg(F.min("rep").alias("lead"))
     met = materialize(met.join(leads, F.col("key") == F.col("k")).join(heads, F.col("rep") == F.col("own")).select("key", "rep", "n", "lead", "members"), "buckets")
     heavy = F.col("members") > large
