@@ -6,12 +6,17 @@ walks at a small Hamming distance, as walks that fall out of step meet again. Bi
 words of a few steps into a key; ``repeats`` walks with other bits reach the recall that is asked for.
 Walks start at every word of every document and at every word of each item: a key in common names an
 item-sized window, which is verified by its exact edit distance.
+
+Short items leave walks too little room. They are cut into one piece more than the edits they allow:
+an edit changes one piece at most, so a passage within the edits holds a piece unchanged (pigeonhole),
+and the pieces' words are the keys. Nothing within the edits of a short item is missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +26,10 @@ from boxoffice.functions.scale import materialize
 from boxoffice.llm.batches import small_batches
 from boxoffice.llm.textkit import Memo, fingerprints, mix, slices, text_bytes, words
 
-#: Steps whose words are hashed, by the least number of an item's words.
-SAMPLED = ((8, (0, 4, 8, 12)), (4, (0, 2)), (1, (0,)))
+#: Items of fewer words are sought by their pieces, others by walks.
+SHORT = 25
+#: Steps whose words are hashed. A walk of that many steps always ends within an item that is not short.
+SAMPLED = (0, 4, 8, 12)
 #: Items are taken in blocks of about this many bytes of text; a block is broadcast.
 BLOCK_BYTES = 8 << 20
 CHECKED = 256
@@ -47,15 +54,34 @@ def walk_keys(h: np.ndarray, repeat: int, steps: tuple[int, ...]) -> tuple[np.nd
     return key, at
 
 
+def run_keys(h: np.ndarray, width: int) -> np.ndarray:
+    """The key of the ``width`` words from each word. ``h`` must have width - 1 spare words at its end."""
+    n = len(h) - width + 1
+    key = np.full(n, np.uint64((1 << 32) + width))
+    for k in range(width):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
+    return key
+
+
+def pieces(size: np.ndarray, edits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item, first word and length of the pieces of items of ``size`` words, one more than their edits
+    (at most one a word); the pieces of an item do not overlap and have one length."""
+    number = np.minimum(edits + 1, size)
+    owner = np.repeat(np.arange(len(size)), number)
+    k = np.arange(len(owner)) - (np.cumsum(number) - number)[owner]
+    return owner, k * size[owner] // number[owner], size[owner] // number[owner]
+
+
 @dataclass
 class Items:
-    """The items of one block: their words, and where their walks begin by key."""
+    """The items of one block: their words, and where their walks and pieces begin by key."""
 
     ids: np.ndarray
     h: np.ndarray
     at: np.ndarray
     edits: np.ndarray
-    classes: list[tuple[tuple[int, ...], int]] = field(default_factory=list)
+    repeats: list[int] = field(default_factory=list)
+    widths: list[int] = field(default_factory=list)
     memo: Memo = field(default_factory=Memo)
     cut: np.ndarray | None = None
     anchor_item: np.ndarray | None = None
@@ -69,23 +95,26 @@ def index_items(ids: list[int | None], texts: pa.Array, share: float, repeats: i
     items = Items(np.array([-1 if i is None else i for i in ids], np.int64), h, at, np.floor(size * share + 1e-9).astype(np.int64))
     keys, owners, places = [], [], []
     owner = np.repeat(np.arange(len(size)), size)
-    most = 1 << 60
-    for least, steps in SAMPLED:
-        mine = (size >= least) & (size < most)
-        most = least
-        if not mine.any():
-            continue
-        padded = np.append(h, np.zeros(steps[-1], np.uint64))
-        for repeat in range(repeats if len(steps) > 1 else 1):
-            items.classes.append((steps, repeat))
-            key, reached = walk_keys(padded, repeat, steps)
-            # A walk must end within its item; one-step keys begin at the first word alone.
-            ok = np.flatnonzero(mine[owner] & (reached < at[owner + 1]))
-            if len(steps) == 1:
-                ok = ok[ok == at[owner[ok]]]
+    long = size >= SHORT
+    if long.any():
+        padded = np.append(h, np.zeros(SAMPLED[-1], np.uint64))
+        items.repeats = list(range(repeats))
+        for repeat in items.repeats:
+            key, reached = walk_keys(padded, repeat, SAMPLED)
+            # A walk must end within its item.
+            ok = np.flatnonzero(long[owner] & (reached < at[owner + 1]))
             keys.append(key[ok])
             owners.append(owner[ok])
             places.append(ok - at[owner[ok]])
+    short = np.flatnonzero(~long & (size > 0))
+    own, first, width = pieces(size[short], items.edits[short])
+    items.widths = np.unique(width).tolist()
+    for w in items.widths:
+        mine = np.flatnonzero(width == w)
+        key = run_keys(np.append(h, np.zeros(w - 1, np.uint64)), w)
+        owners.append(short[own[mine]])
+        places.append(first[mine])
+        keys.append(key[at[owners[-1]] + first[mine]])
     if keys:
         key, own, place = map(np.concatenate, (keys, owners, places))
         order = np.lexsort((place, own, key))
@@ -133,9 +162,9 @@ def find_in(items: Items, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ..
     (word of the document) and length; the best of each pair."""
     total = len(h)
     found = []
-    padded = np.append(h, np.zeros(max((s[-1] for s, _ in items.classes), default=0), np.uint64))
-    for steps, repeat in items.classes:
-        key, _ = walk_keys(padded[: total + steps[-1]], repeat, steps)
+    padded = np.append(h, np.zeros(max([SAMPLED[-1], *items.widths]), np.uint64))
+    walks = (walk_keys(padded[: total + SAMPLED[-1]], repeat, SAMPLED)[0] for repeat in items.repeats)
+    for key in chain(walks, (run_keys(padded[: total + w - 1], w) for w in items.widths)):
         key[key == 0] = 1
         hit = items.memo.find(key)
         start = np.flatnonzero(hit >= 0)
@@ -185,9 +214,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, repe
     start_word and n_words of the passage with the fewest edits, the first of equals.
 
     A-Z are folded; words are runs without white space. Null or empty texts and items hold and match
-    nothing. Repeated items or rows each give their pairs; null ids stay. Unchanged passages are always
-    found; of changed ones a share that grows with ``repeats``. Items are broadcast in blocks of about
-    ``block_bytes``, and each block reads the documents once. A task holds about 300 bytes per word of
+    nothing. Repeated items or rows each give their pairs; null ids stay. ``share`` is below 1. Unchanged
+    passages are always found, and so is every passage of items of fewer than ``SHORT`` words; of
+    changed passages of longer items a share that grows with ``repeats``. Items are broadcast in blocks
+    of about ``block_bytes``, and each block reads the documents once. A task holds about 300 bytes per word of
     a slice of half a MB, or of one longer text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())

@@ -196,6 +196,34 @@ def test_recall_of_changed_items():
     assert len(set(zip(doc.tolist(), item.tolist(), strict=True)) & {(k, k) for k in range(80)}) >= 76
 
 
+@pytest.mark.parametrize("n", range(4, 29))
+def test_recall_by_item_length(n):
+    rng = random.Random(n)
+    name = lambda: f"w{rng.randrange(10**6)}"
+    items = [[name() for _ in range(n)] for _ in range(300)]
+    docs = list(items)
+    for item in items:
+        own = list(item)
+        for _ in range(int(0.2 * n)):
+            at, kind = rng.randrange(len(own)), rng.random()
+            own[at : at + 1] = [] if kind < 0.3 else [name()] if kind < 0.6 else [own[at], name()]
+        docs.append([name() for _ in range(10)] + own + [name() for _ in range(10)])
+    index = decontamination.index_items(list(range(300)), pa.array([" ".join(x) for x in items]), 0.2, 3)
+    low, starts, ends, at = word_spans(*text_bytes(pa.array([" ".join(x) for x in docs])))
+    doc, item, *_ = decontamination.find_in(index, fingerprints(low, starts, ends), at)
+    found = set(zip(doc.tolist(), item.tolist(), strict=True))
+    assert {(k, k) for k in range(300)} <= found
+    assert sum((300 + k, k) in found for k in range(300)) >= (300 if n < decontamination.SHORT else 294)
+
+
+def test_unchanged_items_of_any_length_are_found():
+    items = [" ".join(["same"] * n) for n in range(1, 40)] + [f"w{k} " * n for n in range(1, 40) for k in range(20)]
+    index = decontamination.index_items(list(range(len(items))), pa.array(items), 0.0, 3)
+    low, starts, ends, at = word_spans(*text_bytes(pa.array(items)))
+    doc, item, *_ = decontamination.find_in(index, fingerprints(low, starts, ends), at)
+    assert {(k, k) for k in range(len(items))} <= set(zip(doc.tolist(), item.tolist(), strict=True))
+
+
 # 5 Language ID
 
 
