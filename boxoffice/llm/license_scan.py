@@ -169,21 +169,56 @@ def containment_join(blocks: DataFrame, templates: list[tuple[str, str, list[str
     return verified.select(*kept, "label", (F.size("shared") / F.size("own")).alias("containment"))
 
 
-def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[tuple[str, str, str], ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def wrapped_notices(rows: DataFrame, templates: tuple[tuple[str, str, str], ...], threshold: float) -> DataFrame:
+    """LINE templates in paragraphs of several lines: the columns of rows but text, label and containment.
+    A paragraph contains a template if some run of its words, at most 1 / ``threshold`` times as long as
+    the template, has enough of the template's distinct words; line breaks do not count."""
+    lines = [t for t in templates if t[1] == LINE]
+    some = rows.filter(F.col("text").rlike("[0-9A-Za-z]"))
+    kept = [c for c in rows.columns if c != "text"]
+    parts = some.select(*kept, F.explode(F.split("text", r"\n[\x20\x09-\x0D]*\n")).alias("part")).filter(F.contains("part", F.lit("\n")))
+    cut = parts.withColumn("words", F.filter(F.split(_lower_for_ascii(F.col("part")), GAP), lambda w: w != "")).drop("part")
+
+    def of(label: str, text: str, own: list[str]) -> DataFrame:
+        width = math.ceil(len(re.findall("[0-9a-z]+", text.lower())) / threshold - 1e-9)
+        need = max(1, math.ceil(threshold * len(own) - 1e-9))
+        known = F.array(*[F.lit(word) for word in own])
+        at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda p: p["w"].isin(own))
+
+        def most(p: Column, k: Column) -> Column:
+            near = F.filter(F.slice("at", k + 1, F.lit(width)), lambda q: q["i"] < p["i"] + width)
+            return F.size(F.array_distinct(F.transform(near, lambda q: q["w"])))
+
+        likely = cut.filter(F.size(F.array_intersect("words", known)) >= need).select(*kept, at.alias("at"))
+        best = likely.select(*kept, F.array_max(F.transform("at", most)).alias("best")).filter(F.col("best") >= need)
+        return best.select(*kept, F.lit(label).alias("label"), (F.col("best") / len(own)).alias("containment"))
+
+    found = [of(label, text, own) for (label, _, text), (_, _, own) in zip(lines, _template_sets(tuple(lines)), strict=True)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[tuple[str, str, str], ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
     """Per row: ``id_col``, n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     Null and empty texts have no words, places or labels (empty strings) and score 0. ``score`` is 1
     where a phrase occurs, else the largest containment of a template at or above ``threshold``, else
-    0. Repeated rows each get their result; a null id stays. Other columns are ignored.
+    0. Repeated rows each get their result; a null id stays. Other columns are ignored. LINE templates
+    are sought in single lines; with ``wrapped`` also where line breaks cut them (``wrapped_notices``),
+    which ``scan_sql`` does not have.
     """
     sets = _template_sets(templates)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     least = {unit: min(math.ceil(threshold * len(w) - 1e-9) for _, u, w in sets if u == unit) for unit in {u for _, u, _ in sets}}
     vocabulary = sorted({word for _, _, words in sets for word in words})
     blocks = materialize(text_blocks(rows, vocabulary, least), "blocks")
+    pairs = containment_join(blocks, sets, threshold).select("id", "key", "label", "containment")
+    if wrapped and LINE in least:
+        pairs = pairs.unionByName(wrapped_notices(rows, templates, threshold))
     found = (
-        containment_join(blocks, sets, threshold)
-        .groupBy(F.col("id").alias("own_id"), F.col("key").alias("own_key"))
+        pairs.groupBy(F.col("id").alias("own_id"), F.col("key").alias("own_key"))
         .agg(F.collect_set("label").alias("found"), F.max("containment").alias("most"))
     )
     base = base_places(rows).drop("text")

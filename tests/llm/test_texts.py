@@ -359,6 +359,24 @@ def test_license_scan_against_sql(spark):
     assert got == want and any("mit" in r for r in got) and scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_wrapped_license_notices(spark):
+    rng = random.Random(13)
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of it was not given"
+    texts = {
+        "mpl": [mpl, prose(rng, 30) + "\n" + mpl + "\n" + prose(rng, 30), "\n".join(mpl.split()), mpl.replace("\n", " \r\n")],
+        "cc-by-sa": ["Licensed under the Creative Commons\nAttribution ShareAlike 4.0\nInternational License."],
+        "cc-by-nc": ["x\n# Licensed under CC\n# BY-NC 4.0."],
+        "reserved": ["all Rights\nreserved"],
+        "": ["all Rights\n\nreserved", "all\n" + prose(rng, 50) + " rights\n" + prose(rng, 50) + " reserved", None, "", "\n"],
+    }
+    rows = [(k, t, "x", label) for k, (label, t) in enumerate((label, t) for label, ts in texts.items() for t in ts)]
+    docs = spark.createDataFrame([*rows, (None, mpl, "x", "mpl"), rows[0]], "doc_id long, text string, labels string, want string")
+    want = sorted((str(r.doc_id), r.want) for r in docs.collect())
+    got = scan_licenses(docs, wrapped=True).collect()
+    assert sorted((str(r.doc_id), r.labels) for r in got) == want
+    assert all((r.score >= 0.8) == (r.labels != "") for r in got)
+
+
 def test_shingle_sets():
     texts = odd_texts()
     h, at = shingle_sets(pa.array(texts), 3)
