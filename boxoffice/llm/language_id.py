@@ -24,6 +24,8 @@ SCALE = 30.0
 SLICE = 1 << 20
 ROWS = 1024
 UNKNOWN = "und"
+#: Draws of rows for the training sample are below this.
+DRAWS = 1 << 62
 
 _fold: list[np.ndarray] = []
 
@@ -159,11 +161,30 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def draw_bounds(drawn: DataFrame, sizes: dict[str, int], share: int) -> dict[str, int]:
+    """Per language the largest draw of its ``share`` least distinct draws, or of all if there are fewer.
+    Draws are looked for below a limit at which a language of distinct rows has four times as many;
+    where repeated rows leave too few, the limit is raised."""
+    rates, bounds = {lang: min(1.0, 4 * share / n) for lang, n in sizes.items()}, {}
+    while rates:
+        limit = F.create_map(*[F.lit(x) for lang, rate in rates.items() for x in (lang, int(rate * DRAWS))])
+        below = drawn.filter(F.col("draw") < limit[F.col("lang")]).select("lang", "draw").distinct().toArrow()
+        got: dict[str, list[int]] = {lang: [] for lang in rates}
+        for lang, draw in zip(below["lang"].to_pylist(), below["draw"].to_pylist(), strict=True):
+            got[lang].append(draw)
+        for lang, draws in got.items():
+            if len(draws) >= share or rates[lang] == 1:
+                bounds[lang] = sorted(draws)[:share][-1]
+        rates = {lang: min(1.0, 4 * rate) for lang, rate in rates.items() if lang not in bounds}
+    return bounds
+
+
 def train(labelled: DataFrame, max_rows: int = 3_000, held: int = 5) -> Model | None:
     """Fit a model on ``labelled`` (id, text, lang). Document frequencies come from all of its rows.
-    The weights are fitted in the driver on a sample of about ``max_rows`` rows (the bound), as many
-    of each language, chosen by a hash of id; every ``held``-th of them only sets the temperature.
-    None if no row has a language and a letter."""
+    The weights are fitted in the driver on a sample of at most ``max_rows`` rows (or one a language),
+    as many of each language, or all its distinct rows where it has fewer; they are chosen by a hash of
+    id and text, and equal rows count as one. Every ``held``-th of them only sets the temperature. None
+    if no row has a language and a letter."""
     usable = labelled.filter(F.col("lang").isNotNull() & has_letter(F.col("text")))
     sizes = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not sizes:
@@ -172,20 +193,30 @@ def train(labelled: DataFrame, max_rows: int = 3_000, held: int = 5) -> Model |
     frequency, rows = document_frequencies(usable)
     idf = np.log((1 + rows) / (1 + frequency)) + 1
     share = max(1, max_rows // len(languages))
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, share / sizes[lang]))])
-    sample = usable.withColumn("draw", draw).filter(F.col("draw") < rate[F.col("lang")])
+    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), "text", "lang", F.lit("sample")), F.lit(DRAWS))
+    drawn = usable.withColumn("draw", draw)
+    bounds = draw_bounds(drawn, sizes, share)
+    bound = F.create_map(*[F.lit(x) for lang in languages for x in (lang, bounds[lang])])
+    sample = drawn.filter(F.col("draw") <= bound[F.col("lang")])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in _small(batches, "text"):
+            # Of equal rows a task looks at one alone; there are no more draws than rows in the sample.
+            draws, first = np.unique(part.column(2).to_numpy(), return_index=True)
+            new = [at for draw, at in zip(draws.tolist(), first.tolist(), strict=True) if draw not in seen]
+            seen.update(draws.tolist())
+            if not new:
+                continue
+            part = part.take(pa.array(new))
             pairs = [owner * np.int64(BUCKETS) + bucket for owner, bucket in grams(part.column(1))]
             key, count = np.unique(np.concatenate(pairs), return_counts=True)
             cut = np.searchsorted(key, np.arange(part.num_rows + 1) * BUCKETS)
             lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v, pa.int32())) for v in (key % BUCKETS, count)]
             yield pa.record_batch([part.column(0), part.column(2), *lists], names=["lang", "draw", "bucket", "count"])
 
-    schema = "lang string, draw double, bucket array<int>, count array<int>"
-    got = sample.select("lang", "text", "draw").mapInArrow(features, schema).toArrow()
+    schema = "lang string, draw long, bucket array<int>, count array<int>"
+    got = sample.select("lang", "text", "draw").mapInArrow(features, schema).dropDuplicates(["lang", "draw"]).toArrow()
     places, counts = got["bucket"].to_pylist(), got["count"].to_pylist()
     order = sorted(range(len(places)), key=lambda i: (got["draw"][i].as_py(), places[i], counts[i]))
     samples, labels = [], []

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from boxoffice.llm import decontamination, jaccard_join, ngram_trie
+from boxoffice.llm import decontamination, jaccard_join, language_id, ngram_trie
 from boxoffice.llm import quality_rules as rules
 from boxoffice.llm.components import connected_components
 from boxoffice.llm.decontamination import contaminated
@@ -249,6 +249,23 @@ def test_language_id(spark):
     assert identify_languages(docs.limit(0)).count() == 0
 
 
+def test_training_sample_is_as_large_as_asked(spark, monkeypatch):
+    rng = random.Random(5)
+    sounds = {"xx": ["ka", "mo", "tu", "la"], "yy": ["sch", "ein", "ung", "ver"], "zz": ["дом", "ли", "ка"], "ww": ["oo", "pi"]}
+    text = lambda lang: tongue(rng, sounds[lang], 20)
+    rows = [(None, text("xx"), "xx") for _ in range(300)] + [(7, text("yy"), "yy") for _ in range(300)]
+    rows += [(k, text("zz"), "zz") for k in range(50)] + [(900, text("zz"), "zz")] * 2000 + [(None, t, "ww") for t in [text("ww") for _ in range(8)] * 50]
+    learnt, fit = [], language_id.fit_ftrl
+    monkeypatch.setattr(language_id, "fit_ftrl", lambda samples, labels, classes: learnt.append(Counter(labels.tolist())) or fit(samples, labels, classes))
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    model = language_id.train(docs.repartition(5), max_rows=120, held=1000)
+    assert model.languages == ["ww", "xx", "yy", "zz"] and learnt == [Counter({0: 8, 1: 30, 2: 30, 3: 30})]
+    again = language_id.train(docs.repartition(3), max_rows=120, held=1000)
+    assert np.array_equal(model.table, again.table)
+    found = model.logits(pa.array([text(lang) for lang in model.languages])).argmax(axis=1)
+    assert found.tolist() == [0, 1, 2, 3]
+
+
 # 6 Mixing
 
 
