@@ -31,6 +31,10 @@ from boxoffice.llm.textkit import mix, slices, text_bytes
 LARGE = 32
 #: Shingles in one side of a block comparison.
 BLOCK_SHINGLES = 60_000
+#: A member counts as at least so many shingles, so that a block of short sets has few members too.
+LEAST_WEIGHT = 24
+#: Members of a pair of blocks that are compared with all others at once.
+STRIP_ROWS = 1024
 GROWTH = 1.5
 #: Fingerprints of sets a task remembers.
 MET = 200_000
@@ -221,16 +225,20 @@ def _block_links(shingle: int, percent: int):
         h, at = shingle_sets(table["text"].combine_chunks(), shingle)
         sizes, owner = np.diff(at), np.repeat(np.arange(len(ids)), np.diff(at))
         tokens, column = np.unique(h, return_inverse=True)
-        shared = np.zeros((len(ids), len(ids)), np.float32)
+        linked = np.zeros((len(ids), len(ids)), bool)
         order = np.argsort(column, kind="stable")
         column, owner = column[order], owner[order]
-        for start in range(0, len(tokens), 2048):
-            low, high = np.searchsorted(column, [start, start + 2048])
-            matrix = np.zeros((len(ids), 2048), np.float32)
-            matrix[owner[low:high], column[low:high] - start] = 1
-            shared += matrix @ matrix.T
-        union = sizes[:, None] + sizes[None, :] - shared
-        left, right = forest((100 * shared >= percent * union) & (union > 0))
+        for top in range(0, len(ids), STRIP_ROWS):
+            strip = slice(top, top + STRIP_ROWS)
+            shared = np.zeros(linked[strip].shape, np.float32)
+            for start in range(0, len(tokens), 2048):
+                low, high = np.searchsorted(column, [start, start + 2048])
+                matrix = np.zeros((len(ids), 2048), np.float32)
+                matrix[owner[low:high], column[low:high] - start] = 1
+                shared += matrix[strip] @ matrix.T
+            union = sizes[strip, None] + sizes[None, :] - shared
+            linked[strip] = (100 * shared >= percent * union) & (union > 0)
+        left, right = forest(linked)
         return pa.table({"a": ids[left], "b": ids[right]})
 
     return link
@@ -241,7 +249,7 @@ def _family_links(rows: DataFrame, texts: DataFrame, shingle: int, percent: int)
     hold together; a family is cut into blocks, and each pair of its blocks is one group."""
     families = connected_components(rows.select(F.col("rep").alias("a"), F.col("lead").alias("b")))
     members = families.join(rows.select(F.col("rep").alias("node"), "n").distinct(), "node")
-    weights = members.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    weights = members.groupBy("component").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))) / BLOCK_SHINGLES).cast("int").alias("blocks"))
     placed = members.join(weights, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     spread = placed.select(F.col("component").alias("family"), F.col("node").alias("id"), "block", F.explode(others).alias("other"))

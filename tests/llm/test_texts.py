@@ -144,6 +144,28 @@ def test_probabilities_of_a_context_sum_to_one(spark):
         assert some.sum() + unseen * 0.1 / trie.unigram_floor == pytest.approx(1, abs=0.02) or count[u] == 8
 
 
+def test_blocks_of_short_sets_have_few_members(spark, monkeypatch):
+    texts = spark.createDataFrame([(k, "a b c") for k in range(300)], "id long, text string")
+    rows = spark.createDataFrame([(1, k, 5, 0) for k in range(300)], "key long, rep long, n int, lead long")
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 2400)
+    monkeypatch.setattr(jaccard_join, "_block_links", lambda shingle, percent: lambda table: pa.table({"a": [table.num_rows], "b": [0]}))
+    assert max(r.a for r in jaccard_join._family_links(rows, texts, 3, 80).collect()) < 270
+
+
+def test_strips_give_the_same_links(monkeypatch):
+    texts = near_copies(9, 12, 5, 30)
+    table = pa.table({"id": list(range(len(texts))), "text": texts})
+    want = components(dict(enumerate(texts)), 3, 70)
+    for rows in (7, 1024):
+        monkeypatch.setattr(jaccard_join, "STRIP_ROWS", rows)
+        got = jaccard_join._block_links(3, 70)(table)
+        label = list(range(len(texts)))
+        for a, b in zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True):
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+        assert label == [want[k] for k in range(len(texts))] and len(set(label)) < len(texts)
+
+
 # 4 Benchmark decontamination
 
 
