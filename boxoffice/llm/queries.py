@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from boxoffice.llm.decontamination import contaminated
+from boxoffice.llm.exact_dedup import exact_dedup
 from boxoffice.llm.jaccard_join import jaccard_components
 from boxoffice.llm.language_id import identify_languages
 from boxoffice.llm.license_scan import scan_licenses, scan_sql
 from boxoffice.llm.mixing import mix
 from boxoffice.llm.ngram_trie import language_model_scores
+from boxoffice.llm.periodic_runs import run_digests
 from boxoffice.llm.quality_rules import quality_rules
 from boxoffice.llm.token_counts import token_counts
 from boxoffice.llm.token_files import read_token_files, token_folder, write_token_files
@@ -32,6 +34,15 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
     CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to::BIGINT AS refers_to FROM r
 """
 
+#: Only A-Z are folded; the digest is of the UTF-8 bytes.
+OP12_SQL = """
+WITH d AS (
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+    row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d
+"""
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -82,6 +93,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_model": op2_language_model,
@@ -93,9 +112,12 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
     "op3_warc": OP3_SQL,
     "op10_license_scan": scan_sql(),
+    "op12_exact_dedup": OP12_SQL,
 }
