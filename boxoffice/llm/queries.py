@@ -17,6 +17,7 @@ from boxoffice.llm.quality_rules import quality_rules
 from boxoffice.llm.token_counts import token_counts
 from boxoffice.llm.token_files import read_token_files, token_folder, write_token_files
 from boxoffice.llm.warc import read_warc, warc_folder, write_warc
+from boxoffice.llm.whitening import whitened_components
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 WARC_SPLIT_BYTES = 4 << 20
@@ -93,6 +94,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -112,6 +117,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_token_counts": op9_token_counts,
     "op10_license_scan": op10_license_scan,
+    "op11_whitening": op11_whitening,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_periodic_runs": op13_periodic_runs,
 }
