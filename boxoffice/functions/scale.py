@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -39,21 +39,45 @@ def materialize(df: DataFrame, label: str, counts: Observation | None = None, *m
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop
+    for path in paths:
+        folder = hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables that ``materialize`` writes inside when the block ends. For jobs that come
-    back again and again; results must be written before the end."""
+    """Delete the tables that ``materialize`` writes inside when the block ends; results must be
+    written before. Blocks may stand in each other."""
     token = _written.set([])
     try:
         yield
     finally:
-        conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop
-        for path in _written.get() or []:
-            folder = hadoop.fs.Path(path)
-            folder.getFileSystem(conf).delete(folder, True)
+        _delete(spark, _written.get() or [])
         _written.reset(token)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``make`` returns, written; the tables that it wrote on its way are deleted."""
+    outer = _written.get()
+    with scratch(spark):
+        df = make()
+        inner = _written.set(outer)
+        try:
+            return materialize(df, label)
+        finally:
+            _written.reset(inner)
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing needs any more, before their block ends. Tables
+    written outside of a block stay."""
+    own = {path.rsplit("/", 1)[1]: path for path in _written.get() or []}
+    folders = {file.rsplit("/", 2)[-2] for df in tables for file in df.inputFiles()}
+    _delete(spark, [own[name] for name in folders if name in own])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal out an input that arrives in fewer splits than there are cores, before heavy work on
     each row. A large input is left as it is."""
