@@ -162,7 +162,7 @@ class DigestIndex:
         return new.groupBy("shard").applyInArrow(look, f"{fields}, path string")
 
     def resolve(self, prints: DataFrame, rows: int) -> DataFrame:
-        """The prints with keep_id, group_size and kept."""
+        """The prints with keep_id, group_size and kept; a digest that was never met has size 0."""
         spark = prints.sparkSession
         placed = prints.withColumn("shard", _shard("digest", self.shards))
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // SHARD_ROWS))
@@ -192,7 +192,7 @@ class DigestIndex:
                             found[n][left[slot >= 0]] = one.known[n][slot[slot >= 0]]
                         left = left[slot < 0]
                     keep = pa.array(found["id"], mask=found["has_id"] == 0)
-                    stays = pa.array(part.column(2).to_numpy() == found["row"])
+                    stays = pa.array((part.column(2).to_numpy() == found["row"]) & (found["size"] > 0))
                     yield pa.record_batch([part.column(0), part.column(1), keep, pa.array(found["size"]), stays], names=["id", "digest", "keep_id", "group_size", "kept"])
 
         return dealt.mapInArrow(look, "id long, digest binary, keep_id long, group_size long, kept boolean")

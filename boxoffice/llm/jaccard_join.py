@@ -6,10 +6,13 @@ block, and a block is kept as the XOR of its odd tokens' 64-bit codes, so the nu
 two sketches differ is at most the size of the symmetric difference. Sets that may be similar hence
 agree in a block, and in ``spare`` more than one; documents meet in the buckets of equal blocks.
 
-Not all pairs of a bucket are made. Equal sets are one class from the start. In each bucket the class
-with the least id is compared with the others; only buckets whose members are then still in different
-components are looked at again: small ones pair by pair, and the members of large ones in blocks of a
-task's size, of which only a spanning forest of links comes back.
+Not all pairs of a bucket are made. Equal sets are one class from the start. In each bucket one class is
+compared with the others, and then one of those that are not in its component; only buckets whose members are
+then still in different components are looked at again: small ones pair by pair, and the members of large
+ones in blocks of a task's size. Blocks meet in rounds, each with its own and then with those at growing
+distances; only members of different components are compared, a pair of blocks returns a spanning forest
+of the components it joins, and components are contracted after each round. So the links that are
+written grow with a family's members and not with their pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from boxoffice.functions.scale import materialize
+from boxoffice.functions.scale import discard, materialize, settled
 from boxoffice.llm.batches import small_batches
 from boxoffice.llm.components import connected_components
 from boxoffice.llm.shingles import overlaps, shingle_sets
@@ -30,11 +33,13 @@ from boxoffice.llm.textkit import mix, slices, text_bytes
 #: A bucket of more classes is large: its key is given up by classes with few of them.
 LARGE = 32
 #: Shingles in one side of a block comparison.
-BLOCK_SHINGLES = 60_000
+BLOCK_SHINGLES = 100_000
 #: A member counts as at least so many shingles, so that a block of short sets has few members too.
 LEAST_WEIGHT = 24
 #: Members of a pair of blocks that are compared with all others at once.
 STRIP_ROWS = 1024
+#: Classes of a bucket that are compared with all its others before pairs are made.
+STARS = 2
 GROWTH = 1.5
 #: Fingerprints of sets a task remembers.
 MET = 200_000
@@ -124,15 +129,15 @@ def _prints_of(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def set_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """id, n (set size), s1 and s2 (the set's fingerprint)."""
+    """id, real, n (set size), s1 and s2 (the set's fingerprint) of rows (id, text, real)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             h, at = shingle_sets(part.column(1), shingle)
             prints = _prints_of(h, at)
-            yield pa.record_batch([part.column(0), pa.array(np.diff(at)), *map(pa.array, prints)], names=["id", "n", "s1", "s2"])
+            yield pa.record_batch([part.column(0), part.column(2), pa.array(np.diff(at)), *map(pa.array, prints)], names=["id", "real", "n", "s1", "s2"])
 
-    return docs.select("id", "text").mapInArrow(make, "id long, n long, s1 long, s2 long")
+    return docs.select("id", "text", "real").mapInArrow(make, "id long, real long, n long, s1 long, s2 long")
 
 
 def bucket_keys(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -146,8 +151,7 @@ def bucket_keys(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             new = np.zeros(part.num_rows, bool)
             ids = part.column(0)
             for k, own in enumerate(zip(*(p.tolist() for p in _prints_of(h, at)), strict=True)):
-                # A row without an id stands for nothing.
-                if own not in met and ids[k].is_valid:
+                if own not in met:
                     met.add(own)
                     new[k] = True
             if len(met) > MET:
@@ -200,61 +204,115 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long")
 
 
-def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The edges of a spanning forest of a symmetric boolean matrix, found breadth first."""
-    n = len(linked)
-    seen, left, right = np.zeros(n, bool), [], []
-    for root in range(n):
-        front = [] if seen[root] else [root]
-        seen[root] = True
-        while front:
-            node = front.pop()
-            new = np.flatnonzero(linked[node] & ~seen)
-            seen[new] = True
-            left += [node] * len(new)
-            right += new.tolist()
-            front += new.tolist()
-    return np.array(left, np.int64), np.array(right, np.int64)
+class _Labels:
+    """Components of a pair of blocks: labels that are joined, and the links that joined them."""
+
+    def __init__(self, labels: np.ndarray):
+        self.names, self.of = np.unique(labels, return_inverse=True)
+        self.parent, self.links = list(range(len(self.names))), []
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Members at ``left`` are linked with those at ``right``."""
+        pairs = np.unique(self.of[left] * len(self.names) + self.of[right])
+        for a, b in zip(*(x.tolist() for x in np.divmod(pairs, len(self.names))), strict=True):
+            a, b = self.root(a), self.root(b)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                self.links.append((a, b))
+        self.of = np.array([self.root(x) for x in range(len(self.names))], np.int64)[self.of]
 
 
 def _block_links(shingle: int, percent: int):
-    """Compare all texts of a pair of blocks; return a spanning forest of their links."""
+    """Compare the texts of a pair of blocks (or of one with itself) that are in different components;
+    return links between components, as many as it takes to join them."""
 
     def link(table: pa.Table) -> pa.Table:
-        ids = table["id"].combine_chunks().to_numpy()
+        table = table.sort_by("own")
+        block = table["own"].to_numpy()
+        cut = int(np.searchsorted(block, block[-1])) if table.num_rows else 0
+        labels = _Labels(table["label"].to_numpy())
         h, at = shingle_sets(table["text"].combine_chunks(), shingle)
-        sizes, owner = np.diff(at), np.repeat(np.arange(len(ids)), np.diff(at))
+        sizes, owner = np.diff(at), np.repeat(np.arange(table.num_rows), np.diff(at))
         tokens, column = np.unique(h, return_inverse=True)
-        linked = np.zeros((len(ids), len(ids)), bool)
         order = np.argsort(column, kind="stable")
         column, owner = column[order], owner[order]
-        for top in range(0, len(ids), STRIP_ROWS):
-            strip = slice(top, top + STRIP_ROWS)
-            shared = np.zeros(linked[strip].shape, np.float32)
+        # Rows of the first block against those of the second, or of one block against its later rows.
+        for top in range(0, cut or table.num_rows, STRIP_ROWS):
+            to = min(top + STRIP_ROWS, cut or table.num_rows)
+            low = cut or top
+            if len(np.unique(labels.of)) == 1:
+                break
+            shared = np.zeros((to - top, table.num_rows - low), np.float32)
             for start in range(0, len(tokens), 2048):
-                low, high = np.searchsorted(column, [start, start + 2048])
-                matrix = np.zeros((len(ids), 2048), np.float32)
-                matrix[owner[low:high], column[low:high] - start] = 1
-                shared += matrix[strip] @ matrix.T
-            union = sizes[strip, None] + sizes[None, :] - shared
-            linked[strip] = (100 * shared >= percent * union) & (union > 0)
-        left, right = forest(linked)
-        return pa.table({"a": ids[left], "b": ids[right]})
+                a, b = np.searchsorted(column, [start, start + 2048])
+                matrix = np.zeros((table.num_rows, 2048), np.float32)
+                matrix[owner[a:b], column[a:b] - start] = 1
+                shared += matrix[top:to] @ matrix[low:].T
+            union = sizes[top:to, None] + sizes[None, low:] - shared
+            hit = (100 * shared >= percent * union) & (union > 0) & (labels.of[top:to, None] != labels.of[None, low:])
+            left, right = np.nonzero(hit)
+            labels.join(left + top, right + low)
+        links = labels.names[np.array(labels.links, np.int64).reshape(-1, 2)]
+        return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
     return link
 
 
 def _family_links(rows: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links among the members of large buckets (key, rep, n, lead). Families are what large buckets
-    hold together; a family is cut into blocks, and each pair of its blocks is one group."""
+    """Links between the components (label) of the members of large buckets (key, rep, n, lead, label).
+    Families are what large buckets hold together; a family is cut into blocks, which meet in rounds."""
+    spark = rows.sparkSession
     families = connected_components(rows.select(F.col("rep").alias("a"), F.col("lead").alias("b")))
-    members = families.join(rows.select(F.col("rep").alias("node"), "n").distinct(), "node")
+    members = families.join(rows.select(F.col("rep").alias("node"), "n", "label").distinct(), "node")
     weights = members.groupBy("component").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))) / BLOCK_SHINGLES).cast("int").alias("blocks"))
     placed = members.join(weights, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    spread = placed.select(F.col("component").alias("family"), F.col("node").alias("id"), "block", F.explode(others).alias("other"))
-    spread = spread.select("family", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return spread.join(texts.select("id", "text"), "id").groupBy("family", "i", "j").applyInArrow(_block_links(shingle, percent), "a long, b long")
+    placed = materialize(placed.select(F.col("component").alias("family"), F.col("node").alias("id"), "block", "blocks", "label"), "families")
+    most = placed.agg(F.max("blocks")).first()[0] or 0
+    links, low, high = None, 0, 0
+    while low < max(most, 1):
+        apart = placed.groupBy("family").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter(F.col("x") < F.col("y")).select("family")
+        live = placed.join(apart, "family", "left_semi")
+        # Every block meets those ``low`` to ``high`` after it; a member goes to pairs on both sides.
+        steps = F.explode(F.sequence(F.lit(low), F.lit(high)))
+        after = live.withColumn("step", steps).withColumn("i", F.col("block")).withColumn("j", F.col("block") + F.col("step"))
+        sides = [after] if not low else [after, live.withColumn("step", steps).withColumn("i", F.col("block") - F.col("step")).withColumn("j", F.col("block"))]
+        spread = sides[0] if not low else sides[0].unionByName(sides[1])
+        spread = spread.filter((F.col("i") >= 0) & (F.col("j") < F.col("blocks"))).select("family", "id", "label", F.col("block").alias("own"), "i", "j")
+        spread = materialize(spread, "spread")
+        open_ = spread.groupBy("family", "i", "j").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter(F.col("x") < F.col("y")).select("family", "i", "j")
+        grouped = spread.join(open_, ["family", "i", "j"], "left_semi").join(texts.select("id", "text"), "id")
+        found = grouped.groupBy("family", "i", "j").applyInArrow(_block_links(shingle, percent), "a long, b long")
+        with small_batches(spark):
+            found = materialize(found, "links")
+        links = found if links is None else links.unionByName(found)
+        low, high = (1, 1) if not low else (2 * low, 4 * low - 1)
+        if low < most and not found.isEmpty():
+            joined = connected_components(links)
+            start = placed.select("family", "id", "block", "blocks", F.col("label").alias("was"))
+            placed = materialize(start.join(joined, F.col("was") == F.col("node"), "left").select("family", "id", "block", "blocks", F.coalesce("component", "was").alias("label")), "families")
+    return links
+
+
+def _apart(buckets: DataFrame) -> DataFrame:
+    """The buckets (key, label, ...) with members of more than one component."""
+    apart = buckets.groupBy(F.col("key").alias("k")).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") < F.col("high")).select("k")
+    return buckets.join(apart, F.col("key") == F.col("k"), "left_semi")
+
+
+def _star_pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one member of each bucket (key, rep, n, label), of the component with the largest
+    label, and those of other components. The Hamming distance of sketches bounds the difference of sets:
+    pairs that meet in too few buckets are not similar. Here this is only a choice of pairs to try first."""
+    head = F.max(F.struct("label", (-F.col("rep")).alias("rep"), "n")).alias("h")
+    heads = materialize(buckets.groupBy(F.col("key").alias("k")).agg(head).select("k", F.col("h.label").alias("l_a"), (-F.col("h.rep")).alias("a"), F.col("h.n").alias("n_a")), "heads")
+    pairs = buckets.join(heads, F.col("key") == F.col("k")).filter((F.col("label") != F.col("l_a")) & _similar_sizes(F.col("n"), F.col("n_a"), percent))
+    met = pairs.groupBy("a", F.col("rep").alias("b"), "n_a", "n").agg(F.count(F.lit(1)).alias("met"))
+    return met.filter(F.col("met") >= _blocks_in_common(F.col("n_a"), F.col("n"), percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
@@ -262,63 +320,74 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_
 
     A-Z are folded; words are runs without white space; the sets hold distinct ``shingle``-word
     sequences, of shorter texts the whole sequence. Two rows link if 100 * shared >= ``percent`` * union.
-    Null and empty texts have no shingles and link with nothing: their component is their own id. A
-    null id has its class's component, null if the class has no id at all. Rows that repeat an id stand for
-    the same node. Sets are compared by 64-bit fingerprints of shingles.
+    Null and empty texts have no shingles and link with nothing: their component is their own id. Rows
+    without an id link like others; they have their component's least id, null if no row of it has one.
+    Rows that repeat an id stand for the same node. Sets are compared by 64-bit fingerprints of
+    shingles, rows without an id are told apart by one of their text.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return settled(spark, lambda: _components(docs, shingle, percent, id_col, text_col, large), "groups")
+
+
+def _components(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, large: int) -> DataFrame:
+    spark = docs.sparkSession
+    own, text = F.col(id_col).cast("long"), F.col(text_col)
+    rows = docs.select(F.coalesce(own, F.xxhash64(text)).alias("id"), text.alias("text"), own.alias("real"))
     with small_batches(spark):
         sets = materialize(set_prints(rows, shingle), "sets")
-    classes = materialize(sets.filter(F.col("n") > 0).groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
+    found = sets.filter(F.col("n") > 0).groupBy("n", "s1", "s2").agg(F.min("real").alias("real"), F.min("id").alias("any"))
+    classes = materialize(found.select("n", "s1", "s2", "real", F.coalesce("real", "any").alias("rep")), "classes")
     # Keys are made twice: for the counts, which combine before the shuffle, and for the join with the
     # keys that are met more than once. Ids then give way to their classes' representatives.
-    heads = classes.select(F.col("rep").alias("own"), "n").filter(F.col("own").isNotNull())
+    heads = classes.select(F.col("rep").alias("own"), "n")
     keyed = bucket_keys(rows, shingle, percent)
     buckets = keyed.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1).select("k")
     with small_batches(spark):
-        met = materialize(keyed.join(buckets, F.col("key") == F.col("k"), "left_semi").select("key", "id"), "buckets")
-    named = sets.join(classes, ["n", "s1", "s2"]).select(F.col("id").alias("own_id"), "rep").distinct()
-    met = met.join(named, F.col("id") == F.col("own_id")).select("key", "rep").distinct()
-    met = materialize(met, "buckets")
-    sizes = met.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
-    met = met.join(sizes, F.col("key") == F.col("k")).select("key", "rep", "members")
-    leads = met.groupBy(F.col("key").alias("k")).agg(F.min("rep").alias("lead"))
-    met = materialize(met.join(leads, F.col("key") == F.col("k")).join(heads, F.col("rep") == F.col("own")).select("key", "rep", "n", "lead", "members"), "buckets")
+        raw = materialize(keyed.join(buckets, F.col("key") == F.col("k"), "left_semi").select("key", "id"), "buckets")
+    named = sets.join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select(F.col("id").alias("own_id"), "rep").distinct()
+    met = materialize(raw.join(named, F.col("id") == F.col("own_id")).select("key", "rep").distinct(), "buckets")
+    discard(spark, raw)
+    sizes = met.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("lead")).filter(F.col("members") > 1)
+    wide = materialize(met.join(sizes, F.col("key") == F.col("k")).select("key", "rep", "members", "lead"), "buckets")
+    discard(spark, met)
+    # A class with few large buckets has enough small ones.
     heavy = F.col("members") > large
-    spare = _by_band(F.col("n"), bands(percent).heavy, percent)
-    loads = met.filter(heavy).groupBy(F.col("rep").alias("own")).agg(F.count(F.lit(1)).alias("load"))
-    kept = met.join(loads, F.col("rep") == F.col("own"), "left").filter(~heavy | (F.col("load") > spare))
-    met = materialize(kept.select("key", "rep", "n", "lead", "members"), "buckets")
-    involved = met.select(F.col("rep").alias("id")).distinct()
-    texts = materialize(rows.join(involved, "id", "left_semi"), "texts")
-    sizes = met.select(F.col("rep").alias("lead"), F.col("n").alias("lead_n")).distinct()
-    # The Hamming distance of sketches bounds the difference of sets: pairs that meet in too few
-    # buckets are not similar. With the least member this is only a choice of pairs to try first.
-    stars = met.filter(F.col("rep") != F.col("lead")).groupBy("lead", "rep", "n").agg(F.count(F.lit(1)).alias("met")).join(sizes, "lead")
-    likely = _similar_sizes(F.col("n"), F.col("lead_n"), percent) & (F.col("met") >= _blocks_in_common(F.col("n"), F.col("lead_n"), percent))
-    stars = materialize(stars.filter(likely).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    with small_batches(spark):
-        links = materialize(verify(stars, texts, shingle, percent), "links")
-    found = materialize(connected_components(links), "components")
-    # Buckets whose members are not yet in one component.
-    labelled = met.join(found, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).select("key", "rep", "n", "lead", "members", "label")
-    labelled = materialize(labelled, "labelled")
-    apart = labelled.groupBy(F.col("key").alias("k")).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") < F.col("high")).select("k")
-    open_ = materialize(labelled.join(apart, F.col("key") == F.col("k"), "left_semi"), "open")
-    small = open_.filter(F.col("members") <= large)
+    loads = materialize(wide.filter(heavy).groupBy(F.col("rep").alias("r")).agg(F.count(F.lit(1)).alias("load")), "loads")
+    sized = heads.join(loads, F.col("own") == F.col("r"), "left").select("own", "n", F.coalesce("load", F.lit(0)).alias("load"))
+    kept = wide.join(sized, F.col("rep") == F.col("own")).filter(~heavy | (F.col("load") > _by_band(F.col("n"), bands(percent).heavy, percent)))
+    open_ = materialize(kept.select("key", "rep", "n", "lead", heavy.alias("large"), F.col("rep").alias("label")), "buckets")
+    discard(spark, wide)
+    involved = open_.select(F.col("rep").alias("id")).distinct()
+    texts = materialize(rows.select("id", "text").join(involved, "id", "left_semi"), "texts")
+    tested = links = None
+    for _ in range(STARS):
+        stars = _star_pairs(open_, percent)
+        stars = materialize(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"), "stars")
+        with small_batches(spark):
+            more = materialize(verify(stars, texts, shingle, percent), "links")
+        tested, links = (stars, more) if tested is None else (tested.unionByName(stars), links.unionByName(more))
+        found = materialize(connected_components(links), "components")
+        # Buckets whose members are not yet in one component.
+        before = open_
+        labelled = before.drop("label").join(found, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep"))
+        labelled = materialize(labelled.select("key", "rep", "n", "lead", "large", "label"), "labelled")
+        open_ = materialize(_apart(labelled), "open")
+        discard(spark, before, labelled)
+    small = open_.filter(~F.col("large"))
     left = small.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
     right = small.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
     pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & _similar_sizes(F.col("n_a"), F.col("n_b"), percent))
     pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("met"))
     # A pair that also meets in a large bucket is left to the comparison of large buckets.
     pairs = pairs.filter(F.col("met") >= _blocks_in_common(F.col("n_a"), F.col("n_b"), percent))
-    pairs = materialize(pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    pairs = materialize(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     with small_batches(spark):
         more = materialize(verify(pairs, texts, shingle, percent), "links")
-        families = materialize(_family_links(open_.filter(F.col("members") > large), texts, shingle, percent), "links")
+    families = _family_links(open_.filter("large"), texts, shingle, percent)
     edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(families)
     final = connected_components(edges)
-    labels = classes.join(final, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("label"))
-    linked = sets.select("id", "n", "s1", "s2").join(labels, ["n", "s1", "s2"], "left")
-    return linked.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
+    labels = materialize(classes.join(final, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", "real", F.coalesce("component", "rep").alias("label")), "labels")
+    least = materialize(labels.groupBy(F.col("label").alias("l")).agg(F.min("real").alias("least")), "least")
+    named = labels.join(least, F.col("label") == F.col("l")).select("n", "s1", "s2", "least")
+    linked = sets.select(F.col("real").alias("id"), "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
+    return linked.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))

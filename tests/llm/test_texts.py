@@ -146,15 +146,50 @@ def test_probabilities_of_a_context_sum_to_one(spark):
 
 def test_blocks_of_short_sets_have_few_members(spark, monkeypatch):
     texts = spark.createDataFrame([(k, "a b c") for k in range(300)], "id long, text string")
-    rows = spark.createDataFrame([(1, k, 5, 0) for k in range(300)], "key long, rep long, n int, lead long")
+    rows = spark.createDataFrame([(1, k, 5, 0, k) for k in range(300)], "key long, rep long, n int, lead long, label long")
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 2400)
-    monkeypatch.setattr(jaccard_join, "_block_links", lambda shingle, percent: lambda table: pa.table({"a": [table.num_rows], "b": [0]}))
-    assert max(r.a for r in jaccard_join._family_links(rows, texts, 3, 80).collect()) < 270
+    monkeypatch.setattr(jaccard_join, "_block_links", lambda shingle, percent: lambda table: pa.table({"a": [10_000 + table.num_rows], "b": [0]}))
+    assert max(r.a for r in jaccard_join._family_links(rows, texts, 3, 80).collect()) < 10_270
+
+
+def test_rows_without_an_id_link_others(spark):
+    base = [f"w{k}" for k in range(60)]
+    other, third = [*base[:59], "x"], ["y", *base[1:59], "x"]
+    rows = [(1, " ".join(base)), (None, " ".join(other)), (3, " ".join(third)), (None, "quite alone here")]
+    got = jaccard_components(documents(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in got if r.n_shingles > 10) == [("1", 1), ("3", 1), ("None", 1)]
+    assert [r.component_id for r in got if r.n_shingles < 10] == [None]
+
+
+@pytest.mark.parametrize("chain", [False, True])
+def test_links_grow_with_a_family_and_not_its_pairs(spark, monkeypatch, chain):
+    """Four times the members write about four times the links: copies of one text, and chains in which
+    only neighbours are similar."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 1500)
+    written, rng = [], random.Random(5)
+    for size in (100, 400):
+        base = own = prose(rng, 60).split()
+        texts = []
+        for _ in range(size):
+            own = list(own if chain else base)
+            own[rng.randrange(60)] = prose(rng, 1)
+            texts.append(" ".join(own))
+        rows = list(enumerate(texts))
+        buckets = spark.createDataFrame([(1, k, 58, 0, k) for k in range(size)], "key long, rep long, n int, lead long, label long")
+        links = jaccard_join._family_links(buckets, spark.createDataFrame(rows, "id long, text string"), 3, 80).collect()
+        want = components(dict(rows), 3, 80)
+        label = list(range(size))
+        for a, b in links:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+        assert label == [want[k] for k in range(size)]
+        written.append(len(links))
+    assert written[1] <= (5.5 if chain else 4.5) * written[0]
 
 
 def test_strips_give_the_same_links(monkeypatch):
     texts = near_copies(9, 12, 5, 30)
-    table = pa.table({"id": list(range(len(texts))), "text": texts})
+    table = pa.table({"label": list(range(len(texts))), "own": [0] * len(texts), "text": texts})
     want = components(dict(enumerate(texts)), 3, 70)
     for rows in (7, 1024):
         monkeypatch.setattr(jaccard_join, "STRIP_ROWS", rows)

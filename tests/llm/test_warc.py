@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from boxoffice.llm import warc
+from boxoffice.llm.files import local_path
 from boxoffice.llm.warc import local_exits, read_warc, warc_folder, write_warc
 
 SCHEMA = "page_id long, url string, html string, payload_digest string"
@@ -50,7 +51,7 @@ def test_archive_is_standard(spark):
 
 def test_damage_is_noticed(spark):
     manifest = write_warc(spark.createDataFrame([(1, "u", "a" * 2000, "")], SCHEMA), warc_folder(spark), compress=False)
-    path = warc.local_path(manifest.first().path)
+    path = local_path(manifest.first().path)
     with open(path, "r+b") as file:
         at = file.read().index(b"aaaa")
         file.seek(at)
