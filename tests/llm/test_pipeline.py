@@ -48,6 +48,7 @@ def test_stages(spark, folder):
     texts = {r.doc_id: r.text for r in kept.collect() if r.doc_id is not None}
     group = components(texts, corpus_pipeline.SHINGLE, corpus_pipeline.PERCENT)
     assert single.columns == docs.columns and ids(single) == sorted([i for i in texts if group[i] == i] + [None], key=str)
+    assert [r.text for r in single.filter("doc_id is null").collect()] == ["ka mo tu la ka ka mo"]
 
     clean = materialize(steps["decontaminated"](spark, single, sf), "t")
     dirty = [r.doc_id for r in single.collect() if any(" ".join(words(b)) in " ".join(words(r.text)) for b in bench)]
@@ -78,6 +79,28 @@ def test_equal_rows_share_their_copies(spark):
     assert set(out) == set(rows) and abs(sum(4 if r[0] else 3 for r in out) - 1.5 * 32) <= 8
 
 
+NAMES = ["hit", "head", "lot", "rows", "copies", "own", "taken", "n", "times", "of", "group", "node", "_pipeline_row", "_pipeline_lang", "_pipeline_lot", "id", "size"]
+
+
+def test_further_columns_of_any_name(spark, folder):
+    sf, _ = folder
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    wide = materialize(docs.selectExpr("*", *[f"{k} as `{name}`" for k, name in enumerate(NAMES)]), "t")
+    for name, stage in corpus_pipeline.STAGES:
+        plain, out = stage(spark, docs, sf), stage(spark, wide, sf)
+        if name == "token_files":
+            assert out.count() == plain.count()
+        else:
+            assert out.columns == wide.columns and ids(out) == ids(plain)
+
+
+def test_rows_that_share_copies_and_differ_elsewhere(spark):
+    rows = [(1, "ka mo tu la", "a", "xx", k % 3) for k in range(12)] + [(2, "ri ri", "a", "xx", 1)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long"), "t")
+    out = [tuple(r) for r in corpus_pipeline.mixed(spark, docs, "").collect()]
+    assert set(out) <= set(rows) and abs(sum(4 if r[0] == 1 else 2 for r in out) - 1.5 * 50) <= 4
+
+
 def test_empty_tables(spark, folder):
     sf, _ = folder
     none = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
