@@ -16,6 +16,7 @@ from boxoffice.operators import (
     lookups,
     outbox,
     search,
+    search_batch as batch_search,
     settlement,
     webhook_fold,
 )
@@ -58,6 +59,35 @@ def search_events_dates(d: Derived) -> DataFrame:
     )
 
 
+@query
+def search_batch(d: Derived) -> DataFrame:
+    return batch_search.search_batch(d.searches, d.events, d.event_details, F.col("requested_at"))
+
+
+@query
+def search_batch_rejects(d: Derived) -> DataFrame:
+    return batch_search.rejected_searches(d.searches, F.col("requested_at"))
+
+
+@query
+def search_batch_bounds(d: Derived) -> DataFrame:
+    read = batch_search.read_searches(d.searches, F.col("requested_at"))
+    return read.filter("message is null").select("request_id", "pattern", "first", "last")
+
+
+@query
+def shows_in_date_ranges(d: Derived) -> DataFrame:
+    """All shows in a range of each user's own, from a day to the whole programme."""
+    ranges = d.customer.selectExpr(
+        "c_custkey as request_id",
+        "timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(cast(c_custkey * 7 % 2400 as int)) as first",
+        "timestamp_ntz'1995-01-01 19:59:00' + make_dt_interval(cast(c_custkey * 7 % 2400 as int) + "
+        "case when c_custkey % 500 = 3 then 3000 else cast(c_custkey % 6 as int) - 1 end) as last",
+    )
+    shows = d.event_details.select(F.col("id").alias("event_detail_id"), "show_date")
+    return batch_search.shows_between(ranges, shows).select("request_id", "event_detail_id")
+
+
 @query
 def user_events(d: Derived) -> DataFrame:
     keys = with_absent(d.users.select(F.col("id").alias("user_id")), "user_id")

@@ -208,6 +208,25 @@ class Derived:
             "concat('pm_', o_orderkey) as payment_method_id",
         )
 
+    @cached_property
+    def searches(self) -> DataFrame:
+        """A search of every user, each at their own time; some with wildcards, blanks or bad dates."""
+        return self.customer.selectExpr(
+            "c_custkey as request_id",
+            "timestamp_ntz'1995-01-03 08:30:00' + make_dt_interval(cast(c_custkey * 13 % 2300 as int)) "
+            "as requested_at",
+            "case c_custkey % 11 when 0 then null when 1 then '  ' "
+            "when 2 then concat('BRAND#', 1 + c_custkey % 25) when 3 then 'Small' "
+            "when 4 then concat('ring%brand#', c_custkey % 10) when 5 then '_e_ w%t' when 6 then 'z' "
+            "when 7 then 'o% b' when 8 then concat('\\\\_', c_custkey % 7) when 9 then '_____%' "
+            "else concat('#1\\\\', c_custkey % 10) end as query",
+            "case c_custkey % 7 when 0 then null when 1 then ' ' when 2 then '1995-02-30' "
+            "else date_format(date'1995-01-01' + cast(c_custkey * 7 % 2400 as int), 'yyyy-MM-dd') end as start",
+            "case c_custkey % 10 when 0 then '' when 1 then null when 2 then '1996-1-1' "
+            "else date_format(date'1995-01-01' + cast(c_custkey * 7 % 2400 + (c_custkey % 5) * "
+            "(c_custkey % 5) * 8 as int), 'yyyy-MM-dd') end as end",
+        )
+
     @cached_property
     def request_lines(self) -> DataFrame:
         return self.lineitem.selectExpr(

@@ -31,6 +31,41 @@ sql(
     "search_events_dates",
     SEARCH.format(p="brand#1%", a="1995-01-01 00:00:00", b="2001-07-28 23:59:00"),
 )
+# A backslash stays one before %, _ and itself, and means nothing before anything else.
+SEARCHES = r"""
+search_days AS (SELECT *, coalesce(trim("start"), '') = '' AS any_start, coalesce(trim("end"), '') = '' AS any_end,
+    CASE WHEN regexp_full_match("start", '\d{4}-\d{2}-\d{2}') THEN TRY_CAST("start" AS DATE) END AS day_a,
+    CASE WHEN regexp_full_match("end", '\d{4}-\d{2}-\d{2}') THEN TRY_CAST("end" AS DATE) END AS day_b
+  FROM bk_searches),
+search_read AS (SELECT request_id,
+    CASE WHEN coalesce(trim(query), '') = '' THEN '%%'
+      ELSE regexp_replace('%' || lower(query) || '%', '(\\[%_\\])|\\(.)', '\1\2', 'gs') END AS pattern,
+    CASE WHEN any_start THEN CAST(CAST(requested_at AS DATE) AS TIMESTAMP) ELSE CAST(day_a AS TIMESTAMP) END AS "first",
+    CASE WHEN any_end THEN CAST(last_day(requested_at) AS TIMESTAMP) + INTERVAL 86399 SECOND
+      ELSE CAST(day_b AS TIMESTAMP) + INTERVAL 1439 MINUTE END AS "last",
+    CASE WHEN NOT any_start AND day_a IS NULL THEN 'invalid start show date format'
+      WHEN NOT any_end AND day_b IS NULL THEN 'invalid end show date format' END AS message
+  FROM search_days)
+"""
+sql("search_batch_bounds", 'SELECT request_id, pattern, "first", "last" FROM search_read WHERE message IS NULL', SEARCHES)
+sql("search_batch_rejects", "SELECT request_id, message FROM search_read WHERE message IS NOT NULL", SEARCHES)
+sql(
+    "search_batch",
+    r"""SELECT r.request_id, t.event_id, n.title, n.description, n.organizer, t.id AS event_detail_id,
+      t.show_date, t.price, t.number_of_tickets, t.ticket_description
+    FROM search_read r JOIN bk_event_details t ON t.show_date >= r."first" AND t.show_date <= r."last"
+    JOIN bk_events n ON n.id = t.event_id
+    WHERE r.message IS NULL AND list_bool_or([coalesce(lower(x) LIKE r.pattern ESCAPE '\', false)
+      FOR x IN [n.title, n.description, n.organizer]])""",
+    SEARCHES,
+)
+sql(
+    "shows_in_date_ranges",
+    """SELECT c_custkey AS request_id, t.id AS event_detail_id FROM customer, bk_event_details t
+    WHERE date_diff('day', TIMESTAMP '1995-01-01', t.show_date) >= c_custkey * 7 % 2400
+      AND t.show_date <= TIMESTAMP '1995-01-01 19:59:00' + to_days(CAST(c_custkey * 7 % 2400
+        + CASE WHEN c_custkey % 500 = 3 THEN 3000 ELSE c_custkey % 6 - 1 END AS INTEGER))""",
+)
 EVENT = "e.title, e.description, e.organizer, e.created_at"
 DETAIL = (
     "d.show_date, d.price, d.number_of_tickets, d.tickets_remaining, d.ticket_description, "

@@ -15,6 +15,19 @@ bk_users AS (
       || '@example.com' AS email,
     TIMESTAMP '1994-01-01 00:00:00' AS created_at
   FROM customer),
+bk_searches AS (
+  SELECT c_custkey AS request_id,
+    TIMESTAMP '1995-01-03 08:30:00' + to_days(CAST(c_custkey * 13 % 2300 AS INTEGER)) AS requested_at,
+    CASE c_custkey % 11 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN 'BRAND#' || (1 + c_custkey % 25)
+      WHEN 3 THEN 'Small' WHEN 4 THEN 'ring%brand#' || (c_custkey % 10) WHEN 5 THEN '_e_ w%t'
+      WHEN 6 THEN 'z' WHEN 7 THEN 'o% b' WHEN 8 THEN '\_' || (c_custkey % 7) WHEN 9 THEN '_____%'
+      ELSE '#1\' || (c_custkey % 10) END AS query,
+    CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN '1995-02-30'
+      ELSE strftime(DATE '1995-01-01' + CAST(c_custkey * 7 % 2400 AS INTEGER), '%Y-%m-%d') END AS "start",
+    CASE c_custkey % 10 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '1996-1-1'
+      ELSE strftime(DATE '1995-01-01' + CAST(c_custkey * 7 % 2400 + (c_custkey % 5) * (c_custkey % 5) * 8
+        AS INTEGER), '%Y-%m-%d') END AS "end"
+  FROM customer),
 bk_events AS (
   SELECT p_partkey AS id, p_name AS title, p_type || ' ' || p_brand AS description,
     CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_brand END AS organizer,
