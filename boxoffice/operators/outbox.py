@@ -180,6 +180,32 @@ def refund_error_mails(
     )
 
 
+def webhook_mails(
+    applied: DataFrame,
+    payments: DataFrame,
+    users: DataFrame,
+    reservations: DataFrame,
+    details: DataFrame,
+    team: str = TEAM_SIGNATURE,
+) -> DataFrame:
+    """The notices that applied webhooks (``fold_webhooks(...).applied``) call for: confirmations and
+    failures to the payer, and a note to the team for every refund that failed. Keys come from ``seq``, so that
+    webhooks that are applied again write the same mails."""
+    told = applied.filter(F.col("type").isin(fx.TYPE_SUCCEEDED, fx.TYPE_FAILED)).select(
+        c.derived_id(F.lit("mail"), "seq").alias("mail_key"), "type", "payment_id", "error_message"
+    )
+    lines = ticket_lines(reservations, payments, details, told)
+    payers = payers_of(payments, users, told)
+    columns = ["mail_key", "payment_id", "recipient", "subject", "body"]
+    paid = confirmation_mails(told.filter(F.col("type") == fx.TYPE_SUCCEEDED), payers, lines, team)
+    failed = failure_mails(told.filter(F.col("type") == fx.TYPE_FAILED), payers, lines, team)
+    refunds = applied.filter(F.col("type") == fx.TYPE_REFUND_FAILED).select(
+        c.derived_id(F.lit("mail"), "seq").alias("mail_key"), "payment_id"
+    )
+    notes = refund_error_mails(refunds.select("mail_key")).join(refunds, "mail_key")
+    return paid.select(*columns).unionByName(failed.select(*columns)).unionByName(notes.select(*columns))
+
+
 def event_updated_mails(
     updated: DataFrame, attendees: DataFrame, team: str = TEAM_SIGNATURE
 ) -> DataFrame:

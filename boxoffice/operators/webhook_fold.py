@@ -88,17 +88,23 @@ def resolve_events(
     )
 
 
-def touchable(typed: DataFrame, payments: DataFrame) -> DataFrame:
-    """The ids of the payments that the events name, or that hold an intent id they carry. Only two
-    columns of the payments are read."""
-    kind = payments.schema["id"].dataType.simpleString()
+def touch_keys(typed: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """What the events can touch: the payment ids (``id``, of type ``kind``) that they name, and the intent
+    ids (``payment_intent_id``) that refund events carry."""
     live = typed.filter(F.col("reason").isNull())
     named = live.select(c.parse_id(F.col("payment_ref"), kind).alias("id")).filter("id is not null")
     carried = live.filter(~F.col("type").isin(*INTENT_TYPES) & F.col("intent_id").isNotNull()).select(
         F.col("intent_id").alias("payment_intent_id")
     )
+    return named, carried.distinct()
+
+
+def touchable(typed: DataFrame, payments: DataFrame) -> DataFrame:
+    """The ids of the payments that the events name, or that hold an intent id they carry. Only two
+    columns of the payments are read."""
+    named, carried = touch_keys(typed, payments.schema["id"].dataType.simpleString())
     holding = payments.select("id", "payment_intent_id").join(
-        carried.distinct(), "payment_intent_id", "left_semi"
+        carried, "payment_intent_id", "left_semi"
     )
     return named.unionByName(holding.select("id")).distinct()
 

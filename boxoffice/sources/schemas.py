@@ -57,7 +57,7 @@ RESERVATION_REQUEST = (
     "event_detail_reservations ARRAY<STRUCT<event_detail_id: {key}, quantity: INT, email: STRING>>"
 )
 WEBHOOK = (
-    "type STRING, data STRUCT<object: STRUCT<id: STRING, amount: BIGINT, "
+    "id STRING, type STRING, data STRUCT<object: STRUCT<id: STRING, amount: BIGINT, "
     "amount_refunded: BIGINT, payment_intent: STRING, payment_method: STRING, "
     "failure_reason: STRING, last_payment_error: STRUCT<message: STRING>, "
     "metadata: MAP<STRING, STRING>>>"

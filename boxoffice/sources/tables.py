@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from boxoffice.sources import schemas
@@ -9,16 +11,19 @@ from boxoffice.sources import schemas
 
 def is_complete(spark: SparkSession, root: str) -> bool:
     """Whether all tables of a version are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_complete/_SUCCESS")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return exists(spark, f"{root.rstrip('/')}/_complete/_SUCCESS")
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Scan one base table (or the gateway outcome table) with its declared schema. A version that
-    is not wholly written is refused."""
+    """Scan one base table (or the gateway outcome table) with its declared schema, and the batches
+    appended to it. A version that is not wholly written is refused."""
     if not is_complete(spark, root):
         raise FileNotFoundError(f"{root} has no finished version")
-    return spark.read.schema(schemas.TABLES[name]).parquet(f"{root.rstrip('/')}/{name}")
+    table = spark.read.schema(schemas.TABLES[name]).parquet(f"{root.rstrip('/')}/{name}")
+    if not exists(spark, _appended(root, name)):
+        return table
+    more = spark.read.schema(f"{schemas.TABLES[name]}, batch STRING").parquet(_appended(root, name))
+    return table.unionByName(more.drop("batch"))
 
 
 def read_jdbc_table(
@@ -55,6 +60,20 @@ def write_version(tables: dict[str, DataFrame], root: str) -> None:
     done.coalesce(1).write.mode("overwrite").json(f"{root.rstrip('/')}/_complete")
 
 
-def append(df: DataFrame, root: str, name: str) -> None:
-    """INSERT: append rows to a base table."""
-    df.write.mode("append").parquet(f"{root.rstrip('/')}/{name}")
+def append(df: DataFrame, root: str, name: str, batch: str) -> None:
+    """INSERT: add a batch of rows to a table of a finished version. A batch owns a folder: one that is
+    written again takes the place of what it wrote before, and never of another batch's rows."""
+    if not is_complete(df.sparkSession, root):
+        raise FileNotFoundError(f"{root} has no finished version")
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", batch):
+        raise ValueError("a batch is named by letters, digits, dots, - and _")
+    df.write.mode("overwrite").parquet(f"{_appended(root, name)}/batch={batch}")
+
+
+def _appended(root: str, name: str) -> str:
+    return f"{root.rstrip('/')}/_appended/{name}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)

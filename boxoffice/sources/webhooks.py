@@ -42,6 +42,20 @@ def number_messages(batch: DataFrame, batch_id: int) -> DataFrame:
     return numbered.select("seq", F.col("topic").alias("channel"), "value")
 
 
+def without_repeats(raw: DataFrame, within: str) -> DataFrame:
+    """A stream of raw webhooks without those that repeat the gateway's event id (``id``) of one that
+    arrived up to ``within`` ("7 days") before. Spark keeps the ids of that time as state, over batches and
+    restarts. Arrival is the batch's own time, so nothing is ever too late; a body that names no event,
+    cannot be parsed or is too long is kept, and goes where the batch sends it."""
+    fits = F.octet_length("value") <= fx.WEBHOOK_BODY_CAP_BYTES
+    named = F.nullif(F.from_json(F.when(fits, F.col("value")), "id STRING")["id"], F.lit(""))
+    place = [n for n in ("seq", "topic", "partition", "offset") if n in raw.columns]
+    alone = F.concat_ws("-", F.lit("message"), *place)
+    key = F.when(named.isNotNull(), F.concat(F.lit("event-"), named)).otherwise(alone)
+    timed = raw.withColumns({"_event": key, "_arrived": F.current_timestamp()}).withWatermark("_arrived", within)
+    return timed.dropDuplicatesWithinWatermark(["_event"]).drop("_event", "_arrived")
+
+
 def parse_webhooks(raw: DataFrame) -> DataFrame:
     """``raw(seq, value)`` to one typed row per webhook. ``reason`` is set on a row that cannot
     be applied whatever the tables hold; it goes to quarantine."""
@@ -49,7 +63,7 @@ def parse_webhooks(raw: DataFrame) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     body = F.from_json("value", schemas.WEBHOOK + ", _corrupt_record STRING", options)
     rows = raw.select("seq", fits.alias("fits"), F.when(fits, body).alias("b")).select(
-        "seq", "fits", "b._corrupt_record", "b.type", F.col("b.data.object").alias("o")
+        "seq", "fits", "b._corrupt_record", F.col("b.id").alias("event_id"), "b.type", F.col("b.data.object").alias("o")
     )
     is_intent = F.col("type").isin(*INTENT_TYPES)
     is_refund = F.col("type").isin(*REFUND_TYPES)
@@ -57,6 +71,7 @@ def parse_webhooks(raw: DataFrame) -> DataFrame:
         "seq",
         "fits",
         "_corrupt_record",
+        "event_id",
         "type",
         F.when(is_intent, F.col("o.id")).otherwise(F.col("o.payment_intent")).alias("intent_id"),
         F.coalesce(

@@ -30,8 +30,28 @@ def test_versions_round_trip(spark, table, tmp_path):
         read_table(spark, str(tmp_path / "v2"), "events")
     write_version({"events": events}, str(tmp_path / "v2"))  # what was left unfinished is done again
     assert read_table(spark, str(tmp_path / "v2"), "events").count() == 1
-    append(events, str(tmp_path / "v1"), "events")
-    assert read_table(spark, str(tmp_path / "v1"), "events").count() == 2
+
+
+def test_appends_can_be_run_again(spark, table, tmp_path):
+    def log(i, amount="1.00"):
+        return (i, "succeeded", None, "pi", None, Decimal(amount), T0, "a@x.com", "p1")
+
+    root = str(tmp_path / "v1")
+    first = table(schemas.PAYMENT_LOGS, log("l0"))
+    with pytest.raises(FileNotFoundError):
+        append(first, root, "payment_logs", "0")
+    write_version({"payment_logs": first}, root)
+    for _ in range(2):
+        append(table(schemas.PAYMENT_LOGS, log("l1"), log("l2")), root, "payment_logs", "2024-01-01")
+    append(table(schemas.PAYMENT_LOGS, log("l1")), root, "payment_logs", "7")
+    got = read_table(spark, root, "payment_logs")
+    assert sorted(r.id for r in got.collect()) == ["l0", "l1", "l1", "l2"]
+    assert got.schema.simpleString() == first.schema.simpleString()
+    # What a batch writes the second time takes the first one's place, even if it is less.
+    append(table(schemas.PAYMENT_LOGS), root, "payment_logs", "7")
+    assert sorted(r.id for r in read_table(spark, root, "payment_logs").collect()) == ["l0", "l1", "l2"]
+    with pytest.raises(ValueError, match="named"):
+        append(first, root, "payment_logs", "../x")
 
 
 def test_scan_reads_only_what_is_asked(spark, table, tmp_path, capsys):
