@@ -8,8 +8,10 @@ agree in a block, and in ``spare`` more than one; documents meet in the buckets
 
 Not all pairs of a bucket are made. Equal sets are one class from the start. In each bucket one class is
 compared with the others, and then one of those that are not in its component; only buckets whose members are
-then still in different components are looked at again: small ones pair by pair, and the members of large
-ones in blocks of a task's size. Blocks meet in rounds, each with its own and then with those at growing
+then still in different components are looked at again. Small ones are, pair by pair. Members of large ones
+share much that is common, as passages that many documents quote; they meet again by their rarest
+shingles, of which similar sets share one among so few that the rest would not do (prefix filter). What
+is large even then is compared in blocks of a task's size. Blocks meet in rounds, each with its own and then with those at growing
 distances; only members of different components are compared, a pair of blocks returns a spanning forest
 of the components it joins, and components are contracted after each round. So the links that are
 written grow with a family's members and not with their pairs.
@@ -22,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from boxoffice.functions.scale import discard, materialize, settled
 from boxoffice.llm.batches import small_batches
@@ -205,26 +207,22 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
 
 
 class _Labels:
-    """Components of a pair of blocks: labels that are joined, and the links that joined them."""
+    """Components of a pair of blocks: the label of each member, and the links that joined labels."""
 
     def __init__(self, labels: np.ndarray):
         self.names, self.of = np.unique(labels, return_inverse=True)
-        self.parent, self.links = list(range(len(self.names))), []
+        self.links: list[tuple[int, int]] = []
 
-    def root(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = x = self.parent[self.parent[x]]
-        return x
-
-    def join(self, left: np.ndarray, right: np.ndarray) -> None:
-        """Members at ``left`` are linked with those at ``right``."""
-        pairs = np.unique(self.of[left] * len(self.names) + self.of[right])
-        for a, b in zip(*(x.tolist() for x in np.divmod(pairs, len(self.names))), strict=True):
-            a, b = self.root(a), self.root(b)
-            if a != b:
-                self.parent[max(a, b)] = min(a, b)
-                self.links.append((a, b))
-        self.of = np.array([self.root(x) for x in range(len(self.names))], np.int64)[self.of]
+    def join(self, row: int, others: np.ndarray) -> None:
+        """A member is linked with others."""
+        own = self.of[row]
+        met = np.unique(self.of[others])
+        met = met[met != own]
+        if len(met):
+            self.links += [(own, x) for x in met.tolist()]
+            turn = np.arange(len(self.names))
+            turn[met] = own
+            self.of = turn[self.of]
 
 
 def _block_links(shingle: int, percent: int):
@@ -254,9 +252,9 @@ def _block_links(shingle: int, percent: int):
                 matrix[owner[a:b], column[a:b] - start] = 1
                 shared += matrix[top:to] @ matrix[low:].T
             union = sizes[top:to, None] + sizes[None, low:] - shared
-            hit = (100 * shared >= percent * union) & (union > 0) & (labels.of[top:to, None] != labels.of[None, low:])
-            left, right = np.nonzero(hit)
-            labels.join(left + top, right + low)
+            hit = (100 * shared >= percent * union) & (union > 0)
+            for row in range(top, to):
+                labels.join(row, low + np.flatnonzero(hit[row - top]))
         links = labels.names[np.array(labels.links, np.int64).reshape(-1, 2)]
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
@@ -304,15 +302,52 @@ def _apart(buckets: DataFrame) -> DataFrame:
     return buckets.join(apart, F.col("key") == F.col("k"), "left_semi")
 
 
-def _star_pairs(buckets: DataFrame, percent: int) -> DataFrame:
+def rare_keys(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """members(rep, n, label) and their texts (id, text) to rows (key, rep, n, label): the rarest shingles of
+    each set, where sets that are similar share one. Of n shingles all but n * percent / 100 may be missing
+    in the other set; so many and one more are taken, in an order by frequency that all sets have in
+    common. Shingles that one set alone has come first and meet nothing."""
+    spark = members.sparkSession
+    own = materialize(members.join(texts, F.col("rep") == F.col("id")).select("rep", "text"), "texts")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            h, at = shingle_sets(part.column(1), shingle)
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))
+            yield pa.record_batch([part.column(0), lists], names=["rep", "keys"])
+
+    held = own.mapInArrow(make, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
+    shared = held.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1)
+    shared = materialize(shared, "shingles")
+    with small_batches(spark):
+        common = materialize(held.join(shared, F.col("key") == F.col("k")).select("rep", "key", "times"), "shingles")
+    turn = Window.partitionBy("rep").orderBy("times", "key")
+    ranked = common.withColumn("turn", F.row_number().over(turn)).withColumn("common", F.count(F.lit(1)).over(Window.partitionBy("rep")))
+    sized = members.select(F.col("rep").alias("node"), "n", "label")
+    spare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("common"))
+    rare = ranked.join(sized, F.col("rep") == F.col("node")).filter(F.col("turn") <= spare)
+    return rare.select("key", "rep", "n", "label")
+
+
+def _star_pairs(buckets: DataFrame, percent: int, bound: bool = True) -> DataFrame:
     """Pairs (a, b) of one member of each bucket (key, rep, n, label), of the component with the largest
     label, and those of other components. The Hamming distance of sketches bounds the difference of sets:
-    pairs that meet in too few buckets are not similar. Here this is only a choice of pairs to try first."""
+    pairs that meet in too few buckets are not similar. Here this is only a choice of pairs to try first. Without ``bound`` the keys are not blocks."""
     head = F.max(F.struct("label", (-F.col("rep")).alias("rep"), "n")).alias("h")
     heads = materialize(buckets.groupBy(F.col("key").alias("k")).agg(head).select("k", F.col("h.label").alias("l_a"), (-F.col("h.rep")).alias("a"), F.col("h.n").alias("n_a")), "heads")
     pairs = buckets.join(heads, F.col("key") == F.col("k")).filter((F.col("label") != F.col("l_a")) & _similar_sizes(F.col("n"), F.col("n_a"), percent))
     met = pairs.groupBy("a", F.col("rep").alias("b"), "n_a", "n").agg(F.count(F.lit(1)).alias("met"))
-    return met.filter(F.col("met") >= _blocks_in_common(F.col("n_a"), F.col("n"), percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = met.filter(F.col("met") >= _blocks_in_common(F.col("n_a"), F.col("n"), percent)) if bound else met
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _small_pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of members of different components of buckets (key, rep, n, label) of bounded
+    size, and in how many they met."""
+    left = buckets.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
+    right = buckets.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
+    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & _similar_sizes(F.col("n_a"), F.col("n_b"), percent))
+    return pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("met"))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
@@ -373,18 +408,28 @@ def _components(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
         labelled = materialize(labelled.select("key", "rep", "n", "lead", "large", "label"), "labelled")
         open_ = materialize(_apart(labelled), "open")
         discard(spark, before, labelled)
-    small = open_.filter(~F.col("large"))
-    left = small.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
-    right = small.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
-    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & _similar_sizes(F.col("n_a"), F.col("n_b"), percent))
-    pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("met"))
+    pairs = _small_pairs(open_.filter(~F.col("large")), percent)
     # A pair that also meets in a large bucket is left to the comparison of large buckets.
     pairs = pairs.filter(F.col("met") >= _blocks_in_common(F.col("n_a"), F.col("n_b"), percent))
-    pairs = materialize(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    pairs = materialize(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
+    members = materialize(open_.filter("large").select("rep", "n", "label").distinct(), "members")
+    rare = materialize(rare_keys(members, texts, shingle, percent), "rare")
+    rare = materialize(_apart(rare), "rare")
+    stars = materialize(_star_pairs(rare, percent, bound=False).join(tested, ["a", "b"], "left_anti").join(pairs, ["a", "b"], "left_anti"), "stars")
+    tried = pairs.unionByName(stars)
+    with small_batches(spark):
+        more = materialize(verify(tried, texts, shingle, percent), "links")
+    joined = materialize(connected_components(links.unionByName(more)), "components")
+    rare = rare.drop("label").join(joined, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep"))
+    rare = materialize(_apart(materialize(rare.select("key", "rep", "n", "label"), "rare")), "rare")
+    sizes = rare.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("lead"))
+    sized = materialize(rare.join(sizes, F.col("key") == F.col("k")).select("key", "rep", "n", "lead", "label", (F.col("members") > large).alias("large")), "rare")
+    last = _small_pairs(sized.filter(~F.col("large")), percent).select("a", "b")
+    last = materialize(last.join(tested.unionByName(tried), ["a", "b"], "left_anti"), "pairs")
     with small_batches(spark):
-        more = materialize(verify(pairs, texts, shingle, percent), "links")
-    families = _family_links(open_.filter("large"), texts, shingle, percent)
-    edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(families)
+        more = more.unionByName(materialize(verify(last, texts, shingle, percent), "links"))
+    families = _family_links(sized.filter("large"), texts, shingle, percent)
+    edges = links.unionByName(more).unionByName(families)
     final = connected_components(edges)
     labels = materialize(classes.join(final, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", "real", F.coalesce("component", "rep").alias("label")), "labels")
     least = materialize(labels.groupBy(F.col("label").alias("l")).agg(F.min("real").alias("least")), "least")
