@@ -92,6 +92,22 @@ def _lower_for_ascii(text: Column) -> Column:
     return F.when(text.rlike("[\u0130\u212A]"), _lower(text)).otherwise(F.lower(text))
 
 
+def may_hold(text: Column, sets: list[tuple[str, str, list[str]]], threshold: float) -> Column:
+    """The prefix filter on whole texts, before they are cut into words: what contains a template has one
+    of any so many of its words that the others alone are too few. The longest words are taken."""
+    some: set[str] = set()
+    for _, _, words in sets:
+        need = max(1, math.ceil(threshold * len(words) - 1e-9))
+        some |= set(sorted(words, key=lambda w: (-len(w), w))[: len(words) - need + 1])
+    # A word that holds another one of them says nothing more.
+    some = {w for w in some if not any(other != w and other in w for other in some)}
+    low = _lower_for_ascii(text)
+    found = F.lit(False)
+    for word in sorted(some):
+        found = found | F.contains(low, F.lit(word))
+    return found
+
+
 def base_places(rows: DataFrame) -> DataFrame:
     """Add n_words, n_base, first_word, last_word and base_found (labels) to rows with ``text``. Only
     texts in which the phrases' last word occurs are cut into words."""
@@ -130,8 +146,7 @@ def text_blocks(rows: DataFrame, vocabulary: list[str], least: dict[str, int]) -
     known = F.array(*[F.lit(word) for word in vocabulary])
 
     def of(unit: str, pattern: str) -> DataFrame:
-        some = rows.filter(F.col("text").rlike("[0-9A-Za-z]"))
-        blocks = some.select(*[c for c in rows.columns if c != "text"], F.lit(unit).alias("unit"), F.posexplode(F.split("text", pattern)).alias("block", "part"))
+        blocks = rows.select(*[c for c in rows.columns if c != "text"], F.lit(unit).alias("unit"), F.posexplode(F.split("text", pattern)).alias("block", "part"))
         tokens = F.array_intersect(F.split(_lower_for_ascii(F.col("part")), GAP), known)
         return blocks.withColumn("tokens", tokens).drop("part").filter(F.size("tokens") >= least[unit])
 
@@ -174,9 +189,8 @@ def wrapped_notices(rows: DataFrame, templates: tuple[tuple[str, str, str], ...]
     A paragraph contains a template if some run of its words, at most 1 / ``threshold`` times as long as
     the template, has enough of the template's distinct words; line breaks do not count."""
     lines = [t for t in templates if t[1] == LINE]
-    some = rows.filter(F.col("text").rlike("[0-9A-Za-z]"))
     kept = [c for c in rows.columns if c != "text"]
-    parts = some.select(*kept, F.explode(F.split("text", r"\n[\x20\x09-\x0D]*\n")).alias("part")).filter(F.contains("part", F.lit("\n")))
+    parts = rows.select(*kept, F.explode(F.split("text", r"\n[\x20\x09-\x0D]*\n")).alias("part")).filter(F.contains("part", F.lit("\n")))
     cut = parts.withColumn("words", F.filter(F.split(_lower_for_ascii(F.col("part")), GAP), lambda w: w != "")).drop("part")
 
     def of(label: str, text: str, own: list[str]) -> DataFrame:
@@ -200,23 +214,24 @@ def wrapped_notices(rows: DataFrame, templates: tuple[tuple[str, str, str], ...]
     return out
 
 
-def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[tuple[str, str, str], ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
+def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[tuple[str, str, str], ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col``, n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     Null and empty texts have no words, places or labels (empty strings) and score 0. ``score`` is 1
     where a phrase occurs, else the largest containment of a template at or above ``threshold``, else
     0. Repeated rows each get their result; a null id stays. Other columns are ignored. LINE templates
-    are sought in single lines; with ``wrapped`` also where line breaks cut them (``wrapped_notices``),
-    which ``scan_sql`` does not have.
+    are sought in single lines, and where line breaks cut them in word windows of paragraphs
+    (``wrapped_notices``).
     """
     sets = _template_sets(templates)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     least = {unit: min(math.ceil(threshold * len(w) - 1e-9) for _, u, w in sets if u == unit) for unit in {u for _, u, _ in sets}}
     vocabulary = sorted({word for _, _, words in sets for word in words})
-    blocks = materialize(text_blocks(rows, vocabulary, least), "blocks")
+    likely = materialize(rows.filter(may_hold(F.col("text"), sets, threshold)), "likely")
+    blocks = materialize(text_blocks(likely, vocabulary, least), "blocks")
     pairs = containment_join(blocks, sets, threshold).select("id", "key", "label", "containment")
-    if wrapped and LINE in least:
-        pairs = pairs.unionByName(wrapped_notices(rows, templates, threshold))
+    if LINE in least:
+        pairs = pairs.unionByName(wrapped_notices(likely, templates, threshold))
     found = (
         pairs.groupBy(F.col("id").alias("own_id"), F.col("key").alias("own_key"))
         .agg(F.collect_set("label").alias("found"), F.max("containment").alias("most"))
@@ -242,9 +257,12 @@ def _sql_list(values: list[str]) -> str:
 
 
 def scan_sql(threshold: float = 0.8) -> str:
-    """The same result in DuckDB SQL, by comparing every block with every template."""
+    """The same result in DuckDB SQL, by comparing every block, and every word window of paragraphs of
+    several lines, with every template."""
+    widths = [math.ceil(len(re.findall("[0-9a-z]+", text.lower())) / threshold - 1e-9) for _, _, text in TEMPLATES]
     sets = "\n    UNION ALL ".join(
-        f"SELECT '{label}' AS label, '{unit}' AS unit, {_sql_list(words)} AS own" for label, unit, words in _template_sets(TEMPLATES)
+        f"SELECT '{label}' AS label, '{unit}' AS unit, {_sql_list(words)} AS own, {width} AS width"
+        for (label, unit, words), width in zip(_template_sets(TEMPLATES), widths, strict=True)
     )
     places = []
     for words, label in PHRASES:
@@ -272,8 +290,17 @@ WITH docs AS (
 ), found AS (
     SELECT row_no, label, len(list_intersect(tokens, own)) / len(own) AS containment
     FROM sized JOIN templates USING (unit) WHERE len(list_intersect(tokens, own)) >= ceil({threshold} * len(own) - 1e-9)
+), wrapped AS (
+    SELECT row_no, regexp_extract_all(part, '{WORD}') AS words FROM blocks WHERE unit = 'paragraph' AND contains(part, chr(10))
+), windows AS (
+    SELECT row_no, label, own, width, words, unnest(range(1, len(words) + 1)) AS i
+    FROM wrapped JOIN templates ON unit = 'line' AND len(list_intersect(words, own)) >= ceil({threshold} * len(own) - 1e-9)
+), spanned AS (
+    SELECT row_no, label, len(list_intersect(words[i:i + width - 1], own)) AS held, len(own) AS size FROM windows
 ), method AS (
-    SELECT row_no, list(DISTINCT label) AS labels, max(containment) AS most FROM found GROUP BY row_no
+    SELECT row_no, list(DISTINCT label) AS labels, max(containment) AS most
+    FROM (SELECT * FROM found UNION ALL SELECT row_no, label, held / size FROM spanned WHERE held >= ceil({threshold} * size - 1e-9))
+    GROUP BY row_no
 )
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
     coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
