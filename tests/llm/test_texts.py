@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from boxoffice.llm import decontamination, jaccard_join, language_id, ngram_trie
+from boxoffice.llm import decontamination, jaccard_join, language_id, license_scan, ngram_trie
 from boxoffice.llm import quality_rules as rules
 from boxoffice.llm.components import connected_components
 from boxoffice.llm.decontamination import contaminated
@@ -161,6 +161,25 @@ def test_rows_without_an_id_link_others(spark):
     assert [r.component_id for r in got if r.n_shingles < 10] == [None]
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_rare_keys_meet_for_similar_sets(spark, percent):
+    """Every similar pair shares a key, and texts that share a common passage alone do not."""
+    rng = random.Random(6)
+    passage = prose(rng, 50)
+    texts = near_copies(7, 5, 6, 60) + [prose(rng, 12) + " " + passage + " " + prose(rng, 12) for _ in range(60)]
+    sets = [shingles(t, 3) for t in texts]
+    members = spark.createDataFrame([(k, len(x), k) for k, x in enumerate(sets)], "rep long, n long, label long")
+    rows = jaccard_join.rare_keys(members, spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 3, percent).collect()
+    keys: dict[int, set] = {k: set() for k in range(len(texts))}
+    for r in rows:
+        keys[r.rep].add(r.key)
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            assert keys[a] & keys[b] or 100 * both < percent * len(sets[a] | sets[b])
+    assert not any(keys[k] for k in range(len(texts) - 60, len(texts)))
+
+
 @pytest.mark.parametrize("chain", [False, True])
 def test_links_grow_with_a_family_and_not_its_pairs(spark, monkeypatch, chain):
     """Four times the members write about four times the links: copies of one text, and chains in which
@@ -434,6 +453,8 @@ def test_license_scan_against_sql(spark):
 
 
 def test_wrapped_license_notices(spark):
+    import duckdb
+
     rng = random.Random(13)
     mpl = "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of it was not given"
     texts = {
@@ -446,9 +467,23 @@ def test_wrapped_license_notices(spark):
     rows = [(k, t, "x", label) for k, (label, t) in enumerate((label, t) for label, ts in texts.items() for t in ts)]
     docs = spark.createDataFrame([*rows, (None, mpl, "x", "mpl"), rows[0]], "doc_id long, text string, labels string, want string")
     want = sorted((str(r.doc_id), r.want) for r in docs.collect())
-    got = scan_licenses(docs, wrapped=True).collect()
+    got = scan_licenses(docs).collect()
     assert sorted((str(r.doc_id), r.labels) for r in got) == want
     assert all((r.score >= 0.8) == (r.labels != "") for r in got)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().convert_dtypes()[["doc_id", "text"]])
+    assert sorted(str(tuple(r)) for r in got) == sorted(str(tuple(r)) for r in con.execute(scan_sql()).fetchall())
+
+
+def test_texts_that_may_hold_a_template(spark):
+    """The filter on whole texts keeps every text that holds as many of a template's words as it takes."""
+    rng, sets = random.Random(14), license_scan._template_sets(license_scan.TEMPLATES)
+    texts = []
+    for _, _, own in sets:
+        need = max(1, -int(-(0.8 * len(own) - 1e-9) // 1))
+        texts += [" ".join(rng.sample(own, need)).upper() for _ in range(12)]
+    kept = spark.createDataFrame([(t,) for t in texts], "text string").filter(license_scan.may_hold(rules.F.col("text"), sets, 0.8))
+    assert kept.count() == len(texts)
 
 
 def test_shingle_sets():
