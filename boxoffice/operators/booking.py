@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from boxoffice.functions import columns as c, fixed as fx
 from boxoffice.functions.scale import (
@@ -17,8 +17,10 @@ from boxoffice.functions.scale import (
 )
 from boxoffice.operators.dml import restore_and_delete_payments, take_tickets, update_payment
 
-#: Judging steps in one plan.
+#: Judging steps in the first plan. Each later one has twice as many, as less and less is open.
 STEPS = 3
+#: A plan with more would take longer to make than to run.
+MOST_STEPS = 24
 
 
 def quote_requests(
@@ -114,9 +116,10 @@ def decide_requests(
     parallel: with every undecided earlier request counted as taken, a request that still fits
     on all its ticket types is in; with none of them counted, one that does not fit on some type
     is out. The earliest undecided request is always decided, so steps end. ``STEPS`` of them make
-    a round, after which what is still needed is written: per ticket type its open lines, and the
-    accepted ones between its first and last open line; those before are taken off its capacity.
-    ``rounds`` is told the open lines after each round.
+    the first round and twice as many each later one, so a chain of n requests that wait for each
+    other takes about log2(n / ``STEPS``) rounds. After a round what is still needed is written: per ticket
+    type its open lines, and the accepted ones between its first and last open line; those before
+    are taken off its capacity. ``rounds`` is told the open lines after each round.
     """
     group = dict.fromkeys(["request_id", *order, "event_detail_id"])
     demand = lines.filter(F.col("quantity") > 0).groupBy(*group).agg(
@@ -147,10 +150,11 @@ def decide_requests(
     )
     columns = state.columns
     out_path = f"{shared_dir(demand.sparkSession)}/rejected-{uuid.uuid4().hex}"
-    arrival = F.struct(*order)
+    arrival, steps = F.struct(*order), STEPS
     while True:
-        for _ in range(STEPS):
+        for _ in range(steps):
             state = _judge(state, order)
+        steps = min(2 * steps, MOST_STEPS)
         counts = Observation()
         is_open, is_in = F.col("verdict") == "open", F.col("verdict") == "in"
         judged = materialize(state, "allocation", counts, F.count_if(is_open).alias("undecided"))
@@ -191,22 +195,14 @@ def _judge(state: DataFrame, order: list[str]) -> DataFrame:
             "claimed": F.when(F.col("verdict") != "out", F.col("quantity")).otherwise(0),
         },
     )
-    # Verdicts of lines are combined before the shuffle; those of a request are one row.
-    verdicts = (
-        seen.filter(is_open)
-        .groupBy("request_id")
-        .agg(
-            F.bool_and(F.col("claimed") + F.col("quantity") <= F.col("capacity")).alias("surely"),
-            F.bool_and(F.col("taken") + F.col("quantity") <= F.col("capacity")).alias("possibly"),
-        )
-        .select(
-            "request_id",
-            F.when(F.col("surely"), "in").when(~F.col("possibly"), "out").alias("judged"),
-        )
-        .filter(F.col("judged").isNotNull())
-    )
-    decided = state.join(verdicts, "request_id", "left")
-    return decided.withColumn("verdict", F.coalesce("judged", "verdict")).select(*state.columns)
+    # Steps alternate between ticket types and requests, with one shuffle each. A request has one line
+    # for each of its ticket types.
+    whole = Window.partitionBy("request_id")
+    surely = F.bool_and(F.col("claimed") + F.col("quantity") <= F.col("capacity")).over(whole)
+    possibly = F.bool_and(F.col("taken") + F.col("quantity") <= F.col("capacity")).over(whole)
+    judged = seen.select(*state.columns, surely.alias("surely"), possibly.alias("possibly"))
+    verdict = F.when(is_open & F.col("surely"), "in").when(is_open & ~F.col("possibly"), "out").otherwise(F.col("verdict"))
+    return judged.withColumn("verdict", verdict).select(*state.columns)
 
 
 def allocate_requests(

@@ -169,11 +169,12 @@ def _cancelled(told: DataFrame, payers: DataFrame, key: str, body) -> DataFrame:
 
 
 def refund_error_mails(
-    errors: DataFrame, name: str = TEAM_NAME, email: str = TEAM_EMAIL
+    errors: DataFrame, name: str = TEAM_NAME, email: str = TEAM_EMAIL, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """errors(mail_key): a note to the team for every refund that failed."""
+    """errors(mail_key, and the columns ``keep``): a note to the team for every refund that failed."""
     return errors.select(
         "mail_key",
+        *keep,
         F.lit(f"{name} <{email}>").alias("recipient"),
         F.lit(fx.SUBJECT_REFUND_ERROR).alias("subject"),
         F.lit(fx.BODY_REFUND_ERROR).alias("body"),
@@ -195,15 +196,21 @@ def webhook_mails(
         c.derived_id(F.lit("mail"), "seq").alias("mail_key"), "type", "payment_id", "error_message"
     )
     lines = ticket_lines(reservations, payments, details, told)
-    payers = payers_of(payments, users, told)
-    columns = ["mail_key", "payment_id", "recipient", "subject", "body"]
-    paid = confirmation_mails(told.filter(F.col("type") == fx.TYPE_SUCCEEDED), payers, lines, team)
-    failed = failure_mails(told.filter(F.col("type") == fx.TYPE_FAILED), payers, lines, team)
+    rows = told.join(lines, "payment_id").join(payers_of(payments, users, told), "payment_id")
+    paid, name = F.col("type") == fx.TYPE_SUCCEEDED, F.col("name")
+    confirmed = c.fill(fx.BODY_CONFIRMED, name=name, lines=F.col("lines"), team=team)
+    failed = c.fill(fx.BODY_FAILED, name=name, error=F.col("error_message"), lines=F.col("lines"), team=team)
+    mails = rows.select(
+        "mail_key",
+        "payment_id",
+        recipient(name, F.col("email")).alias("recipient"),
+        F.when(paid, fx.SUBJECT_CONFIRMED).otherwise(fx.SUBJECT_FAILED).alias("subject"),
+        F.when(paid, confirmed).otherwise(failed).alias("body"),
+    )
     refunds = applied.filter(F.col("type") == fx.TYPE_REFUND_FAILED).select(
         c.derived_id(F.lit("mail"), "seq").alias("mail_key"), "payment_id"
     )
-    notes = refund_error_mails(refunds.select("mail_key")).join(refunds, "mail_key")
-    return paid.select(*columns).unionByName(failed.select(*columns)).unionByName(notes.select(*columns))
+    return mails.unionByName(refund_error_mails(refunds, keep=("payment_id",)).select(*mails.columns))
 
 
 def event_updated_mails(

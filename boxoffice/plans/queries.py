@@ -852,6 +852,12 @@ def notify_confirmed(d: Derived) -> DataFrame:
     return outbox.confirmation_mails(*_applied(d, "payment_intent.succeeded"))
 
 
+@query
+def webhook_outbox(d: Derived) -> DataFrame:
+    applied = _fold(d).applied
+    return outbox.webhook_mails(applied, d.payments, d.users, d.reservations, _details_with_title(d))
+
+
 @query
 def mail_lines(d: Derived) -> DataFrame:
     applied = _fold(d).applied.filter("type = 'payment_intent.succeeded'")

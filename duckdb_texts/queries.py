@@ -1093,6 +1093,24 @@ sql(
     WHERE type = 'payment_intent.payment_failed'""",
     MAILS,
 )
+sql(
+    "webhook_outbox",
+    f"""SELECT sha256('mail-' || seq) AS mail_key, payment_id,
+      CASE WHEN payer THEN name || ' <' || email || '>' ELSE 'Booking team <team@example.com>' END AS recipient,
+      CASE type WHEN 'payment_intent.succeeded' THEN 'Your payment and ticket reservation is confirmed'
+        WHEN 'payment_intent.payment_failed' THEN 'Your payment failed' ELSE 'A refund request has failed' END AS subject,
+      CASE type WHEN 'payment_intent.succeeded' THEN 'Hi ' || name || ',' || chr(10) || chr(10)
+          || 'You''ve successfully booked your events. Enjoy!' || chr(10) || lines || chr(10) || chr(10) || {TEAM}
+        WHEN 'payment_intent.payment_failed' THEN 'Hi ' || name || ',' || chr(10) || chr(10)
+          || 'Your payment failed with the following issue: ' || error_message || chr(10) || chr(10)
+          || 'Reservation/s attached with the payment:' || chr(10) || lines || chr(10) || chr(10) || {TEAM}
+        ELSE 'A refund request has failed. Please check logs.' END AS body
+    FROM (SELECT *, type <> 'refund.failed' AS payer FROM applied
+      WHERE type IN ('payment_intent.succeeded', 'payment_intent.payment_failed', 'refund.failed'))
+    LEFT JOIN mail_lines USING (payment_id) LEFT JOIN people USING (user_id)
+    WHERE NOT payer OR lines IS NOT NULL AND name IS NOT NULL""",
+    MAILS,
+)
 sql(
     "notify_cancelled",
     """SELECT DISTINCT event_id, payment_id,
