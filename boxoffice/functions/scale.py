@@ -16,8 +16,9 @@ _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
-    A local session that names none gets a temporary one."""
+    """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir, with its
+    file system: a name without one is in the cluster's default file system, and not on each machine's
+    own disk. A local session that names none gets a temporary one."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
@@ -25,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="boxoffice-"))
         named = context.getCheckpointDir()
-    return named.rstrip("/")
+    folder = context._jvm.org.apache.hadoop.fs.Path(named)
+    return folder.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
 
 
 def materialize(df: DataFrame, label: str, counts: Observation | None = None, *metrics) -> DataFrame:

@@ -67,7 +67,26 @@ def test_scan_reads_only_what_is_asked(spark, table, tmp_path, capsys):
 
 def test_shared_dir_is_the_named_one(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
-    assert shared_dir(spark) == (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
+    folder = (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
+    assert shared_dir(spark) == (folder if ":" in folder else f"file:{folder}")
+
+
+def test_shared_dir_names_its_file_system(spark, tmp_path):
+    """A folder without a scheme belongs to the default file system, wherever tasks then open it."""
+
+    class Session:
+        sparkContext = spark.sparkContext
+        conf = {"spark.checkpoint.dir": "/shared/ck/"}
+
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    default = hadoop.get("fs.defaultFS")
+    try:
+        assert shared_dir(Session()) == "file:/shared/ck"
+        hadoop.set("fs.viewfs.mounttable.other.link./shared", f"file://{tmp_path}")
+        hadoop.set("fs.defaultFS", "viewfs://other/")
+        assert shared_dir(Session()) == "viewfs://other/shared/ck"
+    finally:
+        hadoop.set("fs.defaultFS", default)
 
 
 def test_a_cluster_without_a_shared_folder_is_refused():
