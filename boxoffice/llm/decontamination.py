@@ -5,11 +5,12 @@ by a random bit that depends on the step and the word. Two sequences at a small
 walks at a small Hamming distance, as walks that fall out of step meet again. Bit sampling hashes the
 words of a few steps into a key; ``repeats`` walks with other bits reach the recall that is asked for.
 Walks start at every word of every document and at every word of each item: a key in common names an
-item-sized window, which is verified by its exact edit distance.
+item-sized window, which is verified by its exact edit distance. Short items leave walks less room, so
+the sampled steps lie closer together for them; the steps grow with the item in a few classes of sizes.
 
-Short items leave walks too little room. They are cut into one piece more than the edits they allow:
-an edit changes one piece at most, so a passage within the edits holds a piece unchanged (pigeonhole),
-and the pieces' words are the keys. Nothing within the edits of a short item is missed.
+Items of every size have further keys of their own: they are cut into one piece more than the edits they
+allow, an edit changes one piece at most, so a passage within the edits holds a piece unchanged
+(pigeonhole), and the pieces' words are keys as well. So no passage within the edits is missed by chance.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ from boxoffice.functions.scale import materialize
 from boxoffice.llm.batches import small_batches
 from boxoffice.llm.textkit import Memo, fingerprints, mix, slices, text_bytes, words
 
-#: Items of fewer words are sought by their pieces, others by walks.
-SHORT = 25
-#: Steps whose words are hashed. A walk of that many steps always ends within an item that is not short.
-SAMPLED = (0, 4, 8, 12)
+#: Steps whose words are hashed, by the least number of words of an item.
+SAMPLED = ((25, (0, 4, 8, 12)), (13, (0, 3, 6)), (5, (0, 2, 4)), (2, (0, 1)), (1, (0,)))
 #: Items are taken in blocks of about this many bytes of text; a block is broadcast.
 BLOCK_BYTES = 8 << 20
 CHECKED = 256
+#: Places of keys that are expanded at once, and windows that wait until they are verified.
+EXPANDED = 1 << 20
 
 
 def _codes(h: np.ndarray, repeat: int) -> np.ndarray:
@@ -44,7 +45,7 @@ def walk_keys(h: np.ndarray, repeat: int, steps: tuple[int, ...]) -> tuple[np.nd
     have as many spare words at its end as there are steps."""
     n = len(h) - steps[-1]
     codes, at = _codes(h, repeat), np.arange(n)
-    key = np.full(n, np.uint64(repeat * 64 + len(steps)))
+    key = np.full(n, np.uint64((repeat * 64 + steps[-1]) * 64 + len(steps)))
     for step in range(steps[-1] + 1):
         here = codes[at]
         if step in steps:
@@ -80,7 +81,7 @@ class Items:
     h: np.ndarray
     at: np.ndarray
     edits: np.ndarray
-    repeats: list[int] = field(default_factory=list)
+    walks: list[tuple[int, tuple[int, ...]]] = field(default_factory=list)
     widths: list[int] = field(default_factory=list)
     memo: Memo = field(default_factory=Memo)
     cut: np.ndarray | None = None
@@ -95,24 +96,28 @@ def index_items(ids: list[int | None], texts: pa.Array, share: float, repeats: i
     items = Items(np.array([-1 if i is None else i for i in ids], np.int64), h, at, np.floor(size * share + 1e-9).astype(np.int64))
     keys, owners, places = [], [], []
     owner = np.repeat(np.arange(len(size)), size)
-    long = size >= SHORT
-    if long.any():
-        padded = np.append(h, np.zeros(SAMPLED[-1], np.uint64))
-        items.repeats = list(range(repeats))
-        for repeat in items.repeats:
-            key, reached = walk_keys(padded, repeat, SAMPLED)
+    top = 1 << 62
+    for least, steps in SAMPLED:
+        mine = (size >= least) & (size < top)
+        top = least
+        if not mine.any():
+            continue
+        padded = np.append(h, np.zeros(steps[-1], np.uint64))
+        for repeat in range(repeats):
+            key, reached = walk_keys(padded, repeat, steps)
             # A walk must end within its item.
-            ok = np.flatnonzero(long[owner] & (reached < at[owner + 1]))
+            ok = np.flatnonzero(mine[owner] & (reached < at[owner + 1]))
             keys.append(key[ok])
             owners.append(owner[ok])
             places.append(ok - at[owner[ok]])
-    short = np.flatnonzero(~long & (size > 0))
-    own, first, width = pieces(size[short], items.edits[short])
+            items.walks.append((repeat, steps))
+    some = np.flatnonzero(size > 0)
+    own, first, width = pieces(size[some], items.edits[some])
     items.widths = np.unique(width).tolist()
     for w in items.widths:
         mine = np.flatnonzero(width == w)
         key = run_keys(np.append(h, np.zeros(w - 1, np.uint64)), w)
-        owners.append(short[own[mine]])
+        owners.append(some[own[mine]])
         places.append(first[mine])
         keys.append(key[at[owners[-1]] + first[mine]])
     if keys:
@@ -157,31 +162,50 @@ def _rectangle(h: np.ndarray, start: np.ndarray, size: np.ndarray, back: bool =
     return np.where(inside, h[np.clip(at, 0, max(len(h) - 1, 0))], 0)
 
 
-def find_in(items: Items, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Matches in documents of words ``h`` with n + 1 offsets ``at``: document, item, edits, start
-    (word of the document) and length; the best of each pair."""
+def _places(items: Items, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Item, place in ``h`` and place in the item of keys in common, a bounded number at a time."""
     total = len(h)
-    found = []
-    padded = np.append(h, np.zeros(max([SAMPLED[-1], *items.widths]), np.uint64))
-    walks = (walk_keys(padded[: total + SAMPLED[-1]], repeat, SAMPLED)[0] for repeat in items.repeats)
+    steps = max([steps[-1] for _, steps in items.walks], default=0)
+    padded = np.append(h, np.zeros(max([steps, *items.widths]), np.uint64))
+    walks = (walk_keys(padded[: total + steps[-1]], repeat, steps)[0] for repeat, steps in items.walks)
     for key in chain(walks, (run_keys(padded[: total + w - 1], w) for w in items.widths)):
         key[key == 0] = 1
         hit = items.memo.find(key)
         start = np.flatnonzero(hit >= 0)
         group = hit[start]
         number = items.cut[group + 1] - items.cut[group]
-        anchor = np.repeat(items.cut[group] - (np.cumsum(number) - number), number) + np.arange(int(number.sum()))
-        found.append((items.anchor_item[anchor], np.repeat(start, number), items.anchor_place[anchor]))
-    none = np.zeros(0, np.int64)
-    if not found:
-        return none, none, none, none, none
-    item, place, anchor = (np.concatenate([f[k] for f in found]) for k in range(3))
-    doc = np.searchsorted(at, place, "right") - 1
+        upto = np.cumsum(number)
+        low = 0
+        while low < len(start):
+            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + EXPANDED, "right")))
+            own, first = number[low:high], items.cut[group[low:high]]
+            anchor = np.repeat(first - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+            yield items.anchor_item[anchor], np.repeat(start[low:high], own), items.anchor_place[anchor]
+            low = high
+
+
+def _windows(items: Items, h: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows (document, item, bucket) of windows to verify, those that met by several keys once."""
+    held, count = [np.zeros((0, 3), np.int64)], 0
+    for item, place, anchor in _places(items, h):
+        doc = np.searchsorted(at, place, "right") - 1
+        # Windows whose starts are within the edits of each other are verified as one.
+        bucket = (place - anchor - at[doc]) // (items.edits[item] + 1)
+        held.append(np.unique(np.stack([doc, item, bucket], 1), axis=0))
+        count += len(held[-1])
+        if count > EXPANDED:
+            held = [np.unique(np.concatenate(held), axis=0)]
+            count = len(held[0])
+            if 2 * count > EXPANDED:
+                yield held[0]
+                held, count = [held[0][:0]], 0
+    yield np.unique(np.concatenate(held), axis=0)
+
+
+def _verified(items: Items, h: np.ndarray, at: np.ndarray, windows: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """The windows that hold a passage within the edits, and the best passage of each."""
+    doc, item, bucket = windows.T
     edits, size = items.edits[item], np.diff(items.at)[item]
-    # Windows whose starts are within the edits of each other are verified as one.
-    bucket = (place - anchor - at[doc]) // (edits + 1)
-    _, one = np.unique(np.stack([doc, item, bucket]), axis=1, return_index=True)
-    doc, item, edits, size, bucket = doc[one], item[one], edits[one], size[one], bucket[one]
     low = np.maximum(bucket * (edits + 1) - edits, 0) + at[doc]
     high = np.minimum(at[doc] + (bucket + 1) * (edits + 1) + 2 * edits + size, at[doc + 1])
     order = np.argsort(size, kind="stable")
@@ -199,6 +223,15 @@ def find_in(items: Items, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ..
         back = _rectangle(items.h, items.at[item[o]], size[o], True)
         _, span = best_end(back, size[o], _rectangle(h, low[o], end, True), False)
         rows.append((doc[o], item[o], cost, low[o] + end - span - at[doc[o]], span))
+    return rows
+
+
+def find_in(items: Items, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Matches in documents of words ``h`` with n + 1 offsets ``at``: document, item, edits, start
+    (word of the document) and length; the best of each pair."""
+    rows, none = [], np.zeros(0, np.int64)
+    for windows in _windows(items, h, at):
+        rows += _verified(items, h, at, windows)
     if not rows:
         return none, none, none, none, none
     doc, item, cost, start, span = (np.concatenate([r[k] for r in rows]).astype(np.int64) for k in range(5))
@@ -214,9 +247,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, repe
     start_word and n_words of the passage with the fewest edits, the first of equals.
 
     A-Z are folded; words are runs without white space. Null or empty texts and items hold and match
-    nothing. Repeated items or rows each give their pairs; null ids stay. ``share`` is below 1. Unchanged
-    passages are always found, and so is every passage of items of fewer than ``SHORT`` words; of
-    changed passages of longer items a share that grows with ``repeats``. Items are broadcast in blocks
+    nothing. Repeated items or rows each give their pairs; null ids stay. ``share`` is below 1. Every
+    passage within the edits is found, by walks or by pieces. Items are broadcast in blocks
     of about ``block_bytes``, and each block reads the documents once. A task holds about 300 bytes per word of
     a slice of half a MB, or of one longer text.
     """
