@@ -115,8 +115,8 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[fl
     columns ``keep`` of docs.
 
     Null and empty texts have size 0 and are not taken. A null source is a source, the last. Reruns
-    agree: draws come from ids, and groups from a hash of id and text; rows that repeat an id are
-    rounded each on its own, and rows that are equal throughout are interchangeable. Empty tables give
+    agree: draws come from ids, and groups from a hash of id and text and, for rows that are equal
+    throughout, their number; rows that repeat an id are rounded each on its own. Empty tables give
     empty results. The words taken from a source differ from its target by less than one document.
     """
     sized = materialize(
@@ -129,6 +129,9 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[fl
         ),
         "sized",
     )
+    # Equal rows are counted before the shuffle and then dealt out over the groups, each with its number.
+    sized = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).cast("int").alias("times"))
+    sized = materialize(sized.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times"), "sized")
     targets = materialize(source_targets(sized, share, cap, weights), "targets").withColumnRenamed("source", "own")
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     groups = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / GROUP_ROWS))
@@ -136,7 +139,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[fl
         sized.join(targets, sized["source"].eqNullSafe(targets["own"]))
         .withColumn("whole", F.floor(due + _EPS).cast("int"))
         .withColumn("chance", F.greatest(F.lit(0.0), due - F.col("whole")))
-        .withColumn("bucket", F.pmod(F.col("hash"), groups))
+        .withColumn("bucket", F.pmod(F.xxhash64("hash", "turn"), groups))
         .select("id", "source", "size", "hash", "kept", "source_size", "target", "whole", "chance", "bucket", groups.alias("groups"))
     )
     done, level, most = [], 0, (targets.agg(F.max("n_docs")).first()[0] or 0) / GROUP_ROWS
