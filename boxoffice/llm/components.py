@@ -39,6 +39,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b: long, not null) to node and component, its least node. Nodes without an edge
     to another are left out; repeated edges and loops do no harm."""
     edges = edges.select("a", "b").filter(F.col("a") != F.col("b"))
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     while True:
         edges = materialize(_star(_both_ways(edges), large=True), "edges")
         edges = materialize(_star(_both_ways(edges), large=False), "edges")

@@ -265,6 +265,8 @@ def _family_links(rows: DataFrame, texts: DataFrame, shingle: int, percent: int)
     """Links between the components (label) of the members of large buckets (key, rep, n, lead, label).
     Families are what large buckets hold together; a family is cut into blocks, which meet in rounds."""
     spark = rows.sparkSession
+    if rows.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
     families = connected_components(rows.select(F.col("rep").alias("a"), F.col("lead").alias("b")))
     members = families.join(rows.select(F.col("rep").alias("node"), "n", "label").distinct(), "node")
     weights = members.groupBy("component").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))) / BLOCK_SHINGLES).cast("int").alias("blocks"))
@@ -350,6 +352,27 @@ def _small_pairs(buckets: DataFrame, percent: int) -> DataFrame:
     return pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("met"))
 
 
+def _family_pairs(members: DataFrame, texts: DataFrame, tested: DataFrame, links: DataFrame, shingle: int, percent: int, large: int) -> DataFrame:
+    """Links among members(rep, n, label) of large buckets by their rarest shingles: as with blocks one
+    member of a bucket is compared with the others first, then small buckets are pair by pair and large ones
+    as families. ``links`` are those known so far, ``tested`` the pairs that need no further look."""
+    spark = members.sparkSession
+    rare = materialize(_apart(materialize(rare_keys(members, texts, shingle, percent), "rare")), "rare")
+    stars = materialize(_star_pairs(rare, percent, bound=False).join(tested, ["a", "b"], "left_anti"), "stars")
+    with small_batches(spark):
+        more = materialize(verify(stars, texts, shingle, percent), "links")
+    joined = materialize(connected_components(links.unionByName(more)), "components")
+    rare = rare.drop("label").join(joined, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep"))
+    rare = materialize(_apart(materialize(rare.select("key", "rep", "n", "label"), "rare")), "rare")
+    sizes = rare.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("lead"))
+    sized = materialize(rare.join(sizes, F.col("key") == F.col("k")).select("key", "rep", "n", "lead", "label", (F.col("members") > large).alias("large")), "rare")
+    last = _small_pairs(sized.filter(~F.col("large")), percent).select("a", "b")
+    last = materialize(last.join(tested.unionByName(stars), ["a", "b"], "left_anti"), "pairs")
+    with small_batches(spark):
+        more = more.unionByName(materialize(verify(last, texts, shingle, percent), "links"))
+    return more.unionByName(_family_links(sized.filter("large"), texts, shingle, percent))
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
     """Per row: ``id_col``, n_shingles and component_id, the least id reachable by links.
 
@@ -412,25 +435,12 @@ def _components(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
     # A pair that also meets in a large bucket is left to the comparison of large buckets.
     pairs = pairs.filter(F.col("met") >= _blocks_in_common(F.col("n_a"), F.col("n_b"), percent))
     pairs = materialize(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
-    members = materialize(open_.filter("large").select("rep", "n", "label").distinct(), "members")
-    rare = materialize(rare_keys(members, texts, shingle, percent), "rare")
-    rare = materialize(_apart(rare), "rare")
-    stars = materialize(_star_pairs(rare, percent, bound=False).join(tested, ["a", "b"], "left_anti").join(pairs, ["a", "b"], "left_anti"), "stars")
-    tried = pairs.unionByName(stars)
     with small_batches(spark):
-        more = materialize(verify(tried, texts, shingle, percent), "links")
-    joined = materialize(connected_components(links.unionByName(more)), "components")
-    rare = rare.drop("label").join(joined, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep"))
-    rare = materialize(_apart(materialize(rare.select("key", "rep", "n", "label"), "rare")), "rare")
-    sizes = rare.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("lead"))
-    sized = materialize(rare.join(sizes, F.col("key") == F.col("k")).select("key", "rep", "n", "lead", "label", (F.col("members") > large).alias("large")), "rare")
-    last = _small_pairs(sized.filter(~F.col("large")), percent).select("a", "b")
-    last = materialize(last.join(tested.unionByName(tried), ["a", "b"], "left_anti"), "pairs")
-    with small_batches(spark):
-        more = more.unionByName(materialize(verify(last, texts, shingle, percent), "links"))
-    families = _family_links(sized.filter("large"), texts, shingle, percent)
-    edges = links.unionByName(more).unionByName(families)
-    final = connected_components(edges)
+        links = links.unionByName(materialize(verify(pairs, texts, shingle, percent), "links"))
+    members = materialize(open_.filter("large").select("rep", "n", "label").distinct(), "members")
+    if not members.isEmpty():
+        links = links.unionByName(_family_pairs(members, texts, tested.unionByName(pairs), links, shingle, percent, large))
+    final = connected_components(links)
     labels = materialize(classes.join(final, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", "real", F.coalesce("component", "rep").alias("label")), "labels")
     least = materialize(labels.groupBy(F.col("label").alias("l")).agg(F.min("real").alias("least")), "least")
     named = labels.join(least, F.col("label") == F.col("l")).select("n", "s1", "s2", "least")
