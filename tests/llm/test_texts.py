@@ -272,8 +272,11 @@ def test_recall_of_changed_items():
     assert len(set(zip(doc.tolist(), item.tolist(), strict=True)) & {(k, k) for k in range(80)}) >= 76
 
 
-@pytest.mark.parametrize("n", range(4, 29))
-def test_recall_by_item_length(n):
+@pytest.mark.parametrize("walks_alone", [False, True])
+@pytest.mark.parametrize("n", [1, 2, 3, *range(4, 29), 40])
+def test_recall_by_item_length(n, walks_alone, monkeypatch):
+    if walks_alone:
+        monkeypatch.setattr(decontamination, "pieces", lambda size, edits: (np.zeros(0, np.int64),) * 3)
     rng = random.Random(n)
     name = lambda: f"w{rng.randrange(10**6)}"
     items = [[name() for _ in range(n)] for _ in range(300)]
@@ -289,7 +292,20 @@ def test_recall_by_item_length(n):
     doc, item, *_ = decontamination.find_in(index, fingerprints(low, starts, ends), at)
     found = set(zip(doc.tolist(), item.tolist(), strict=True))
     assert {(k, k) for k in range(300)} <= found
-    assert sum((300 + k, k) in found for k in range(300)) >= (300 if n < decontamination.SHORT else 294)
+    assert sum((300 + k, k) in found for k in range(300)) >= (285 if walks_alone else 300)
+
+
+def test_places_are_expanded_in_parts(monkeypatch):
+    """Many items with one common word in many places give the same whatever is expanded at once."""
+    items = [f"the w{k} the" for k in range(40)]
+    docs = ["the " * 60, " ".join(items), "the w3 the the w5 the"]
+    index = decontamination.index_items(list(range(40)), pa.array(items), 0.34, 2)
+    low, starts, ends, at = word_spans(*text_bytes(pa.array(docs)))
+    found = []
+    for limit in (1 << 20, 50):
+        monkeypatch.setattr(decontamination, "EXPANDED", limit)
+        found.append([x.tolist() for x in decontamination.find_in(index, fingerprints(low, starts, ends), at)])
+    assert found[0] == found[1] and len(found[0][0]) >= 80
 
 
 def test_unchanged_items_of_any_length_are_found():
