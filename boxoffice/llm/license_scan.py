@@ -101,11 +101,15 @@ def may_hold(text: Column, sets: list[tuple[str, str, list[str]]], threshold: fl
         some |= set(sorted(words, key=lambda w: (-len(w), w))[: len(words) - need + 1])
     # A word that holds another one of them says nothing more.
     some = {w for w in some if not any(other != w and other in w for other in some)}
-    low = _lower_for_ascii(text)
-    found = F.lit(False)
-    for word in sorted(some):
-        found = found | F.contains(low, F.lit(word))
-    return found
+
+    def holds(low: Column) -> Column:
+        found = F.lit(False)
+        for word in sorted(some):
+            found = found | F.contains(low, F.lit(word))
+        return found
+
+    # As an element of an array the text is lower-cased once and not for each word.
+    return F.exists(F.array(_lower_for_ascii(text)), holds)
 
 
 def base_places(rows: DataFrame) -> DataFrame:
@@ -192,6 +196,7 @@ def wrapped_notices(rows: DataFrame, templates: tuple[tuple[str, str, str], ...]
     kept = [c for c in rows.columns if c != "text"]
     parts = rows.select(*kept, F.explode(F.split("text", r"\n[\x20\x09-\x0D]*\n")).alias("part")).filter(F.contains("part", F.lit("\n")))
     cut = parts.withColumn("words", F.filter(F.split(_lower_for_ascii(F.col("part")), GAP), lambda w: w != "")).drop("part")
+    cut = materialize(cut, "paragraphs")
 
     def of(label: str, text: str, own: list[str]) -> DataFrame:
         width = math.ceil(len(re.findall("[0-9a-z]+", text.lower())) / threshold - 1e-9)
@@ -199,12 +204,16 @@ def wrapped_notices(rows: DataFrame, templates: tuple[tuple[str, str, str], ...]
         known = F.array(*[F.lit(word) for word in own])
         at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda p: p["w"].isin(own))
 
-        def most(p: Column, k: Column) -> Column:
-            near = F.filter(F.slice("at", k + 1, F.lit(width)), lambda q: q["i"] < p["i"] + width)
-            return F.size(F.array_distinct(F.transform(near, lambda q: q["w"])))
+        def best_of(places: Column) -> Column:
+            def held(p: Column, k: Column) -> Column:
+                near = F.filter(F.slice(places, k + 1, F.lit(width)), lambda q: q["i"] < p["i"] + width)
+                return F.size(F.array_distinct(F.transform(near, lambda q: q["w"])))
+
+            return F.array_max(F.transform(places, held))
 
-        likely = cut.filter(F.size(F.array_intersect("words", known)) >= need).select(*kept, at.alias("at"))
-        best = likely.select(*kept, F.array_max(F.transform("at", most)).alias("best")).filter(F.col("best") >= need)
+        likely = cut.filter(F.size(F.array_intersect("words", known)) >= need)
+        # As an element of an array the places are found once and not for each of them.
+        best = likely.select(*kept, F.get(F.transform(F.array(at), best_of), F.lit(0)).alias("best")).filter(F.col("best") >= need)
         return best.select(*kept, F.lit(label).alias("label"), (F.col("best") / len(own)).alias("containment"))
 
     found = [of(label, text, own) for (label, _, text), (_, _, own) in zip(lines, _template_sets(tuple(lines)), strict=True)]
