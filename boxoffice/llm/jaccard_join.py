@@ -35,11 +35,11 @@ from boxoffice.llm.textkit import mix, slices, text_bytes
 #: A bucket of more classes is large: its key is given up by classes with few of them.
 LARGE = 32
 #: Shingles in one side of a block comparison.
-BLOCK_SHINGLES = 100_000
+BLOCK_SHINGLES = 40_000
 #: A member counts as at least so many shingles, so that a block of short sets has few members too.
 LEAST_WEIGHT = 24
 #: Members of a pair of blocks that are compared with all others at once.
-STRIP_ROWS = 1024
+STRIP_ROWS = 512
 #: Classes of a bucket that are compared with all its others before pairs are made.
 STARS = 2
 GROWTH = 1.5
