@@ -1,9 +1,11 @@
 """Quality rules: text statistics and robust multivariate outliers.
 
 Per group of language and source, centre and covariance of transformed statistics are estimated by the
-minimum covariance determinant: from coordinate-wise medians, concentration steps refit them on the
-share of rows with the smallest Mahalanobis distances. Rows far from their group's centre are rejected.
-All of it is DataFrame work; per-group quantiles come from counts of bins, so no group is gathered.
+minimum covariance determinant: concentration steps refit them on the share of rows with the smallest
+Mahalanobis distances. There are two starts, both about the coordinate-wise medians: deviations of the
+statistics one by one, and the covariance of the rows' spatial signs. Of each group the start whose
+covariance has the smaller determinant goes on. Rows far from their group's centre are rejected. All of
+it is DataFrame work; per-group quantiles come from counts of bins, so no group is gathered.
 """
 
 from __future__ import annotations
@@ -26,8 +28,11 @@ STATS = {
     "x_repeats": 0.1,
     "x_capitals": 0.08,
     "x_signs": 0.08,
+    "x_stutter": 0.08,
 }
 NAMES = tuple(STATS)
+#: Concentration steps of both starts, and further ones of the better.
+TRIAL_STEPS, LAST_STEPS = 2, 2
 
 
 def statistics(rows: DataFrame) -> DataFrame:
@@ -52,6 +57,7 @@ def statistics(rows: DataFrame) -> DataFrame:
         *[c for c in cut.columns if c not in ("lines", "hashes")],
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.coalesce(F.size(F.filter("hashes", lambda h, i: h == F.get("hashes", i - 1))), F.lit(0)).alias("n_stutters"),
         F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), window)).alias("windows"),
     )
     # Only texts with a repeated window are looked at further: places of windows in order of their
@@ -67,23 +73,24 @@ def statistics(rows: DataFrame) -> DataFrame:
     share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
     counted = cut.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("places")
     return counted.select(
-        *[c for c in counted.columns if c not in ("n_lines", "n_capitals", "n_signs")],
+        *[c for c in counted.columns if c not in ("n_lines", "n_capitals", "n_signs", "n_stutters")],
         F.log1p(share("word_chars", "n_words")).alias("x_word_length"),
         F.sqrt(share("n_symbols", "word_chars")).alias("x_symbols"),
         share("n_dup_lines", "n_lines").alias("x_dup_lines"),
         share("n_repeat_words", "n_words").alias("x_repeats"),
         F.sqrt(share("n_capitals", "word_chars")).alias("x_capitals"),
         F.sqrt(share("n_signs", "word_chars")).alias("x_signs"),
+        share("n_stutters", "n_words").alias("x_stutter"),
     )
 
 
 def _chi2_below(x: float, degrees: int) -> float:
-    """The chi-square distribution for an even number of degrees."""
-    term, total = 1.0, 1.0
-    for k in range(1, degrees // 2):
-        term *= x / 2 / k
-        total += term
-    return 1 - math.exp(-x / 2) * total
+    """The chi-square distribution, from one or two degrees up by two at a time."""
+    known = 2 - degrees % 2
+    below = math.erf(math.sqrt(x / 2)) if known == 1 else 1 - math.exp(-x / 2)
+    for k in range(known, degrees, 2):
+        below -= (x / 2) ** (k / 2) * math.exp(-x / 2) / math.gamma(k / 2 + 1)
+    return below
 
 
 def chi2_quantile(share: float, degrees: int) -> float:
@@ -112,32 +119,29 @@ def _medians(rows: DataFrame, values: dict[str, Column], step: float) -> DataFra
     return found.groupBy("g").agg(*[((F.max(F.when(F.col("dim") == n, F.col("bin"))) + 0.5) * step).alias(n) for n in values])
 
 
-def distance(centre: dict[str, Column], covariance: dict[tuple[int, int], Column]) -> tuple[list[dict[str, Column]], Column]:
-    """The squared Mahalanobis distance by Cholesky factors: columns to add one list after the other,
-    and the distance in terms of them."""
-    steps: list[dict[str, Column]] = []
+def factors(fits: DataFrame, covariance: dict[tuple[int, int], Column]) -> DataFrame:
+    """Add the Cholesky factors of the covariance, _lij, and the logarithm of its determinant to rows of
+    fits, one for each group and start."""
     cell = lambda i, j: F.col(f"_l{i}{j}")
     for j in range(len(NAMES)):
-        own = covariance[j, j]
-        for k in range(j):
-            own = own - cell(j, k) * cell(j, k)
-        steps.append({f"_l{j}{j}": F.sqrt(F.greatest(own, F.lit(1e-12)))})
-        column = {}
-        for i in range(j + 1, len(NAMES)):
-            other = covariance[j, i]
+        for i in range(j, len(NAMES)):
+            own = covariance[j, i]
             for k in range(j):
-                other = other - cell(i, k) * cell(j, k)
-            column[f"_l{i}{j}"] = other / cell(j, j)
-        if column:
-            steps.append(column)
-    total = F.lit(0.0)
+                own = own - cell(i, k) * cell(j, k)
+            fits = fits.withColumn(f"_l{i}{j}", F.sqrt(F.greatest(own, F.lit(1e-12))) if i == j else own / cell(j, j))
+    return fits.withColumn("log_det", sum((2 * F.log(cell(j, j)) for j in range(1, len(NAMES))), 2 * F.log(cell(0, 0))))
+
+
+def distances(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """Each row with each fit of its group: start and d2, the squared Mahalanobis distance."""
+    near, total = rows.join(fits, F.col("g") == F.col("own_g")), F.lit(0.0)
     for j, name in enumerate(NAMES):
-        own = F.col(name) - centre[name]
+        own = F.col(name) - F.col(f"m_{name}")
         for k in range(j):
-            own = own - cell(j, k) * F.col(f"_y{k}")
-        steps.append({f"_y{j}": own / cell(j, j)})
+            own = own - F.col(f"_l{j}{k}") * F.col(f"_y{k}")
+        near = near.withColumn(f"_y{j}", own / F.col(f"_l{j}{j}"))
         total = total + F.col(f"_y{j}") * F.col(f"_y{j}")
-    return steps, total
+    return near.select(*rows.columns, "start", total.alias("d2"))
 
 
 def _log_bin(d2: str) -> Column:
@@ -145,31 +149,59 @@ def _log_bin(d2: str) -> Column:
     return F.floor(64 * F.log2(F.greatest(F.lit(2.0**-40), F.least(F.lit(2.0**60), F.col(d2)))))
 
 
-def robust_distances(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
-    """Add d2, the squared robust distance, to rows with ``fit_group`` (not null) and the statistics.
-    ``rows`` must be cheap to read again. Groups' parameters are tables and are joined by their size."""
-    rows = rows.withColumnRenamed("fit_group", "g")
+def _starts(rows: DataFrame) -> DataFrame:
+    """Two fits of each group g about its medians: median absolute deviations, and the covariance of
+    spatial signs in units of these."""
     p = len(NAMES)
-    grow = share / _chi2_below(chi2_quantile(share, p), p + 2)
+    floors = [STATS[n] for n in NAMES]
     centre = materialize(_medians(rows, {n: F.col(n) for n in NAMES}, 1 / 256), "centre").select(F.col("g").alias("own_g"), *[F.col(n).alias(f"m_{n}") for n in NAMES])
     near = rows.join(centre, F.col("g") == F.col("own_g"))
-    spread = materialize(_medians(near, {n: F.abs(F.col(n) - F.col(f"m_{n}")) for n in NAMES}, 1 / 256), "spread")
+    spread = _medians(near, {n: F.abs(F.col(n) - F.col(f"m_{n}")) for n in NAMES}, 1 / 256)
     spread = spread.select(F.col("g").alias("spread_g"), *[F.greatest(1.4826 * F.col(n), F.lit(STATS[n])).alias(f"s_{n}") for n in NAMES])
-    scaled = [((F.col(n) - F.col(f"m_{n}")) / F.col(f"s_{n}")) ** 2 for n in NAMES]
-    apart = near.join(spread, F.col("g") == F.col("spread_g")).select(*rows.columns, sum(scaled[1:], scaled[0]).alias("d2"))
-    for _ in range(steps):
-        bound = group_quantile(apart, ["g"], _log_bin("d2"), share, "bound").withColumnRenamed("g", "bound_g")
-        inner = apart.join(bound, F.col("g") == F.col("bound_g")).filter(_log_bin("d2") <= F.col("bound"))
-        means = [F.avg(n).alias(f"m_{n}") for n in NAMES]
-        moments = [F.covar_pop(NAMES[i], NAMES[j]).alias(f"c{i}{j}") for i in range(p) for j in range(i, p)]
-        fitted = materialize(inner.groupBy(F.col("g").alias("own_g")).agg(*means, *moments), "fitted")
-        covariance = {(i, j): grow * F.col(f"c{i}{j}") + (STATS[NAMES[i]] ** 2 if i == j else 0.0) for i in range(p) for j in range(i, p)}
-        adds, total = distance({n: F.col(f"m_{n}") for n in NAMES}, covariance)
-        apart = rows.join(fitted, F.col("g") == F.col("own_g"))
-        for add in adds:
-            apart = apart.withColumns(add)
-        apart = apart.select(*rows.columns, total.alias("d2"))
-    return apart.withColumnRenamed("g", "fit_group")
+    scales = materialize(centre.join(spread, F.col("own_g") == F.col("spread_g")).drop("spread_g"), "scales")
+    alone = factors(scales, {(i, j): F.col(f"s_{NAMES[i]}") ** 2 if i == j else F.lit(0.0) for i in range(p) for j in range(i, p)})
+    near = rows.join(scales, F.col("g") == F.col("own_g"))
+    near = near.select("own_g", *[((F.col(n) - F.col(f"m_{n}")) / F.col(f"s_{n}")).alias(f"z{i}") for i, n in enumerate(NAMES)])
+    length = sum((F.col(f"z{i}") ** 2 for i in range(1, p)), F.col("z0") ** 2)
+    signs = near.withColumn("length", F.greatest(length, F.lit(1e-12)))
+    moments = [F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.col("length")).alias(f"c{i}{j}") for i in range(p) for j in range(i, p)]
+    signs = materialize(signs.groupBy(F.col("own_g").alias("sign_g")).agg(*moments), "signs")
+    joint = {(i, j): p * F.col(f"c{i}{j}") * F.col(f"s_{NAMES[i]}") * F.col(f"s_{NAMES[j]}") + (floors[i] ** 2 if i == j else 0.0) for i in range(p) for j in range(i, p)}
+    together = factors(scales.join(signs, F.col("own_g") == F.col("sign_g")), joint)
+    shown = ["own_g", *[f"m_{n}" for n in NAMES], *[f"_l{i}{j}" for j in range(p) for i in range(j, p)], "log_det"]
+    fits = alone.select(F.lit(0).alias("start"), *shown).unionByName(together.select(F.lit(1).alias("start"), *shown))
+    return materialize(fits, "starts")
+
+
+def _concentrated(rows: DataFrame, fits: DataFrame, share: float) -> DataFrame:
+    """Fits on the share of each group's rows that is nearest by ``fits``. Bounds are written, so that
+    their size is known and rows need not be shuffled by group to meet them."""
+    p = len(NAMES)
+    grow = share / _chi2_below(chi2_quantile(share, p), p + 2)
+    apart = distances(rows, fits)
+    bound = group_quantile(apart, ["g", "start"], _log_bin("d2"), share, "bound")
+    bound = materialize(bound, "bound").select(F.col("g").alias("bound_g"), F.col("start").alias("bound_start"), "bound")
+    inner = apart.join(bound, (F.col("g") == F.col("bound_g")) & (F.col("start") == F.col("bound_start"))).filter(_log_bin("d2") <= F.col("bound"))
+    means = [F.avg(n).alias(f"m_{n}") for n in NAMES]
+    moments = [F.covar_pop(NAMES[i], NAMES[j]).alias(f"c{i}{j}") for i in range(p) for j in range(i, p)]
+    fitted = inner.groupBy(F.col("g").alias("own_g"), "start").agg(*means, *moments)
+    covariance = {(i, j): grow * F.col(f"c{i}{j}") + (STATS[NAMES[i]] ** 2 if i == j else 0.0) for i in range(p) for j in range(i, p)}
+    fitted = factors(materialize(fitted, "moments"), covariance)
+    return materialize(fitted.drop(*[f"c{i}{j}" for i in range(p) for j in range(i, p)]), "fitted")
+
+
+def robust_distances(rows: DataFrame, share: float = 0.75) -> DataFrame:
+    """Add d2, the squared robust distance, to rows with ``fit_group`` (not null) and the statistics.
+    ``rows`` must be cheap to read again. Groups' parameters are tables and are joined by their size."""
+    rows = rows.withColumnRenamed("fit_group", "g")
+    fits = _starts(rows)
+    for _ in range(TRIAL_STEPS):
+        fits = _concentrated(rows, fits, share)
+    best = fits.groupBy(F.col("own_g").alias("best_g")).agg(F.min(F.struct("log_det", "start")).alias("best"))
+    fits = materialize(fits.join(best, (F.col("own_g") == F.col("best_g")) & (F.col("start") == F.col("best.start")), "left_semi"), "fitted")
+    for _ in range(LAST_STEPS):
+        fits = _concentrated(rows, fits, share)
+    return distances(rows, fits).drop("start").withColumnRenamed("g", "fit_group")
 
 
 def fit_groups(rows: DataFrame, least: int) -> DataFrame:
