@@ -341,6 +341,70 @@ def test_language_id(spark):
     assert identify_languages(docs.limit(0)).count() == 0
 
 
+def plain_grams(text: str) -> Counter:
+    """Buckets of the 1- to 3-grams of a text, by character."""
+    chars = [(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text]
+    found, m = Counter(), 1 << 32
+    for i in range(len(chars)):
+        for n in (1, 2, 3):
+            gram = chars[i : i + n]
+            if len(gram) < n or gram == [" "] or any(a == b == " " for a, b in zip(gram, gram[1:])):
+                continue
+            code = ord(gram[0]) * 0x9E3779B1 % m
+            for c in gram[1:]:
+                code = (code * 0x85EBCA77 + ord(c) * 0xC2B2AE3D) % m
+            found[((code ^ (code >> 15)) * 0x27D4EB2F % m) >> (32 - language_id.BITS)] += 1
+    return found
+
+
+def test_language_id_against_a_plain_fit(spark):
+    """The same rows, learnt by loops over dictionaries: the same predictions and scores."""
+    rng = random.Random(6)
+    sounds = {"xx": ["ka", "mo", "tu", "la"], "yy": ["ka", "ein", "ung", "mo"], "zz": ["дом", "ли", "ка"]}
+    rows = [(i, tongue(rng, sounds[lang], rng.randint(2, 8)), lang) for i in range(90) for lang in [rng.choice(list(sounds))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in identify_languages(docs).collect()}
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    draw = {r.id: r.d for r in spark.createDataFrame(learnt, "id long, text string, lang string").selectExpr("id", f"pmod(xxhash64(cast(id as string), text, lang, 'sample'), {language_id.DRAWS}) d").collect()}
+    learnt.sort(key=lambda r: draw[r[0]])
+    names = sorted(sounds)
+    counts = [plain_grams(t) for _, t, _ in learnt]
+    frequency = Counter(b for c in counts for b in c)
+    idf = lambda b: math.log((1 + len(learnt)) / (1 + frequency[b])) + 1
+    features = lambda c: {**{b: 30 * idf(b) * k / sum(c.values()) for b, k in c.items()}, -1: 1.0}
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(b, k):
+        pull = max(abs(z[b, k]) - 0.02, 0.0)
+        return -math.copysign(pull, z[b, k]) / ((1 + math.sqrt(n[b, k])) / 0.5 + 0.05)
+
+    def chances(x, t=1.0):
+        sums = [sum(v * weight(b, k) for b, v in x.items()) / t for k in range(3)]
+        grown = [math.exp(v - max(sums)) for v in sums]
+        return [v / sum(grown) for v in grown]
+
+    for _ in range(4):
+        for at, (_, _, lang) in enumerate(learnt):
+            if at % 5 == 4:
+                continue
+            x = features(counts[at])
+            p = chances(x)
+            for b, v in x.items():
+                for k in range(3):
+                    w, g = weight(b, k), v * (p[k] - (names[k] == lang))
+                    z[b, k] += g - (math.sqrt(n[b, k] + g * g) - math.sqrt(n[b, k])) / 0.5 * w
+                    n[b, k] += g * g
+    held = [at for at in range(len(learnt)) if at % 5 == 4]
+    loss = lambda t: -sum(math.log(max(chances(features(counts[at]), t)[names.index(learnt[at][2])], 1e-12)) for at in held)
+    model = language_id.train(spark.createDataFrame(learnt, "id long, text string, lang string"))
+    # The temperature found is as good as any on a grid.
+    assert loss(model.temperature) <= min(loss(math.exp(k / 10)) for k in range(-29, 30)) + 1e-6
+    for i, text, _ in rows:
+        p = chances(features(plain_grams(text)), model.temperature)
+        assert got[i].score == pytest.approx(max(p), abs=1e-9)
+        assert p[names.index(got[i].lang_pred)] == pytest.approx(max(p))
+
+
 def test_training_sample_is_as_large_as_asked(spark, monkeypatch):
     rng = random.Random(5)
     sounds = {"xx": ["ka", "mo", "tu", "la"], "yy": ["sch", "ein", "ung", "ver"], "zz": ["дом", "ли", "ка"], "ww": ["oo", "pi"]}
@@ -435,19 +499,94 @@ def test_quality_rules(spark):
     assert quality_rules(docs.filter("doc_id = 2004")).first().kept
 
 
+def plain_distances(x: np.ndarray, share: float = 0.75) -> tuple[np.ndarray, int]:
+    """Squared robust distances of one group, and the start that went on."""
+    n, p = x.shape
+    floors = np.array(list(rules.STATS.values()))
+    grow = share / rules._chi2_below(rules.chi2_quantile(share, p), p + 2)
+
+    def quantile(bins, part):
+        return np.sort(bins)[math.ceil(n * part) - 1]
+
+    def median(values):
+        return (np.array([quantile(np.floor(v * 256), 0.5) for v in values.T]) + 0.5) / 256
+
+    def d2(mean, cov):
+        return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+    def again(mean, cov):
+        bins = np.floor(64 * np.log2(np.clip(d2(mean, cov), 2.0**-40, 2.0**60)))
+        own = x[bins <= quantile(bins, share)]
+        return own.mean(axis=0), grow * np.cov(own.T, ddof=0) + np.diag(floors**2)
+
+    middle = median(x)
+    scale = np.maximum(1.4826 * median(np.abs(x - middle)), floors)
+    z = (x - middle) / scale
+    signs = z / np.sqrt(np.maximum((z**2).sum(axis=1), 1e-12))[:, None]
+    fits = [(middle, np.diag(scale**2)), (middle, p * (signs.T @ signs / n) * np.outer(scale, scale) + np.diag(floors**2))]
+    for _ in range(2):
+        fits = [again(*fit) for fit in fits]
+    start = int(np.argmin([np.linalg.slogdet(cov)[1] for _, cov in fits]))
+    mean, cov = fits[start]
+    for _ in range(2):
+        mean, cov = again(mean, cov)
+    return d2(mean, cov), start
+
+
+def test_robust_distances_against_plain(spark):
+    rng = np.random.default_rng(8)
+    p = len(rules.NAMES)
+    groups, starts = {}, set()
+    for k in range(8):
+        root = rng.normal(size=(p, p)) * rng.uniform(0.2, 2, size=p)
+        x = rng.normal(size=(90, p)) @ root
+        x[: 5 * (k % 5)] += 6 * rng.normal(size=p)
+        groups[f"g{k}"] = x
+    groups["one"], groups["same"] = rng.normal(size=(1, p)), np.tile(rng.normal(size=p), (30, 1))
+    rows = [(g, i, *map(float, v)) for g, x in groups.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "fit_group string, i int, " + ", ".join(f"{n} double" for n in rules.NAMES)).repartition(4)
+    got = {(r.fit_group, r.i): r.d2 for r in rules.robust_distances(df).collect()}
+    assert len(got) == len(rows)
+    bound = rules.chi2_quantile(0.99999, p)
+    for g, x in groups.items():
+        want, start = plain_distances(x)
+        mine = np.array([got[g, i] for i in range(len(x))])
+        starts.add(start)
+        assert mine == pytest.approx(want, rel=1e-6, abs=1e-9) and ((mine <= bound) == (want <= bound)).all()
+    assert starts == {0, 1}
+
+
+def test_kept_against_plain(spark):
+    rng = random.Random(10)
+    rows = [(i, ". ".join(prose(rng, 12).capitalize() for _ in range(rng.randint(3, 9))), "en", "s") for i in range(150)]
+    rows += [(500 + i, " ".join(w for w in prose(rng, 30).split() for _ in range(rng.randint(2, 4))), "en", "s") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stats = rules.statistics(docs.select("doc_id", "text")).collect()
+    passed = [r for r in stats if r.n_words >= 20 and 100 * r.n_repeat_words <= 30 * r.n_words]
+    want, _ = plain_distances(np.array([[r[n] for n in rules.NAMES] for r in passed]))
+    kept = {r.doc_id for r, d in zip(passed, want, strict=True) if d <= rules.chi2_quantile(0.99999, len(rules.NAMES))}
+    assert {r.doc_id for r in quality_rules(docs).collect() if r.kept} == kept
+    assert not any(500 + i in kept for i in range(9)) and len(kept) >= 148
+    texts = {r[0]: r[1].split() for r in rows}
+    for r in stats:
+        own = texts[r.doc_id]
+        assert r.x_stutter == pytest.approx(sum(a == b for a, b in zip(own, own[1:])) / len(own))
+
+
 def test_distance_is_mahalanobis(spark):
     rng = np.random.default_rng(3)
     p = len(rules.NAMES)
     root = rng.normal(size=(p, p))
     cov, mean, x = root @ root.T + np.eye(p), rng.normal(size=p), rng.normal(size=(5, p))
     lit = rules.F.lit
-    df = spark.createDataFrame([tuple(map(float, row)) for row in x], ", ".join(f"{n} double" for n in rules.NAMES))
-    steps, total = rules.distance({n: lit(float(m)) for n, m in zip(rules.NAMES, mean, strict=True)}, {(i, j): lit(float(cov[i, j])) for i in range(p) for j in range(i, p)})
-    for step in steps:
-        df = df.withColumns(step)
-    got = [r[0] for r in df.select(total).collect()]
+    df = spark.createDataFrame([("a", *map(float, row)) for row in x], "g string, " + ", ".join(f"{n} double" for n in rules.NAMES))
+    fit = spark.range(1).select(lit("a").alias("own_g"), lit(0).alias("start"), *[lit(float(m)).alias(f"m_{n}") for n, m in zip(rules.NAMES, mean, strict=True)])
+    fit = rules.factors(fit, {(i, j): lit(float(cov[i, j])) for i in range(p) for j in range(i, p)})
+    got = [r.d2 for r in rules.distances(df, fit).collect()]
     assert sorted(got) == pytest.approx(sorted(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)))
-    assert rules.chi2_quantile(0.95, 6) == pytest.approx(12.5916, abs=1e-3)
+    assert fit.first().log_det == pytest.approx(np.linalg.slogdet(cov)[1])
+    for degrees, want in ((1, 3.8415), (6, 12.5916), (7, 14.0671)):
+        assert rules.chi2_quantile(0.95, degrees) == pytest.approx(want, abs=1e-3)
 
 
 # 10 License scans
