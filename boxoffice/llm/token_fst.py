@@ -11,7 +11,10 @@ Two deterministic transducers are compiled from the tokenizer's file:
   After each prefix of a piece only the last token of its encoding matters for what may follow, and
   that only at places to which a longer token can still reach back. A state is therefore the bytes
   which may still grow into a token, with the last token and the relative count at each of their
-  ends. States and transitions are built when they are first met, and kept.
+  ends. States and transitions are built when they are first met, and kept. A long piece is cut into
+  chunks, which run side by side: a chunk maps the states it may be entered in, those in which the
+  chunk before may end, to a state and a number of tokens, and these maps are composed by a parallel
+  prefix scan. What is entered in a state not foreseen runs again from that.
 """
 
 from __future__ import annotations
@@ -33,6 +36,9 @@ _LETTERS = (STMD, RV, LL, EE, LETTER)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_SIGNS, QUOTED, QUOTED_RV, QUOTED_L, BLANK1, WHITE1, BLANK2, WHITE2 = range(11)
 HERE, BEFORE = 1, 2
 CHUNK = 256
+#: Bytes of a chunk of a long piece, and rounds in which all its chunks look for the states they may be
+#: entered in; after these only true states are followed.
+STRETCH, GUESSES = 512, 4
 
 
 def _begin(symbol: int) -> tuple[int, int]:
@@ -206,9 +212,9 @@ def byte_of_char() -> dict[str, int]:
 
 class Merger:
     """The transducer of one BPE. ``max_states``: beyond this number all states are given up and built
-    anew, which bounds memory and changes no count."""
+    anew, which bounds memory and changes no count. ``stretch``: bytes of a chunk of a longer piece."""
 
-    def __init__(self, path: str, max_states: int = 300_000):
+    def __init__(self, path: str, max_states: int = 300_000, stretch: int = STRETCH):
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges"):
@@ -234,7 +240,7 @@ class Merger:
             self.merge.setdefault((a, b), rank)
         self.growing = {token[:k] for token in self.ids for k in range(1, len(token))}
         self._fits: dict[tuple[int, int], bool] = {}
-        self.max_states = max_states
+        self.max_states, self.stretch = max_states, stretch
         self._reset()
 
     def _reset(self) -> None:
@@ -301,13 +307,58 @@ class Merger:
         return numbers
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The number of tokens of each piece; all pieces run side by side."""
+        """The number of tokens of each piece; all pieces, and the chunks of long ones, run side by side."""
         if len(self.states) > self.max_states:
             self._reset()
+        out = np.empty(len(starts), np.int64)
+        long = ends - starts > self.stretch
+        out[~long], _ = self._run(data, starts[~long], ends[~long], np.zeros(int((~long).sum()), np.int64))
+        if long.any():
+            out[long] = self._composed(data, starts[long], ends[long])
+        return out
+
+    def _composed(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of tokens of long pieces. ``known``: chunk and entered state of what has run, in
+        one number each; with it the state at its end and its tokens."""
+        chunks = -(-(ends - starts) // self.stretch)
+        first = np.cumsum(chunks) - chunks
+        piece = np.repeat(np.arange(len(starts)), chunks)
+        low = starts[piece] + (np.arange(len(piece)) - first[piece]) * self.stretch
+        high = np.minimum(low + self.stretch, ends[piece])
+        last = np.append(piece[1:] != piece[:-1], True)
+        known, left, tokens = (np.zeros(0, np.int64) for _ in range(3))
+        new, rounds = np.arange(len(piece)) << 32, 0
+        while True:
+            count, to = self._run(data, low[new >> 32], high[new >> 32], new & 0xFFFFFFFF)
+            known, left, tokens = np.append(known, new), np.append(left, to), np.append(tokens, count)
+            order = np.argsort(known)
+            known, left, tokens = known[order], left[order], tokens[order]
+            after = ((known >> 32) + 1) << 32 | left
+            place = np.minimum(np.searchsorted(known, after), len(known) - 1)
+            on = ~last[known >> 32]
+            met = on & (known[place] == after)
+            # The scan: each doubling joins what has run with what follows it.
+            turn, total = np.where(met, place, np.arange(len(known))), np.where(met, tokens, 0)
+            for _ in range(int(chunks.max()).bit_length()):
+                total, turn = total + total[turn], turn[turn]
+            heads = np.searchsorted(known, first << 32)
+            open_ = on & ~met
+            rounds += 1
+            if rounds > GUESSES:
+                reached = np.zeros(len(known), bool)
+                reached[turn[heads]] = True
+                open_ &= reached
+            new = np.unique(after[open_])
+            if not len(new):
+                return total[heads] + tokens[turn[heads]]
+
+    def _run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of tokens that each stretch adds to the state it is entered in, and the state at
+        its end."""
         size = ends - starts
         order = np.argsort(-size, kind="stable")
         out = np.zeros(len(starts), np.int64)
-        state, begin, size = np.zeros(len(starts), np.int64), starts[order], size[order]
+        state, begin, size = entry[order].astype(np.int64), starts[order], size[order]
         active, at = len(starts), 0
         while active:
             active = int(np.searchsorted(-size, -at, "left"))
@@ -322,9 +373,9 @@ class Merger:
             state[:active] = self.to[move]
             out[:active] += self.change[move]
             at += 1
-        back = np.empty_like(out)
-        back[order] = out
-        return back
+        back, final = np.empty_like(out), np.empty_like(state)
+        back[order], final[order] = out, state
+        return back, final
 
 
 class TokenCounter:

@@ -42,6 +42,19 @@ def test_counts_and_ids_are_the_librarys(library):
     assert ids.tolist() == [i for w in want for i in [*w, 2]] and lengths.tolist() == [len(w) + 1 for w in want]
 
 
+@pytest.mark.parametrize("stretch", [1, 3, 8, 64, 512])
+def test_counts_of_pieces_in_chunks(library, stretch):
+    rng = random.Random(5)
+    signs = "=-#*/"
+    long = ["x" * 3000, "ab" * 1500, "a" * 17 + "b" * 2000, "=" * 1537, "".join(rng.choice("abcde") for _ in range(2500)), "日本" * 700, "".join(rng.choice(signs) for _ in range(1999))]
+    long += ["".join(rng.choice(["the", "ing", "er", "un"]) for _ in range(800)), "7" * 1100, " " * 2000 + "x", "e" * 512, "e" * 513, "e" * 1024]
+    texts = long + mixed_texts(300) + [" ".join(long)]
+    counter = TokenCounter(PATH)
+    counter.merger.stretch = stretch
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counter.count(*text_bytes(pa.array(texts))).tolist() == want
+
+
 def test_scan_of_maps_equals_one_after_the_other():
     rng = np.random.default_rng(0)
     maps = rng.integers(0, 11, (37, 11)).astype(np.uint8)
