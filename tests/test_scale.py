@@ -49,3 +49,17 @@ def test_materialize_uses_the_named_folder(spark, skewed):
     again = materialize(skewed, "t")
     assert again.inputFiles()[0].removeprefix("file://").startswith(shared_dir(spark))
     assert rows(again) == rows(skewed)
+
+
+def test_small_slices_share_ranges(spark):
+    """Slices of few rows lie several in a range: tasks do not grow with the number of slices."""
+    rows = spark.range(2_000).selectExpr("id % 3 as k", "id as n")
+    cut = slice_hot_keys(rows, ["k"], ["n"], 50)
+    sizes = [r["count"] for r in cut.groupBy(SLICE).count().collect()]
+    assert len(sizes) >= 40 and max(sizes) <= 50 and len(cut.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {(r.k, r.n, r.before) for r in running(cut, ["k"], ["n"], sums={"before": F.lit(1)}).collect()}
+    assert got == {(n % 3, n, n // 3) for n in range(2_000)}
+
+
+def test_shuffles_begin_with_more_partitions(spark):
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 8 * spark.sparkContext.defaultParallelism

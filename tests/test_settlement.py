@@ -3,6 +3,7 @@ from decimal import Decimal
 
 import pytest
 
+from boxoffice.operators import aggregates as agg
 from boxoffice.operators import dml, outbox, settlement
 from boxoffice.operators.aggregates import confirmed_attendees, tickets_per_payment
 from boxoffice.sources import schemas
@@ -281,3 +282,16 @@ def test_one_answer_per_ticket_price(table, world):
     assert len(prices) > 1
     assert {o for p, o, _ in prices if p == D("25.00")} <= {"refund_failed"}
     assert all((o == "refund_failed") == (p == D("25.00")) for p, o, _ in prices)
+
+
+def test_totals_lie_by_payment_and_sum_up_numbers(spark, capsys):
+    """Totals of events are dealt out by payment alone; no aggregate of reservations carries the texts of a ticket type."""
+    names = ("events", "event_details", "reservations", "payments", "users")
+    events, details, booked, paid, users = (spark.createDataFrame([], getattr(schemas, n.upper())) for n in names)
+    agg.event_refund_totals(spark.createDataFrame([], "event_id string, user_id string"), events, details, booked, paid).explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(payment_id" in plan.replace("#", " #").replace("payment_id #", "payment_id") and "REPARTITION_BY_COL" in plan
+    agg.detail_refund_totals(spark.createDataFrame([], "event_detail_id string, user_id string"), events, details, booked, paid, users).explain()
+    plan = capsys.readouterr().out
+    sums = [line for line in plan.splitlines() if "HashAggregate(keys=[payment_id" in line]
+    assert sums and not any("title" in line for line in sums)

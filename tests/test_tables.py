@@ -3,6 +3,7 @@ from decimal import Decimal
 
 import pytest
 
+from boxoffice.sources.derived import Derived
 from boxoffice.functions.scale import shared_dir, spread
 from boxoffice.sources import schemas
 from boxoffice.sources.tables import append, read_table, write_version
@@ -108,3 +109,12 @@ def test_spread_leaves_wide_inputs_alone(spark):
     cores = spark.sparkContext.defaultParallelism
     assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == cores
     assert spread(spark.range(0, 100, 1, cores + 3)).rdd.getNumPartitions() == cores + 3
+
+
+def test_reservations_join_as_numbers(spark, tmp_path, capsys):
+    """The id of a reservation is a text that is made after the join with payers."""
+    for name, schema in (("orders", schemas.ORDERS), ("lineitem", schemas.LINEITEM)):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    Derived(spark, str(tmp_path)).reservations.explain()
+    plan = capsys.readouterr().out
+    assert "concat_ws" in plan and plan.rindex("concat_ws") < plan.index("Join")
