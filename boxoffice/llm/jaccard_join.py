@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from boxoffice.functions.scale import discard, materialize, settled
 from boxoffice.llm.batches import small_batches
@@ -45,6 +45,8 @@ STARS = 2
 GROWTH = 1.5
 #: Fingerprints of sets a task remembers.
 MET = 200_000
+#: Cells in which shingles are counted, and ranges of cells that are summed up apart.
+CELLS, RANGES = 1 << 22, 64
 #: Keys have 48 bits: false meetings are few and cost a test; shuffled rows are smaller.
 KEY_BITS = 48
 
@@ -304,31 +306,64 @@ def _apart(buckets: DataFrame) -> DataFrame:
     return buckets.join(apart, F.col("key") == F.col("k"), "left_semi")
 
 
+def _shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many sets of texts (rep, n, label, text) hold a shingle, by cells of shingles: all are counted, those of
+    a cell as one. Tasks send the cells they have met, in lists for each range of cells."""
+    span = CELLS // RANGES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(CELLS, np.int64)
+        for part in slices(batches, "text"):
+            cells = _cells(shingle_sets(part.column(3), shingle)[0])
+            np.add.at(own, cells, 1)
+        met = np.flatnonzero(own)
+        cut = np.searchsorted(met, np.arange(RANGES + 1) * span).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in ((met % span).astype(np.int32), own[met])]
+        if len(met):
+            yield pa.record_batch([pa.array(np.arange(RANGES, dtype=np.int32)), *lists], names=["range", "cells", "times"])
+
+    def add(table: pa.Table) -> pa.Table:
+        sums = np.zeros(span, np.int64)
+        cells, times = (table[c].combine_chunks().flatten().to_numpy() for c in ("cells", "times"))
+        np.add.at(sums, cells, times)
+        sums = np.minimum(sums, np.iinfo(np.int32).max).astype(np.int32)
+        return pa.table({"range": table["range"][:1], "times": pa.array([sums.tobytes()], pa.binary())})
+
+    sent = texts.mapInArrow(count, "range int, cells array<int>, times array<long>")
+    counts = np.zeros(CELLS, np.int32)
+    for row in sent.groupBy("range").applyInArrow(add, "range int, times binary").collect():
+        counts[row["range"] * span : (row["range"] + 1) * span] = np.frombuffer(row["times"], np.int32)
+    return counts
+
+
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(CELLS)).astype(np.int64)
+
+
 def rare_keys(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """members(rep, n, label) and their texts (id, text) to rows (key, rep, n, label): the rarest shingles of
     each set, where sets that are similar share one. Of n shingles all but n * percent / 100 may be missing
-    in the other set; so many and one more are taken, in an order by frequency that all sets have in
-    common. Shingles that one set alone has come first and meet nothing."""
+    in the other set; so many and one more are taken, in an order that all sets have in common. It is by
+    the counts of cells of shingles, a table of fixed size, so that a task picks and sends these shingles alone.
+    Shingles of one component alone meet nothing and are left out."""
     spark = members.sparkSession
-    own = materialize(members.join(texts, F.col("rep") == F.col("id")).select("rep", "text"), "texts")
+    own = materialize(members.join(texts, F.col("rep") == F.col("id")).select("rep", "n", "label", "text"), "texts")
+    counts = spark.sparkContext.broadcast(_shingle_counts(own, shingle))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            h, at = shingle_sets(part.column(1), shingle)
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))
-            yield pa.record_batch([part.column(0), lists], names=["rep", "keys"])
+            h, at = shingle_sets(part.column(3), shingle)
+            size = np.diff(at)
+            owner = np.repeat(np.arange(len(size)), size)
+            h = h[np.lexsort((h, counts.value[_cells(h)], owner))]
+            taken = np.minimum(size - -(-size * percent // 100) + 1, size)
+            h = h[np.arange(len(h)) - at[owner] < taken[owner]]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(taken)), pa.int32()), pa.array(h.view(np.int64)))
+            yield pa.record_batch([*part.columns[:3], lists], names=["rep", "n", "label", "keys"])
 
-    held = own.mapInArrow(make, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
-    shared = held.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1)
-    shared = materialize(shared, "shingles")
-    with small_batches(spark):
-        common = materialize(held.join(shared, F.col("key") == F.col("k")).select("rep", "key", "times"), "shingles")
-    turn = Window.partitionBy("rep").orderBy("times", "key")
-    ranked = common.withColumn("turn", F.row_number().over(turn)).withColumn("common", F.count(F.lit(1)).over(Window.partitionBy("rep")))
-    sized = members.select(F.col("rep").alias("node"), "n", "label")
-    spare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("common"))
-    rare = ranked.join(sized, F.col("rep") == F.col("node")).filter(F.col("turn") <= spare)
-    return rare.select("key", "rep", "n", "label")
+    schema = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in ("rep", "n", "label"))
+    rare = own.mapInArrow(make, f"{schema}, keys array<long>").select(F.explode("keys").alias("key"), "rep", "n", "label")
+    return _apart(materialize(rare, "rare"))
 
 
 def _star_pairs(buckets: DataFrame, percent: int, bound: bool = True) -> DataFrame:
@@ -357,7 +392,7 @@ def _family_pairs(members: DataFrame, texts: DataFrame, tested: DataFrame, links
     member of a bucket is compared with the others first, then small buckets are pair by pair and large ones
     as families. ``links`` are those known so far, ``tested`` the pairs that need no further look."""
     spark = members.sparkSession
-    rare = materialize(_apart(materialize(rare_keys(members, texts, shingle, percent), "rare")), "rare")
+    rare = materialize(rare_keys(members, texts, shingle, percent), "rare")
     stars = materialize(_star_pairs(rare, percent, bound=False).join(tested, ["a", "b"], "left_anti"), "stars")
     with small_batches(spark):
         more = materialize(verify(stars, texts, shingle, percent), "links")

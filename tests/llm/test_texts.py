@@ -11,6 +11,7 @@ import pytest
 
 from boxoffice.llm import decontamination, jaccard_join, language_id, license_scan, ngram_trie
 from boxoffice.llm import quality_rules as rules
+from boxoffice.llm import components as components_of
 from boxoffice.llm.components import connected_components
 from boxoffice.llm.decontamination import contaminated
 from boxoffice.llm.jaccard_join import jaccard_components
@@ -90,6 +91,32 @@ def test_connected_components(spark):
     assert got == {x: c for x, c in parent.items() if x in got} and set(got) >= {x for a, b in edges if a != b for x in (a, b)}
 
 
+def test_components_of_long_chains_need_few_tables(spark, monkeypatch):
+    """Tasks join the edges that they hold: a chain of 3,000 nodes in each of 4 tasks needs no star at all, and
+    chains that cross all tasks few of them."""
+    written, write = [], components_of.materialize
+    monkeypatch.setattr(components_of, "materialize", lambda df, label, *more: written.append(label) or write(df, label, *more))
+    node = "id % 3000 + 10000 * (id div 3000)"
+    chains = spark.range(0, 12_000, 1, 4).filter("id % 3000 > 0").selectExpr(f"{node} as a", f"{node} - 1 as b")
+    got = {r.node: r.component for r in connected_components(chains).collect()}
+    assert got == {x: x // 10_000 * 10_000 for k in range(4) for x in range(10_000 * k, 10_000 * k + 3_000)}
+    assert len(written) <= 2
+    crossing = spark.range(1, 400).selectExpr("id as a", "id - 1 as b").repartition(4)
+    assert {r.component for r in connected_components(crossing).collect()} == {0}
+
+
+def test_rare_keys_alone_leave_the_tasks(spark, monkeypatch):
+    """Rows of shingles are those of the prefixes, not all shingles of the members."""
+    written, write = [], jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, label, *more: written.append((label, write(df, label, *more))) or written[-1][1])
+    texts = near_copies(7, 5, 6, 60)
+    sets = [shingles(t, 3) for t in texts]
+    members = spark.createDataFrame([(k, len(x), k) for k, x in enumerate(sets)], "rep long, n long, label long")
+    jaccard_join.rare_keys(members, spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 3, 80).collect()
+    rows = sum(df.count() for label, df in written if "key" in df.columns)
+    assert rows == sum(len(x) - -(-len(x) * 80 // 100) + 1 for x in sets)
+
+
 # 2 LM scoring
 
 
