@@ -1,12 +1,14 @@
 import json
 import random
 from pathlib import Path
+from types import SimpleNamespace
 from datetime import datetime
 from decimal import Decimal
 
 import pytest
 
 from boxoffice.functions.scale import shared_dir
+from boxoffice.plans import queries
 from boxoffice.operators.webhook_fold import apply_payment_changes, fold_webhooks, touchable
 from boxoffice.operators import outbox
 from boxoffice.operators.aggregates import nest_tickets
@@ -347,3 +349,22 @@ def test_amounts_beyond_the_money_type(table, users):
     assert rows(got.quarantine, "seq", "reason") == {(0, "bad_amount"), (1, "bad_log_amount")}
     assert rows(got.payments, "id", "status") == {(1, "succeeded"), (2, "refunded")}
     assert rows(got.logs, "payment_id") == {(1,)}
+
+
+def test_mails_read_the_applied_events_from_one_table(spark, monkeypatch):
+    """The fold is not run again for the payers and the lines of a mail."""
+    applied = spark.createDataFrame(
+        [(1, "payment_intent.payment_failed", 5, "no"), (2, "refund.failed", 5, "no")], "seq long, type string, payment_id long, error_message string"
+    )
+    monkeypatch.setattr(queries, "_fold", lambda d: SimpleNamespace(applied=applied))
+    tables = SimpleNamespace(
+        events=spark.createDataFrame([(1, "Rock")], "id long, title string"),
+        event_details=spark.createDataFrame([(3, 1, "floor", None)], "id long, event_id long, ticket_description string, show_date timestamp_ntz"),
+        reservations=spark.createDataFrame([(5, 7, 3)], "payment_id long, user_id long, event_detail_id long"),
+        payments=spark.createDataFrame([(5, 7)], "id long, user_id long"),
+        users=spark.createDataFrame([(7, "A", "B", "a@b.c")], "id long, firstname string, lastname string, email string"),
+    )
+    mails, payers, lines = queries._applied(tables, "payment_intent.payment_failed")
+    assert [tuple(r) for r in mails.collect()] == [(1, 5, "no")]
+    assert (payers.count(), lines.count()) == (1, 1)
+    assert all(any("/applied-" in f for f in df.inputFiles()) for df in (mails, payers, lines))
