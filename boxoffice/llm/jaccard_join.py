@@ -45,8 +45,8 @@ STARS = 2
 GROWTH = 1.5
 #: Fingerprints of sets a task remembers.
 MET = 200_000
-#: Cells in which shingles are counted, and ranges of cells that are summed up apart.
-CELLS, RANGES = 1 << 22, 64
+#: Cells in which shingles are counted, up to MOST each, and ranges of cells that are summed up apart.
+CELLS, RANGES, MOST = 1 << 24, 64, 255
 #: Keys have 48 bits: false meetings are few and cost a test; shuffled rows are smaller.
 KEY_BITS = 48
 
@@ -307,32 +307,35 @@ def _apart(buckets: DataFrame) -> DataFrame:
 
 
 def _shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
-    """How many sets of texts (rep, n, label, text) hold a shingle, by cells of shingles: all are counted, those of
-    a cell as one. Tasks send the cells they have met, in lists for each range of cells."""
+    """How many sets of texts (rep, n, label, text) hold a shingle, ``MOST`` if more, by cells of shingles: all are
+    counted, those of a cell as one. Tasks send the cells they have met, in lists for each range of cells."""
     span = CELLS // RANGES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(CELLS, np.int64)
+        own = np.zeros(CELLS, np.uint8)
         for part in slices(batches, "text"):
-            cells = _cells(shingle_sets(part.column(3), shingle)[0])
-            np.add.at(own, cells, 1)
+            cells, times = np.unique(_cells(shingle_sets(part.column(3), shingle)[0]), return_counts=True)
+            own[cells] = np.minimum(own[cells] + times, MOST)
         met = np.flatnonzero(own)
         cut = np.searchsorted(met, np.arange(RANGES + 1) * span).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in ((met % span).astype(np.int32), own[met])]
+        cells = pa.ListArray.from_arrays(pa.array(cut), pa.array((met % span).astype(np.int32)))
+        times = pa.array([own[met[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
         if len(met):
-            yield pa.record_batch([pa.array(np.arange(RANGES, dtype=np.int32)), *lists], names=["range", "cells", "times"])
+            yield pa.record_batch([pa.array(np.arange(RANGES, dtype=np.int32)), cells, times], names=["range", "cells", "times"])
 
     def add(table: pa.Table) -> pa.Table:
-        sums = np.zeros(span, np.int64)
-        cells, times = (table[c].combine_chunks().flatten().to_numpy() for c in ("cells", "times"))
-        np.add.at(sums, cells, times)
-        sums = np.minimum(sums, np.iinfo(np.int32).max).astype(np.int32)
+        sums = np.zeros(span, np.uint8)
+        for cells, times in zip(table["cells"], table["times"], strict=True):
+            at = cells.values.to_numpy()
+            sums[at] = np.minimum(sums[at].astype(np.int32) + np.frombuffer(times.as_py(), np.uint8), MOST)
         return pa.table({"range": table["range"][:1], "times": pa.array([sums.tobytes()], pa.binary())})
 
-    sent = texts.mapInArrow(count, "range int, cells array<int>, times array<long>")
-    counts = np.zeros(CELLS, np.int32)
-    for row in sent.groupBy("range").applyInArrow(add, "range int, times binary").collect():
-        counts[row["range"] * span : (row["range"] + 1) * span] = np.frombuffer(row["times"], np.int32)
+    sent = texts.mapInArrow(count, "range int, cells array<int>, times binary")
+    counts = np.zeros(CELLS, np.uint8)
+    # Written first, so that tasks sum up ranges at once and the driver holds few of them beside the table.
+    sums = materialize(sent.groupBy("range").applyInArrow(add, "range int, times binary"), "counts")
+    for row in sums.toLocalIterator():
+        counts[row["range"] * span : (row["range"] + 1) * span] = np.frombuffer(row["times"], np.uint8)
     return counts
 
 
@@ -340,12 +343,13 @@ def _cells(h: np.ndarray) -> np.ndarray:
     return (h % np.uint64(CELLS)).astype(np.int64)
 
 
-def rare_keys(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def rare_keys(members: DataFrame, texts: DataFrame, shingle: int, percent: int, least: int = 1) -> DataFrame:
     """members(rep, n, label) and their texts (id, text) to rows (key, rep, n, label): the rarest shingles of
     each set, where sets that are similar share one. Of n shingles all but n * percent / 100 may be missing
     in the other set; so many and one more are taken, in an order that all sets have in common. It is by
     the counts of cells of shingles, a table of fixed size, so that a task picks and sends these shingles alone.
-    Shingles of one component alone meet nothing and are left out."""
+    Shingles of one component alone meet nothing and are left out; those in cells that count fewer than ``least`` sets
+    are taken, but not sent."""
     spark = members.sparkSession
     own = materialize(members.join(texts, F.col("rep") == F.col("id")).select("rep", "n", "label", "text"), "texts")
     counts = spark.sparkContext.broadcast(_shingle_counts(own, shingle))
@@ -355,15 +359,20 @@ def rare_keys(members: DataFrame, texts: DataFrame, shingle: int, percent: int)
             h, at = shingle_sets(part.column(3), shingle)
             size = np.diff(at)
             owner = np.repeat(np.arange(len(size)), size)
-            h = h[np.lexsort((h, counts.value[_cells(h)], owner))]
+            times = counts.value[_cells(h)]
+            order = np.lexsort((h, times, owner))
             taken = np.minimum(size - -(-size * percent // 100) + 1, size)
-            h = h[np.arange(len(h)) - at[owner] < taken[owner]]
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(taken)), pa.int32()), pa.array(h.view(np.int64)))
+            sent = (np.arange(len(h)) - at[owner] < taken[owner]) & (times[order] >= least)
+            cut = np.append(0, np.cumsum(np.bincount(owner[sent], minlength=len(size))))
+            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h[order][sent].view(np.int64)))
             yield pa.record_batch([*part.columns[:3], lists], names=["rep", "n", "label", "keys"])
 
     schema = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in ("rep", "n", "label"))
     rare = own.mapInArrow(make, f"{schema}, keys array<long>").select(F.explode("keys").alias("key"), "rep", "n", "label")
-    return _apart(materialize(rare, "rare"))
+    rare = materialize(rare, "rare")
+    counts.destroy()
+    discard(spark, own)
+    return _apart(rare)
 
 
 def _star_pairs(buckets: DataFrame, percent: int, bound: bool = True) -> DataFrame:
@@ -392,7 +401,8 @@ def _family_pairs(members: DataFrame, texts: DataFrame, tested: DataFrame, links
     member of a bucket is compared with the others first, then small buckets are pair by pair and large ones
     as families. ``links`` are those known so far, ``tested`` the pairs that need no further look."""
     spark = members.sparkSession
-    rare = materialize(rare_keys(members, texts, shingle, percent), "rare")
+    # A shingle that one set alone holds meets nothing.
+    rare = materialize(rare_keys(members, texts, shingle, percent, least=2), "rare")
     stars = materialize(_star_pairs(rare, percent, bound=False).join(tested, ["a", "b"], "left_anti"), "stars")
     with small_batches(spark):
         more = materialize(verify(stars, texts, shingle, percent), "links")

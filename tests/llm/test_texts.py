@@ -117,6 +117,29 @@ def test_rare_keys_alone_leave_the_tasks(spark, monkeypatch):
     assert rows == sum(len(x) - -(-len(x) * 80 // 100) + 1 for x in sets)
 
 
+def test_rare_keys_of_one_set_stay_in_the_tasks(spark, monkeypatch):
+    """Members that share a passage and nothing else send no rows for the shingles that they alone hold, and
+    similar ones among them are still linked."""
+    written, write = [], jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, label, *more: written.append((label, write(df, label, *more))) or written[-1][1])
+    rng = random.Random(9)
+    passage = prose(rng, 40)
+    texts = near_copies(7, 3, 6, 60) + [prose(rng, 40) + " " + passage + " " + prose(rng, 40) for _ in range(60)]
+    sets = [shingles(t, 3) for t in texts]
+    members = spark.createDataFrame([(k, len(x), k) for k, x in enumerate(sets)], "rep long, n long, label long")
+    rows = jaccard_join.rare_keys(members, spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 3, 80, least=2).collect()
+    held = Counter(x for s in sets for x in s)
+    alone = sum(held[x] == 1 for s in sets for x in s)
+    sent = sum(df.count() for label, df in written if "key" in df.columns)
+    # Some cells are shared by chance, so that a few rows more may go.
+    assert alone > 4000 and sent <= sum(min(sum(held[x] > 1 for x in s), len(s) - -(-len(s) * 80 // 100) + 1) for s in sets[:18]) + 20
+    keys: dict[int, set] = {k: set() for k in range(len(texts))}
+    for r in rows:
+        keys[r.rep].add(r.key)
+    similar = [(a, b) for a in range(len(texts)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert similar and all(keys[a] & keys[b] for a, b in similar)
+
+
 # 2 LM scoring
 
 
