@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 
 from boxoffice.operators.search import search_bounds, search_events, search_pattern
-from boxoffice.operators.lookups import events_with_tickets, user_by_email, user_events
+from boxoffice.operators.lookups import detail_by_id, events_with_tickets, user_by_email, user_events
 from boxoffice.operators.aggregates import nest_tickets
 from boxoffice.sources import schemas
 from tests.conftest import rows
@@ -99,3 +99,14 @@ def test_nested_tickets(events, details):
     lists = {r.event_id: [t.id for t in r.tickets] for r in got.collect()}
     assert lists == {"e1": ["d1", "d2"], "e2": ["d3", "d4", "d5", "d6"], "e3": []}
     assert {t.tickets_remaining for r in got.collect() for t in r.tickets} == {4}
+
+
+def test_lookups_broadcast_no_table(spark, capsys):
+    """A table's compressed files can be a hundredth of the rows that would pass through the driver."""
+    details = spark.range(6).selectExpr("id", "id * 2 as event_id")
+    keys = spark.createDataFrame([(1,), (5,), (-1,), (5,), (None,)], "id long")
+    got = detail_by_id(keys, details)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 2, True), (5, 10, True), (5, 10, True), (-1, None, False), (None, None, False)], key=str)
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
