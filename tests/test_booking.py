@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from boxoffice.operators import booking
 from boxoffice.sources import schemas
@@ -310,3 +311,29 @@ def test_a_total_beyond_the_money_type_takes_nothing(table):
         (1, "payment_error", False), (2, "ok", True)
     }
     assert rows(new["event_details"], "tickets_remaining") == {(8,)}
+
+
+def test_allocation_broadcasts_no_table(spark, monkeypatch, capsys):
+    """The sizes of compressed files say little of the rows that would pass through the driver."""
+    plans = []
+
+    def written(df, *args):
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return materialize(df, *args)
+
+    materialize = booking.materialize
+    monkeypatch.setattr(booking, "materialize", written)
+    asked = [(r, r, T0, f"d{r % 3}", 2) for r in range(30)]
+    lines = spark.createDataFrame(asked, "request_id long, pos long, requested_at timestamp_ntz, event_detail_id string, quantity int")
+    details = spark.createDataFrame([(f"d{k}", 9, 9) for k in range(3)], "id string, number_of_tickets int, tickets_remaining int")
+    quotes = spark.range(30).selectExpr(
+        "id as request_id", "timestamp_ntz'2024-01-01 00:00:00' as requested_at", "'u' as user_id", "'u@x.com' as user_email", "'' as email", "'usd' as currency",
+        "cast(id as decimal(20,2)) as total", "'ok' as outcome", "cast(null as string) as message",
+    )
+    got = booking.allocate_requests(quotes, lines.drop("requested_at").withColumn("email", F.lit("")), details, ["requested_at", "request_id"])
+    for name in ("decisions", "winners", "reservations"):
+        written(got[name], name)
+    assert got["decisions"].filter("accepted").count() == 12
+    assert len(plans) > 4 and any("SortMergeJoin" in plan for plan in plans)
+    assert not any("BroadcastExchange" in plan for plan in plans)
