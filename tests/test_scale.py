@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,3 +64,22 @@ def test_small_slices_share_ranges(spark):
 
 def test_shuffles_begin_with_more_partitions(spark):
     assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 8 * spark.sparkContext.defaultParallelism
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    """What a query has shuffled is deleted when it ends, and a result that is read again is worked out again."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files() -> set:
+        found = disk.getAllFiles()
+        return {name for name in (found.apply(k).getName() for k in range(found.size())) if name.endswith(".data")}
+
+    before = files()
+    counted = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    first = sorted(map(tuple, counted.collect()))
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert sorted(map(tuple, counted.collect())) == first == [(k, 100) for k in range(10)]

@@ -295,3 +295,22 @@ def test_totals_lie_by_payment_and_sum_up_numbers(spark, capsys):
     plan = capsys.readouterr().out
     sums = [line for line in plan.splitlines() if "HashAggregate(keys=[payment_id" in line]
     assert sums and not any("title" in line for line in sums)
+
+
+def test_refunds_are_written_without_the_reservations_texts(table, world, monkeypatch, capsys):
+    """Verdicts, stock and payments come from numbers; ids of reservations are dealt out by ticket type and by payment alone."""
+    written = {}
+    plain = settlement.materialize
+    monkeypatch.setattr(settlement, "materialize", lambda df, label: written.setdefault(label, df) and plain(df, label))
+    done = refunds(table, world, ("p7", "u2"), ("p1", "u1"))
+    new = settlement.settle_customer_refunds(done, world["payments"], world["reservations"], world["event_details"], NOW)
+    assert "reservation_id" not in written["refund-lines"].columns and written["refund-lines"].count() == 6
+    assert {r[0] for r in rows(new["reservations"], "id")} == {"r5", "r6", "r7", "r8", "r9", "s1", "s2", "t1"}
+    done.lines.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done.lines.explain("formatted")
+    finally:
+        done.lines.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    steps = capsys.readouterr().out.split("\n\n")
+    exchanges = [step for step in steps if ") Exchange" in step.split("\n")[0] and "reservation_id" in step]
+    assert len(exchanges) == 2
